@@ -2,6 +2,7 @@ from cohortlens.functions.expressions import (
     age,
     json_fields,
     ks_p_value,
+    number,
     per_cohort,
     percent,
     standard_error,
@@ -14,6 +15,7 @@ __all__ = [
     "age",
     "json_fields",
     "ks_p_value",
+    "number",
     "per_cohort",
     "percent",
     "standard_error",

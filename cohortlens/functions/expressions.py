@@ -1,86 +1,93 @@
-"""Column expressions. Everything here stays inside the JVM; nothing is a Python UDF."""
+"""Scalar and aggregate expressions, as Spark SQL text for ``F.expr`` and ``selectExpr``.
+
+Arguments are SQL text too, usually column names. Everything stays inside the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
-def json_fields(metadata: Column, names: Iterable[str]) -> Column:
+def json_fields(metadata: str, names: Iterable[str]) -> str:
     """Struct of the named top-level fields as raw text; unreadable JSON gives NULL fields.
 
     One ``from_json`` parses the blob once, however many fields are read from it.
     """
-    fields = [T.StructField(name, T.StringType()) for name in dict.fromkeys(names)]
-    return F.from_json(metadata, T.StructType(fields))
+    schema = ", ".join(f"`{name}` STRING" for name in dict.fromkeys(names))
+    return f"from_json({metadata}, '{schema}')"
 
 
-def to_number(value: Column) -> Column:
+def to_number(value: str) -> str:
     """Number, or NULL where the text is not one.
 
     Java also accepts a type suffix ("12d") and "NaN"; neither counts as a number here.
     """
-    text = value.cast("string")
-    parsed = F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
-    return F.when(~F.isnan(parsed), parsed)
+    text = f"CAST({value} AS STRING)"
+    parsed = f"try_cast({text} AS DOUBLE)"
+    return f"CASE WHEN {text} NOT RLIKE '[0-9.][dDfF] *$' AND NOT isnan({parsed}) THEN {parsed} END"
 
 
-def whole_number(value: Column) -> Column:
-    return value.cast("string").try_cast("int")
+def whole_number(value: str) -> str:
+    return f"try_cast(CAST({value} AS STRING) AS INT)"
 
 
-def age(unit: str, created_at: Column, as_of: Column, boundary: bool = False) -> Column:
+def age(unit: str, created_at: str, as_of: str, boundary: bool = False) -> str:
     """Age in ``unit``: complete units, or calendar boundaries crossed."""
     if boundary:
-        created_at, as_of = F.date_trunc(unit, created_at), F.date_trunc(unit, as_of)
-    return F.timestamp_diff(unit, created_at, as_of)
+        created_at = f"date_trunc('{unit}', {created_at})"
+        as_of = f"date_trunc('{unit}', {as_of})"
+    return f"timestampdiff({unit}, {created_at}, {as_of})"
+
 
+def number(value: float | int | None) -> str:
+    """A constant, exact to the last digit."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
 
-def per_cohort(values: Mapping[int, object], cohort: str = "cohort") -> Column:
+
+def per_cohort(values: Mapping[int, float | int | None]) -> str:
     """The value of the row's cohort; NULL for a cohort that is not in ``values``."""
-    chosen = F.lit(None)
-    for key, value in values.items():
-        chosen = F.when(F.col(cohort) == key, F.lit(value)).otherwise(chosen)
-    return chosen
+    cases = " ".join(f"WHEN {cohort} THEN {number(v)}" for cohort, v in values.items())
+    return f"CASE cohort {cases} END" if cases else "CAST(NULL AS DOUBLE)"
 
 
-def percent(part: Column, whole: Column) -> Column:
+def percent(part: str, whole: str) -> str:
     """``100 * part / whole``; 0 when only the denominator is 0, NULL when both are."""
-    return F.when((whole == 0) & (part > 0), F.lit(0.0)).otherwise(
-        100 * F.try_divide(part, whole)
+    return (
+        f"CASE WHEN {whole} = 0 AND {part} > 0 THEN 0D"
+        f" ELSE 100 * try_divide({part}, {whole}) END"
     )
 
 
-def standard_error(sd: Column, n: Column) -> Column:
-    return F.try_divide(sd, F.sqrt(n))
+def standard_error(sd: str, n: str) -> str:
+    return f"try_divide({sd}, sqrt({n}))"
 
 
-def variance_explained(key: Column, mean: Column) -> Column:
+def variance_explained(key: str, mean: str) -> str:
     """Aggregate: 100 r^2 over the rows of a curve; NULL for a flat or one-point curve.
 
     ``corr`` raises on zero variance, so r is put together from its parts.
     """
-    both = mean.isNotNull()
-    x = F.when(both, key.cast("double"))
-    y = F.when(both, mean.cast("double"))
-    r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return 100 * F.pow(r, F.lit(2.0))
-
-
-def ks_p_value(d: Column, n1: Column, n2: Column) -> Column:
-    """Two-sided asymptotic p-value of the two-sample Kolmogorov-Smirnov statistic."""
-    en = F.sqrt(n1 * n2 / (n1 + n2))
-    lam = (en + 0.12 + F.lit(0.11) / en) * d
-
-    def add_term(total: Column, k: Column) -> Column:
-        sign = F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return total + sign * F.exp(-2.0 * k * k * lam * lam)
-
-    series = 2 * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), add_term)
-    # The series only converges away from 0, where p is 1 to more than 12 digits.
-    return F.when(lam < 0.2, F.lit(1.0)).otherwise(
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), series))
+    x = f"CASE WHEN {mean} IS NOT NULL THEN CAST({key} AS DOUBLE) END"
+    y = f"CAST({mean} AS DOUBLE)"
+    return (
+        f"100 * pow(try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y})), 2)"
+    )
+
+
+def ks_p_value(d: str, n1: str, n2: str) -> str:
+    """Two-sided asymptotic p-value of the two-sample Kolmogorov-Smirnov statistic.
+
+    The series only converges away from 0, where p is 1 to more than 12 digits.
+    """
+    en = f"sqrt(CAST({n1} AS DOUBLE) * {n2} / ({n1} + {n2}))"
+    lam = f"({en} + 0.12D + 0.11D / {en}) * {d}"
+    series = (
+        "2 * aggregate(sequence(1, 100), 0D, (total, k) -> total +"
+        f" CASE WHEN k % 2 = 1 THEN 1D ELSE -1D END * exp(-2D * k * k * ({lam}) * ({lam})))"
+    )
+    return (
+        f"CASE WHEN {lam} < 0.2D THEN 1D"
+        f" WHEN {lam} >= 0.2D THEN least(1D, greatest(0D, {series})) END"
     )

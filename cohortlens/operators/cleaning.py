@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions import per_cohort, to_number
+from cohortlens.functions import number, per_cohort, to_number
 from cohortlens.model import COHORTS, CompareParams
 from cohortlens.operators.hotkeys import HotKeys
 from cohortlens.operators.numbering import count_rows, number_rows
@@ -44,17 +44,16 @@ def empty_columns(counts: Mapping[int, Mapping[str, int]]) -> dict[str, list[int
     return empty
 
 
-def complete_row(df: DataFrame, empty: Mapping[str, list[int]]) -> Column:
-    """No NULL in any column that has values in the row's cohort."""
-    condition = F.lit(True)
+def complete_row(df: DataFrame, empty: Mapping[str, list[int]]) -> str:
+    """Condition: no NULL in any column that has values in the row's cohort."""
+    conditions = []
     for column in df.columns:
-        if column in BOOKKEEPING:
-            continue
-        filled = F.col(column).isNotNull()
         if column in empty:
-            filled |= F.col("cohort").isin(*empty[column])
-        condition &= filled
-    return condition
+            cohorts = ", ".join(map(str, empty[column]))
+            conditions.append(f"({column} IS NOT NULL OR cohort IN ({cohorts}))")
+        elif column not in BOOKKEEPING:
+            conditions.append(f"{column} IS NOT NULL")
+    return " AND ".join(conditions)
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -72,39 +71,47 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 
 def count_unparsable(df: DataFrame) -> DataFrame:
     """Values per cohort that are present but are not numbers."""
-    present = [c for c in NUMBERS if c in df.columns]
     return df.groupBy("cohort").agg(
         *[
-            F.count_if(F.col(c).isNotNull() & to_number(F.col(c)).isNull()).alias(f"{c}_unparsable")
-            for c in present
+            F.expr(f"count_if({c} IS NOT NULL AND ({to_number(c)}) IS NULL)").alias(
+                f"{c}_unparsable"
+            )
+            for c in NUMBERS
+            if c in df.columns
         ]
     )
 
 
 def coerce_numbers(df: DataFrame) -> DataFrame:
     """Turn text into numbers. What does not parse becomes NULL and its row stays."""
-    return df.withColumns({c: to_number(F.col(c)) for c in NUMBERS if c in df.columns})
+    return df.withColumns({c: F.expr(to_number(c)) for c in NUMBERS if c in df.columns})
 
 
 def playtime_seconds(df: DataFrame) -> DataFrame:
     if "playtime" not in df.columns:
         return df
-    return df.withColumn("playtime", to_number(F.col("playtime")) / 1000)
+    return df.withColumn("playtime", F.expr(f"({to_number('playtime')}) / 1000"))
 
 
 # --- row filters -----------------------------------------------------------------------------
 # A NULL fails no threshold, so its row is kept.
 
+Thresholds = dict[int, float | None]
 
-def _not_below(value: Column, threshold: Column) -> Column:
-    return value.isNull() | threshold.isNull() | ~(value < threshold)
 
+def _not_below(column: str, limits: Thresholds) -> str:
+    return f"coalesce(NOT ({column} < {per_cohort(limits)}), true)"
 
-def _not_above(value: Column, threshold: Column) -> Column:
-    return value.isNull() | threshold.isNull() | ~(value > threshold)
 
+def _not_above(column: str, limits: Thresholds) -> str:
+    return f"coalesce(NOT ({column} > {per_cohort(limits)}), true)"
 
-def missing_items_threshold(df: DataFrame, n: int) -> dict[int, float | None]:
+
+def _performs(minimum: float) -> str:
+    return f"coalesce(NOT (numcorrect <= {number(float(minimum))}), true)"
+
+
+def missing_items_threshold(df: DataFrame, n: int) -> Thresholds:
     rows = df.groupBy("cohort").agg(F.max("numtries").alias("top")).collect()
     return {r["cohort"]: None if r["top"] is None else r["top"] - n for r in rows}
 
@@ -113,7 +120,7 @@ def missing_items_filter(df: DataFrame, n: int) -> DataFrame:
     """Keep plays with at most ``n`` items fewer than the longest play of the cohort."""
     if n <= 0 or "numtries" not in df.columns:
         return df
-    return df.filter(_not_below(F.col("numtries"), per_cohort(missing_items_threshold(df, n))))
+    return df.filter(_not_below("numtries", missing_items_threshold(df, n)))
 
 
 def min_performance_filter(df: DataFrame, minimum: float) -> DataFrame:
@@ -121,28 +128,22 @@ def min_performance_filter(df: DataFrame, minimum: float) -> DataFrame:
     return df.filter(_performs(minimum)) if minimum > 0 else df
 
 
-def _performs(minimum: float) -> Column:
-    return F.col("numcorrect").isNull() | ~(F.col("numcorrect") <= minimum)
-
-
-def sigma_threshold(df: DataFrame, k: float) -> dict[int, float | None]:
+def sigma_threshold(df: DataFrame, k: float) -> Thresholds:
     """mean + k sd of ``numcorrect`` per cohort; a negative ``k`` gives the lower limit."""
     rows = (
         df.groupBy("cohort")
         .agg(F.avg("numcorrect").alias("mean"), F.stddev_samp("numcorrect").alias("sd"))
         .collect()
     )
-    return {
-        r["cohort"]: None if r["sd"] is None else r["mean"] + r["sd"] * k for r in rows
-    }
+    return {r["cohort"]: None if r["sd"] is None else r["mean"] + r["sd"] * k for r in rows}
 
 
 def sigma_filter(df: DataFrame, k: float) -> DataFrame:
     """Drop low outliers, then high outliers by the mean and sd of what is left."""
     if k <= 0:
         return df
-    low = df.filter(_not_below(F.col("numcorrect"), per_cohort(sigma_threshold(df, -k))))
-    return low.filter(_not_above(F.col("numcorrect"), per_cohort(sigma_threshold(low, k))))
+    low = df.filter(_not_below("numcorrect", sigma_threshold(df, -k)))
+    return low.filter(_not_above("numcorrect", sigma_threshold(low, k)))
 
 
 def sparse_levels(df: DataFrame, minimum: int) -> DataFrame:
@@ -211,73 +212,78 @@ def clean(df: DataFrame, params: CompareParams, hot: HotKeys | None = None) -> C
     persisted or come from a table.
     """
     empty = empty_columns(column_counts(df))
-    typed = playtime_seconds(coerce_numbers(df.withColumn("_complete", complete_row(df, empty))))
-    typed = typed.drop(*empty)
+    complete = df.withColumn("_complete", F.expr(complete_row(df, empty)))
+    typed = playtime_seconds(coerce_numbers(complete)).drop(*empty)
 
-    steps: list[tuple[str, Column, dict[int, float | None]]] = []
-    alive = F.lit(True)
+    steps: list[Step] = [Step("null_rows", "_complete", {})]
 
-    def add(step: str, keep: Column, threshold: Mapping[int, float | None]) -> None:
-        nonlocal alive
-        steps.append((step, keep, dict(threshold)))
-        alive = alive & keep
+    def alive() -> DataFrame:
+        return typed.filter(_all(steps))
 
-    add("null_rows", F.col("_complete"), {})
     if params.missing_items > 0 and "numtries" in typed.columns:
-        limit = missing_items_threshold(typed.filter(alive), params.missing_items)
-        add("missing_items", _not_below(F.col("numtries"), per_cohort(limit)), limit)
+        limit = missing_items_threshold(alive(), params.missing_items)
+        steps.append(Step("missing_items", _not_below("numtries", limit), limit))
     if "numcorrect" in typed.columns:
         if params.min_performance > 0:
             same = dict.fromkeys(COHORTS, float(params.min_performance))
-            add("min_performance", _performs(params.min_performance), same)
+            steps.append(Step("min_performance", _performs(params.min_performance), same))
         if params.outlier_sigma > 0:
-            low = sigma_threshold(typed.filter(alive), -params.outlier_sigma)
-            add("low_outliers", _not_below(F.col("numcorrect"), per_cohort(low)), low)
-            high = sigma_threshold(typed.filter(alive), params.outlier_sigma)
-            add("high_outliers", _not_above(F.col("numcorrect"), per_cohort(high)), high)
+            low = sigma_threshold(alive(), -params.outlier_sigma)
+            steps.append(Step("low_outliers", _not_below("numcorrect", low), low))
+            high = sigma_threshold(alive(), params.outlier_sigma)
+            steps.append(Step("high_outliers", _not_above("numcorrect", high), high))
     if params.min_level_rows >= 0 and "session_level" in typed.columns:
-        sparse = sparse_levels(typed.filter(alive), params.min_level_rows)
+        sparse = sparse_levels(alive(), params.min_level_rows)
         marked = lookup(sparse.withColumn("_sparse", F.lit(True)))
         typed = typed.join(marked, ["cohort", "session_level"], "left")
         same = dict.fromkeys(COHORTS, float(params.min_level_rows))
-        add("sparse_levels", F.col("_sparse").isNull(), same)
+        steps.append(Step("sparse_levels", "_sparse IS NULL", same))
 
-    helpers = [c for c in ("_complete", "_sparse") if c in typed.columns]
-    kept = typed.filter(alive).drop(*helpers)
+    kept = alive().drop("_complete", "_sparse")
     if "numtries" in kept.columns and not tries_recorded(kept):
         kept = kept.drop("numtries")
     numbered = number_sessions(kept, "_plays", hot)
-    sessions = numbered.filter(F.col("_plays") >= params.min_sessions).drop("_plays")
-    order = [c for c in df.columns if c in sessions.columns] + ["session_count"]
-    audit = _audit(typed, steps, count_rows(kept, USER, "_plays", hot), params)
-    return Cleaned(sessions.select(*order), audit)
+    sessions = numbered.filter(F.col("_plays") >= params.min_sessions)
+    order = [c for c in df.columns if c in sessions.columns and c != "nth"]
+    audit = _audit(typed, steps, kept, params)
+    return Cleaned(sessions.select(*order, "session_count"), audit)
+
+
+@dataclass(frozen=True)
+class Step:
+    name: str
+    keep: str
+    threshold: Thresholds
 
 
-def _audit(typed, steps, counted, params) -> DataFrame:
+def _all(steps: list[Step]) -> str:
+    return " AND ".join(step.keep for step in steps)
+
+
+def _audit(typed: DataFrame, steps: list[Step], kept: DataFrame, params) -> DataFrame:
     """One row per cohort and step, from one aggregate over the rows and one over the users."""
-    survivors, alive = [F.count(F.lit(1)).alias("_s0")], F.lit(True)
-    for i, (_, keep, _) in enumerate(steps, start=1):
-        alive = alive & keep
-        survivors.append(F.count_if(alive).alias(f"_s{i}"))
+    survivors = [F.count(F.lit(1)).alias("_s0")]
+    for i in range(1, len(steps) + 1):
+        survivors.append(F.expr(f"count_if({_all(steps[:i])})").alias(f"_s{i}"))
     by_row = typed.groupBy("cohort").agg(*survivors)
-    by_user = counted.groupBy("cohort").agg(
-        F.count_if(F.col("_plays") >= params.min_sessions).alias("_users_kept")
-    )
-    last = len(steps)
-    both = by_row.join(F.broadcast(by_user), "cohort", "left").withColumn(
-        f"_s{last + 1}", F.coalesce(F.col("_users_kept"), F.lit(0))
+    plays = kept.groupBy(*USER).agg(F.count(F.lit(1)).alias("_plays"))
+    by_user = (
+        plays.filter(F.col("_plays") >= params.min_sessions)
+        .groupBy("cohort")
+        .agg(F.sum("_plays").alias("_users_kept"))
     )
-    thresholds = [t for _, _, t in steps]
-    thresholds.append(dict.fromkeys(COHORTS, float(params.min_sessions)))
-    names = [name for name, _, _ in steps] + ["min_sessions"]
+    minimum = dict.fromkeys(COHORTS, float(params.min_sessions))
     entries = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(name).alias("step"),
-            F.col(f"_s{i - 1}").alias("rows_before"),
-            F.col(f"_s{i}").alias("rows_after"),
-            per_cohort(threshold).cast("double").alias("threshold"),
-        )
-        for i, (name, threshold) in enumerate(zip(names, thresholds), start=1)
+        f"struct({i} AS position, '{step.name}' AS step, _s{i - 1} AS rows_before,"
+        f" _s{i} AS rows_after, CAST({per_cohort(step.threshold)} AS DOUBLE) AS threshold)"
+        for i, step in enumerate(steps, start=1)
     ]
-    return both.select("cohort", F.inline(F.array(*entries)))
+    last = len(steps)
+    entries.append(
+        f"struct({last + 1} AS position, 'min_sessions' AS step, _s{last} AS rows_before,"
+        f" coalesce(_users_kept, 0L) AS rows_after, {per_cohort(minimum)} AS threshold)"
+    )
+    # One row per cohort on either side.
+    return by_row.join(F.broadcast(by_user), "cohort", "left").selectExpr(
+        "cohort", f"inline(array({', '.join(entries)}))"
+    )

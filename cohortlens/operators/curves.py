@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import percent, standard_error, variance_explained
@@ -19,59 +19,45 @@ class Measure:
     ``mean`` replaces the plain average as the plotted mean; the fit still uses the average.
     """
 
-    value: Column
+    value: str
     needs: tuple[str, ...]
-    mean: Column | None = None
-
-
-def measures() -> dict[str, Measure]:
-    jump = F.col("user_level") - F.col("session_level")
-    return {
-        "session_level": Measure(F.col("session_level"), ("session_level",)),
-        "numcorrect": Measure(F.col("numcorrect"), ("numcorrect",)),
-        "percent_correct": Measure(
-            percent(F.col("numcorrect"), F.col("numtries")), ("numcorrect", "numtries")
-        ),
-        "level_jump": Measure(
-            jump,
-            ("user_level", "session_level"),
-            F.avg("user_level") - F.avg("session_level"),
-        ),
-        "score": Measure(F.col("score"), ("score",)),
-    }
+    mean: str | None = None
+
+
+MEASURES = {
+    "session_level": Measure("session_level", ("session_level",)),
+    "numcorrect": Measure("numcorrect", ("numcorrect",)),
+    "percent_correct": Measure(percent("numcorrect", "numtries"), ("numcorrect", "numtries")),
+    "level_jump": Measure(
+        "user_level - session_level",
+        ("user_level", "session_level"),
+        "avg(user_level) - avg(session_level)",
+    ),
+    "score": Measure("score", ("score",)),
+}
 
 
 def curves(df: DataFrame, key: str, names: Iterable[str]) -> DataFrame:
     """One row per measure, cohort and key, from a single aggregation by key."""
-    known = measures()
-    names = list(names)
     aggregates = []
     for name in names:
-        value = known[name].value
-        mean = known[name].mean
+        value = MEASURES[name].value
+        mean = MEASURES[name].mean or f"avg({value})"
         aggregates.append(
-            F.struct(
-                F.lit(name).alias("measure"),
-                F.count(value).alias("n"),
-                (F.avg(value) if mean is None else mean).alias("mean"),
-                F.stddev_samp(value).alias("sd"),
-                F.avg(value).alias("fit_mean"),
-            ).alias(name)
+            f"struct('{name}' AS measure, count({value}) AS n, CAST({mean} AS DOUBLE) AS mean,"
+            f" stddev_samp({value}) AS sd, CAST(avg({value}) AS DOUBLE) AS fit_mean)"
         )
-    grouped = df.groupBy("cohort", F.col(key).alias("key")).agg(*aggregates)
-    long = grouped.select("cohort", "key", F.inline(F.array(*names)))
-    return with_bands(long.filter(F.col("mean").isNotNull()))
+    grouped = df.groupBy("cohort", F.col(key).alias("key")).agg(
+        F.expr(f"array({', '.join(aggregates)})").alias("points")
+    )
+    long = grouped.selectExpr("cohort", "CAST(key AS BIGINT) AS key", "inline(points)")
+    return with_bands(long.filter("mean IS NOT NULL"))
 
 
 def with_bands(curve: DataFrame) -> DataFrame:
     """Standard error (NULL for one row), error bar (0 for one row) and mean +/- error."""
-    stderr = standard_error(F.col("sd"), F.col("n"))
-    return curve.withColumn("stderr", stderr).withColumns(
-        {
-            "err": F.coalesce(F.col("stderr"), F.lit(0.0)),
-            "lo": F.col("mean") - F.col("stderr"),
-            "hi": F.col("mean") + F.col("stderr"),
-        }
+    return curve.selectExpr("*", f"{standard_error('sd', 'n')} AS stderr").selectExpr(
+        "*", "coalesce(stderr, 0D) AS err", "mean - stderr AS lo", "mean + stderr AS hi"
     )
 
 
@@ -82,7 +68,7 @@ def with_fit(curve: DataFrame, groups: Iterable[str] = ("measure", "cohort")) ->
     """
     groups = list(groups)
     fits = curve.groupBy(*groups).agg(
-        variance_explained(F.col("key"), F.col("fit_mean")).alias("variance_explained")
+        F.expr(variance_explained("key", "fit_mean")).alias("variance_explained")
     )
     # One row per curve: at most cohorts x measures x trims, all fixed by the parameters.
     return curve.join(F.broadcast(fits), groups)
@@ -101,14 +87,14 @@ def early_curves(
         curve, groups, ["key"], {"_plays": F.col("n"), "_place": F.lit(1)}, window_rows
     )
     totals = curve.groupBy(*groups).agg(F.sum("n").alias("_all_plays"))
-    trim = F.col("trim")
-    keep = F.when(trim <= 1, F.col("_plays") < F.col("_all_plays") * (1 - trim)).otherwise(
-        F.col("_place") <= F.floor(trim)
-    )
+    listed = ", ".join(f"{float(t)!r}D" for t in trims)
     return (
         placed.join(F.broadcast(totals), groups)
-        .withColumn("trim", F.explode(F.array(*[F.lit(float(t)) for t in trims])))
-        .filter(keep)
+        .selectExpr("*", f"explode(array({listed})) AS trim")
+        .filter(
+            "CASE WHEN trim <= 1 THEN _plays < _all_plays * (1 - trim)"
+            " ELSE _place <= floor(trim) END"
+        )
         .drop("_plays", "_place", "_all_plays")
     )
 
@@ -120,62 +106,62 @@ def first_points(curve: DataFrame, n: int) -> DataFrame:
     return curve.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
-def linear_fit(curve: DataFrame, t_value: float, groups: Iterable[str] = ("measure", "cohort")):
-    """Straight-line fit of each curve: slope, intercept, residual sd and chi-square."""
-    groups = list(groups)
-    x, y = F.col("key").cast("double"), F.col("fit_mean")
-    parts = curve.groupBy(*groups).agg(
-        F.count(F.when(y.isNotNull(), x)).alias("points"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.regr_avgx(y, x).alias("mean_x"),
-        F.regr_sxx(y, x).alias("sxx"),
-        F.regr_syy(y, x).alias("syy"),
-        F.regr_sxy(y, x).alias("sxy"),
-    )
-    freedom = F.col("points") - 2
-    residual = F.greatest(
-        F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx")), F.lit(0.0)
+def linear_fit(curve: DataFrame, t_value: float) -> DataFrame:
+    """Straight-line fit of each curve: slope, intercept, residual sd and chi-square.
+
+    Chi-square divides the squared residuals by the squared variance of the points, as defined
+    for this report.
+    """
+    x, y = "CAST(key AS DOUBLE)", "fit_mean"
+    parts = curve.groupBy("measure", "cohort").agg(
+        F.expr(f"regr_count({y}, {x})").alias("points"),
+        F.expr(f"regr_slope({y}, {x})").alias("slope"),
+        F.expr(f"regr_intercept({y}, {x})").alias("intercept"),
+        F.expr(f"regr_avgx({y}, {x})").alias("mean_x"),
+        F.expr(f"regr_sxx({y}, {x})").alias("sxx"),
+        F.expr(f"regr_syy({y}, {x})").alias("_syy"),
+        F.expr(f"regr_sxy({y}, {x})").alias("_sxy"),
     )
-    variance = F.try_divide(F.col("syy"), F.col("points"))
     return (
-        parts.withColumn("_residual", residual)
-        .withColumn("residual_sd", F.sqrt(F.try_divide(F.col("_residual"), freedom)))
-        .withColumn("chi_square", F.try_divide(F.col("_residual"), variance * variance))
-        .withColumn("reduced_chi_square", F.try_divide(F.col("chi_square"), freedom))
-        .withColumn("t_value", F.lit(float(t_value)))
-        .drop("_residual", "syy", "sxy")
+        parts.selectExpr(
+            "*",
+            "greatest(_syy - try_divide(_sxy * _sxy, sxx), 0D) AS _residual",
+            "try_divide(_syy, points) AS _variance",
+        )
+        .selectExpr("*", "try_divide(_residual, _variance * _variance) AS chi_square")
+        .selectExpr(
+            *("measure", "cohort", "points", "slope", "intercept", "mean_x", "sxx"),
+            "sqrt(try_divide(_residual, points - 2)) AS residual_sd",
+            "chi_square",
+            "try_divide(chi_square, points - 2) AS reduced_chi_square",
+            f"{float(t_value)!r}D AS t_value",
+        )
     )
 
 
 def fit_bands(curve: DataFrame, t_value: float, points: int = 100) -> DataFrame:
     """Confidence and prediction bands of the fit at evenly spaced keys."""
     groups = ["measure", "cohort"]
-    fit = linear_fit(curve, t_value)
     ends = curve.groupBy(*groups).agg(
         F.min("key").cast("double").alias("_first"), F.max("key").cast("double").alias("_last")
     )
-    step = (F.col("_last") - F.col("_first")) / (points - 1)
-    n = F.col("points")
-    x = F.col("x")
-    distance = F.try_divide((x - F.col("mean_x")) * (x - F.col("mean_x")), F.col("sxx"))
-    spread = F.col("t_value") * F.col("residual_sd")
+    # One row per curve on either side.
     return (
-        fit.join(F.broadcast(ends), groups)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", F.col("_first") + F.col("point") * step)
-        .withColumn("fitted", F.col("intercept") + F.col("slope") * x)
-        .withColumn("_conf", spread * F.sqrt(F.lit(1.0) / n + distance))
-        .withColumn("_pred", spread * F.sqrt(F.lit(1.0) + F.lit(1.0) / n + distance))
-        .select(
-            *groups,
-            "point",
-            "x",
-            "fitted",
-            (F.col("fitted") - F.col("_conf")).alias("confidence_lo"),
-            (F.col("fitted") + F.col("_conf")).alias("confidence_hi"),
-            (F.col("fitted") - F.col("_pred")).alias("prediction_lo"),
-            (F.col("fitted") + F.col("_pred")).alias("prediction_hi"),
+        linear_fit(curve, t_value)
+        .join(F.broadcast(ends), groups)
+        .selectExpr("*", f"explode(sequence(0, {points - 1})) AS point")
+        .selectExpr("*", f"_first + point * ((_last - _first) / {points - 1}) AS x")
+        .selectExpr(
+            "*",
+            "intercept + slope * x AS fitted",
+            "1D / points + try_divide((x - mean_x) * (x - mean_x), sxx) AS _spread",
+        )
+        .selectExpr(
+            *("measure", "cohort", "point", "x", "fitted"),
+            "fitted - t_value * residual_sd * sqrt(_spread) AS confidence_lo",
+            "fitted + t_value * residual_sd * sqrt(_spread) AS confidence_hi",
+            "fitted - t_value * residual_sd * sqrt(1 + _spread) AS prediction_lo",
+            "fitted + t_value * residual_sd * sqrt(1 + _spread) AS prediction_hi",
         )
     )
 

@@ -1,16 +1,18 @@
 """Comparing the distribution of a value in both cohorts.
 
 Everything is computed from a frequency table (``metric, cohort, value, n``), so plays are
-counted before they are moved and several metrics share each pass.
+counted before they are moved and several metrics share each pass. What is known about a
+frequency table as a whole (ranges, sizes; two rows per metric) is looked up first: ``Profile``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions import ks_p_value, per_cohort, percent
 from cohortlens.model import COHORTS
@@ -29,65 +31,57 @@ class Cut:
     kind: str = "none"
     k: tuple[float, float] = (0, 0)
 
-    def limit(self) -> Column:
-        k = per_cohort({c: float(k) for c, k in zip(COHORTS, self.k) if k > 0}).cast("double")
-        if self.kind == "mean_sd":
-            return F.col("mean") + k * F.col("sd")
-        if self.kind == "sd":
-            return k * F.col("sd")
-        return k if self.kind == "cap" else F.lit(None).cast("double")
+    def _on(self) -> dict[int, float]:
+        if self.kind == "none":
+            return {}
+        return {c: float(k) for c, k in zip(COHORTS, self.k) if k > 0}
 
-    def keeps(self) -> Column:
+    def limit(self) -> str:
+        k = per_cohort(self._on())
+        return {"mean_sd": f"mean + {k} * sd", "sd": f"{k} * sd"}.get(self.kind, k)
+
+    def keeps(self) -> str:
         """Rows that stay. With a switched-on cut, a NULL value or NULL limit keeps nothing."""
-        on = [c for c, k in zip(COHORTS, self.k) if k > 0 and self.kind != "none"]
-        value, limit = F.col("value"), F.col("cutoff")
-        inside = value < limit if self.kind == "sd" else value <= limit
-        return F.when(F.col("cohort").isin(*on), inside).otherwise(True) if on else F.lit(True)
+        on = self._on()
+        if not on:
+            return "true"
+        inside = "value < cutoff" if self.kind == "sd" else "value <= cutoff"
+        return f"(cohort NOT IN ({', '.join(map(str, on))}) OR {inside})"
 
 
 # --- values ----------------------------------------------------------------------------------
 
+# Per-user aggregates, with the columns they need.
+USER_AGGREGATES = {
+    "plays": ("max(session_count)", ("session_count",)),
+    "longest": ("max(playtime)", ("playtime",)),
+    "shortest": ("min(playtime)", ("playtime",)),
+    "correct": ("avg(numcorrect)", ("numcorrect",)),
+    "tries": ("avg(numtries)", ("numtries",)),
+    "jump": ("avg(user_level - session_level)", ("user_level", "session_level")),
+    "score": ("avg(score)", ("score",)),
+}
 
-def user_aggregates() -> dict[str, tuple[Column, tuple[str, ...]]]:
-    """Per-user aggregates by name, with the columns they need."""
-    return {
-        "plays": (F.max("session_count"), ("session_count",)),
-        "longest": (F.max("playtime"), ("playtime",)),
-        "shortest": (F.min("playtime"), ("playtime",)),
-        "correct": (F.avg("numcorrect"), ("numcorrect",)),
-        "tries": (F.avg("numtries"), ("numtries",)),
-        "jump": (
-            F.avg(F.col("user_level") - F.col("session_level")),
-            ("user_level", "session_level"),
-        ),
-        "score": (F.avg("score"), ("score",)),
-    }
+# Percent correct from the user's two means, rounded half to even.
+PERCENT_PER_USER = f"bround({percent('correct', 'tries')})"
 
 
 def per_user(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
     """One row per cohort and user; hash aggregation combines a user's plays map-side."""
-    known = user_aggregates()
     if names is None:
-        names = [n for n, (_, needs) in known.items() if set(needs) <= set(df.columns)]
-    return df.groupBy("cohort", "user_id").agg(*[known[n][0].alias(n) for n in names])
-
-
-def percent_per_user() -> Column:
-    """Percent correct from the user's two means, rounded half to even."""
-    return F.bround(percent(F.col("correct"), F.col("tries")))
-
-
-def infinite_percent() -> Column:
-    return (F.col("tries") == 0) & (F.col("correct") > 0)
+        names = [n for n, (_, needs) in USER_AGGREGATES.items() if set(needs) <= set(df.columns)]
+    return df.groupBy("cohort", "user_id").agg(
+        *[F.expr(USER_AGGREGATES[n][0]).alias(n) for n in names]
+    )
 
 
-def user_values(users: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+def user_values(users: DataFrame, values: Mapping[str, str]) -> DataFrame:
     """Long form: ``metric, cohort, value``, one row per user and metric."""
     entries = [
-        F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+        f"struct('{metric}' AS metric, CAST({value} AS DOUBLE) AS value)"
         for metric, value in values.items()
     ]
-    return users.select("cohort", F.inline(F.array(*entries)))
+    return users.selectExpr("cohort", f"inline(array({', '.join(entries)}))")
 
 
 def with_cutoff(values: DataFrame, cuts: Mapping[str, Cut]) -> DataFrame:
@@ -99,24 +93,23 @@ def with_cutoff(values: DataFrame, cuts: Mapping[str, Cut]) -> DataFrame:
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),
     )
-    cutoff = F.lit(None).cast("double")
-    for metric, cut in cuts.items():
-        cutoff = F.when(F.col("metric") == metric, cut.limit()).otherwise(cutoff)
-    return summary.withColumn("cutoff", cutoff)
+    return summary.selectExpr("*", f"CAST({_by_metric(cuts, Cut.limit)} AS DOUBLE) AS cutoff")
+
+
+def _by_metric(cuts: Mapping[str, Cut], text) -> str:
+    cases = " ".join(f"WHEN '{metric}' THEN {text(cut)}" for metric, cut in cuts.items())
+    return f"CASE metric {cases} END"
 
 
 def user_frequencies(
     values: DataFrame, summary: DataFrame, cuts: Mapping[str, Cut]
 ) -> DataFrame:
     """How many users have each value, after the cut."""
-    keep = F.lit(True)
-    for metric, cut in cuts.items():
-        keep = F.when(F.col("metric") == metric, cut.keeps()).otherwise(keep)
     # The summary has two rows per metric.
     limits = F.broadcast(summary.select("metric", "cohort", "cutoff"))
     return (
         values.join(limits, ["metric", "cohort"])
-        .filter(F.col("value").isNotNull() & keep)
+        .filter(f"value IS NOT NULL AND {_by_metric(cuts, Cut.keeps)}")
         .groupBy("metric", "cohort", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -125,9 +118,9 @@ def user_frequencies(
 def play_frequencies(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """How many plays have each value of a column, for ``{metric: column}``."""
     parts = [
-        df.groupBy("cohort", F.col(column).cast("double").alias("value"))
+        df.filter(F.col(column).isNotNull())
+        .groupBy("cohort", F.col(column).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("value").isNotNull())
         .select(F.lit(metric).alias("metric"), "cohort", "value", "n")
         for metric, column in columns.items()
     ]
@@ -142,7 +135,7 @@ def play_summary(frequencies: DataFrame) -> DataFrame:
         F.sum("n").alias("total"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
-        F.try_divide(F.sum(F.col("n") * F.col("value")), F.sum("n")).alias("mean"),
+        F.expr("try_divide(sum(n * value), sum(n))").alias("mean"),
         F.lit(None).cast("double").alias("sd"),
         F.lit(None).cast("double").alias("cutoff"),
     )
@@ -150,196 +143,222 @@ def play_summary(frequencies: DataFrame) -> DataFrame:
 
 def exclusions(frequencies: DataFrame, summary: DataFrame) -> DataFrame:
     """How many values the cut took out."""
-    kept = frequencies.groupBy("metric", "cohort").agg(F.sum("n").alias("kept"))
-    counted = summary.join(F.broadcast(kept), ["metric", "cohort"], "left")
-    return counted.select(
-        "metric",
-        "cohort",
-        "total",
-        (F.col("total") - F.coalesce(F.col("kept"), F.lit(0))).alias("excluded"),
-        "min",
-        "max",
-        "mean",
-        "cutoff",
+    kept = frequencies.groupBy("metric", "cohort").agg(F.sum("n").alias("_kept"))
+    # Two rows per metric.
+    return summary.join(F.broadcast(kept), ["metric", "cohort"], "left").selectExpr(
+        *("metric", "cohort", "total"),
+        "total - coalesce(_kept, 0) AS excluded",
+        *("min", "max", "mean", "cutoff"),
     )
 
 
-# --- histograms ------------------------------------------------------------------------------
+# --- what is known about a frequency table ------------------------------------------------------
 
 
-def bin_count(lowest: Column, highest: Column) -> Column:
+def bin_count(lowest: float, highest: float) -> int:
     """Fixed rule: 10 bins below a span of 20, 20 bins below 30, else 30."""
-    span = (highest - lowest).cast("long") + 1
-    return F.when(span < 20, 10).when(span < 30, 20).otherwise(30)
+    span = int(highest - lowest) + 1
+    return 10 if span < 20 else 20 if span < 30 else 30
 
 
-def value_ranges(frequencies: DataFrame) -> DataFrame:
-    """Own and shared range of each metric and cohort, with the number of bins.
+def _widen(lowest: float, highest: float) -> tuple[float, float]:
+    """A range of one point is widened by half a unit on both sides."""
+    return (lowest - 0.5, highest + 0.5) if lowest == highest else (lowest, highest)
 
-    A range of one point is widened by half a unit on both sides.
-    """
-    own = frequencies.groupBy("metric", "cohort").agg(
-        F.min("value").alias("lowest"), F.max("value").alias("highest"), F.sum("n").alias("size")
-    )
-    shared = own.groupBy("metric").agg(
-        F.min("lowest").alias("both_lowest"),
-        F.max("highest").alias("both_highest"),
-        F.max(F.col("lowest") == F.col("highest")).alias("constant"),
-    )
-    joined = own.join(F.broadcast(shared), "metric")
-    return joined.select(
-        "metric",
-        "cohort",
-        "size",
-        "constant",
-        bin_count(F.col("both_lowest"), F.col("both_highest")).alias("bins"),
-        *_widen("lowest", "highest", "own"),
-        *_widen("both_lowest", "both_highest", "shared"),
+
+@dataclass(frozen=True)
+class Profile:
+    """Range, size and norm of each metric and cohort: two rows per metric, on the driver."""
+
+    rows: tuple[Row, ...]
+
+    SCHEMA = T.StructType(
+        [
+            T.StructField("metric", T.StringType()),
+            T.StructField("cohort", T.IntegerType()),
+            T.StructField("size", T.LongType()),
+            T.StructField("bins", T.IntegerType()),
+            T.StructField("own_from", T.DoubleType()),
+            T.StructField("own_to", T.DoubleType()),
+            T.StructField("shared_from", T.DoubleType()),
+            T.StructField("shared_to", T.DoubleType()),
+            T.StructField("norm", T.DoubleType()),
+        ]
     )
 
+    @classmethod
+    def of(cls, frequencies: DataFrame) -> Profile:
+        found = frequencies.groupBy("metric", "cohort").agg(
+            F.min("value").alias("lowest"),
+            F.max("value").alias("highest"),
+            F.sum("n").alias("size"),
+            F.count(F.lit(1)).alias("values"),
+            F.expr("sqrt(sum(n * value * value))").alias("norm"),
+        )
+        return cls(tuple(found.collect()))
+
+    def of_metric(self, metric: str) -> list[Row]:
+        return [row for row in self.rows if row["metric"] == metric]
+
+    def constant(self, metric: str) -> bool:
+        """Whether all values of a cohort are the same."""
+        return any(row["lowest"] == row["highest"] for row in self.of_metric(metric))
+
+    def without(self, metrics: Iterable[str]) -> Profile:
+        left_out = set(metrics)
+        return Profile(tuple(row for row in self.rows if row["metric"] not in left_out))
+
+    def largest(self) -> int:
+        """Most distinct values that any metric can have."""
+        totals: dict[str, int] = {}
+        for row in self.rows:
+            totals[row["metric"]] = totals.get(row["metric"], 0) + row["values"]
+        return max(totals.values(), default=0)
+
+    def frame(self, like: DataFrame) -> DataFrame:
+        """The rows with bin ranges. The norm keeps 12 digits: its last ones depend on the
+        order of summation, and equal samples have to stay equal."""
+        rows = []
+        for row in self.rows:
+            both = self.of_metric(row["metric"])
+            lowest = min(r["lowest"] for r in both)
+            highest = max(r["highest"] for r in both)
+            rows.append(
+                (
+                    row["metric"],
+                    row["cohort"],
+                    row["size"],
+                    bin_count(lowest, highest),
+                    *_widen(row["lowest"], row["highest"]),
+                    *_widen(lowest, highest),
+                    float(f"{row['norm']:.11e}") or 1.0,
+                )
+            )
+        return F.broadcast(like.sparkSession.createDataFrame(rows, self.SCHEMA))
 
-def _widen(low: str, high: str, name: str) -> list[Column]:
-    single = F.col(low) == F.col(high)
-    return [
-        F.when(single, F.col(low) - 0.5).otherwise(F.col(low)).alias(f"{name}_from"),
-        F.when(single, F.col(high) + 0.5).otherwise(F.col(high)).alias(f"{name}_to"),
-    ]
+
+# --- histograms ------------------------------------------------------------------------------
 
 
-def _edge(name: str, i: Column) -> Column:
-    width = (F.col(f"{name}_to") - F.col(f"{name}_from")) / F.col("bins")
-    return F.when(i == F.col("bins"), F.col(f"{name}_to")).otherwise(
-        F.col(f"{name}_from") + i * width
+def _edge(name: str, i: str) -> str:
+    return (
+        f"IF({i} = bins, {name}_to, {name}_from + ({i}) * (({name}_to - {name}_from) / bins))"
     )
 
 
-def _bin(name: str) -> Column:
+def _bin(name: str) -> str:
     """Bin of ``value``: closed on the left, and the last one on both sides.
 
     The first guess can be one off by rounding, so the bin edges have the last word.
     """
-    value, bins = F.col("value"), F.col("bins")
-    extent = F.col(f"{name}_to") - F.col(f"{name}_from")
-    guess = F.least(
-        F.floor((value - F.col(f"{name}_from")) * bins / extent), (bins - 1).cast("long")
-    )
-    return (
-        guess
-        - (value < _edge(name, guess)).cast("int")
-        + ((value >= _edge(name, guess + 1)) & (guess < bins - 1)).cast("int")
+    guess = f"least(floor((value - {name}_from) * bins / ({name}_to - {name}_from)), bins - 1)"
+    settled = (
+        f"g - IF(value < {_edge(name, 'g')}, 1, 0)"
+        f" + IF(g < bins - 1 AND value >= {_edge(name, 'g + 1')}, 1, 0)"
     )
+    return f"transform(array({guess}), g -> {settled})[0]"
 
 
-def histograms(frequencies: DataFrame, ranges: DataFrame) -> DataFrame:
+def histograms(frequencies: DataFrame, profile: Profile) -> DataFrame:
     """Counts over each cohort's own range, and counts and density over the shared range.
 
-    One pass over the frequencies; everything after it has at most 900 rows per metric and cohort.
+    One pass over the frequencies and one shuffle of at most a row per bin and task.
     """
     keys = ["metric", "cohort"]
-    placed = (
-        frequencies.join(F.broadcast(ranges), keys)
-        .groupBy(*keys, _bin("own").alias("own_bin"), _bin("shared").alias("shared_bin"))
-        .agg(F.sum("n").alias("n"))
+    ranges = profile.frame(frequencies)
+    placed = frequencies.join(ranges, keys).selectExpr(
+        *keys,
+        f"inline(array(struct({_bin('own')} AS bin, n AS own_n, 0L AS shared_n),"
+        f" struct({_bin('shared')} AS bin, 0L AS own_n, n AS shared_n)))",
     )
-    own, shared = (
-        placed.groupBy(*keys, F.col(f"{name}_bin").alias("bin")).agg(
-            F.sum("n").alias(f"{name}_count")
-        )
-        for name in ("own", "shared")
+    grid = ranges.selectExpr(
+        *keys, "explode(sequence(0L, bins - 1L)) AS bin", "0L AS own_n", "0L AS shared_n"
     )
-    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    i = F.col("bin")
-    width = (F.col("shared_to") - F.col("shared_from")) / F.col("bins")
-    count = F.coalesce(F.col("shared_count"), F.lit(0))
-    return (
-        grid.join(F.broadcast(own), [*keys, "bin"], "left")
-        .join(F.broadcast(shared), [*keys, "bin"], "left")
-        .select(
-            *keys,
-            "bin",
-            _edge("own", i).alias("own_lo"),
-            _edge("own", i + 1).alias("own_hi"),
-            F.coalesce(F.col("own_count"), F.lit(0)).alias("own_count"),
-            _edge("shared", i).alias("shared_lo"),
-            _edge("shared", i + 1).alias("shared_hi"),
-            count.alias("shared_count"),
-            (count / (F.col("size") * width)).alias("density"),
-        )
+    counted = (
+        placed.unionByName(grid)
+        .groupBy(*keys, "bin")
+        .agg(F.sum("own_n").alias("own_count"), F.sum("shared_n").alias("shared_count"))
+    )
+    return counted.join(ranges, keys).selectExpr(
+        *keys,
+        "bin",
+        f"{_edge('own', 'bin')} AS own_lo",
+        f"{_edge('own', 'bin + 1')} AS own_hi",
+        "own_count",
+        f"{_edge('shared', 'bin')} AS shared_lo",
+        f"{_edge('shared', 'bin + 1')} AS shared_hi",
+        "shared_count",
+        "shared_count / (size * ((shared_to - shared_from) / bins)) AS density",
     )
 
 
 # --- Kolmogorov-Smirnov ----------------------------------------------------------------------
 
 
-def unit_norm(frequencies: DataFrame) -> DataFrame:
-    """Values divided by the Euclidean norm of all values of their metric and cohort.
+def unit_norm(frequencies: DataFrame, profile: Profile) -> DataFrame:
+    """Values divided by the Euclidean norm of all values of their metric and cohort."""
+    norms = profile.frame(frequencies).select("metric", "cohort", "norm")
+    scaled = frequencies.join(norms, ["metric", "cohort"])
+    return scaled.selectExpr("metric", "cohort", "value / norm AS value", "n")
 
-    The norm keeps 12 digits: the last ones depend on the order of summation, and equal
-    samples have to stay equal.
-    """
-    squares = F.sum(F.col("n") * F.col("value") * F.col("value"))
-    norms = frequencies.groupBy("metric", "cohort").agg(
-        F.format_string("%.11e", F.sqrt(squares)).cast("double").alias("_norm")
-    )
-    scaled = F.when(F.col("_norm") == 0, F.col("value")).otherwise(
-        F.col("value") / F.col("_norm")
-    )
-    return (
-        frequencies.join(F.broadcast(norms), ["metric", "cohort"])
-        .withColumn("value", scaled)
-        .drop("_norm")
-    )
 
-
-def ks_statistic(
-    frequencies: DataFrame, by: Sequence[str] = ("metric",), window_rows: int | None = None
+def ks_tests(
+    frequencies: DataFrame, profile: Profile, window_rows: int | None = None
 ) -> DataFrame:
-    """Largest distance between the two cumulative distributions, with its p-value."""
-    by = list(by)
-    counts = frequencies.groupBy(*by, "value").agg(
-        *[
-            F.sum(F.when(F.col("cohort") == c, F.col("n")).otherwise(0)).alias(f"_n{c}")
-            for c in COHORTS
-        ]
+    """Two-sample Kolmogorov-Smirnov tests, one row per metric.
+
+    Is the distribution the same? Is its shape (after scaling each sample to unit norm)?
+    """
+    both = ["metric", "variant"]
+    ranges = profile.frame(frequencies).select("metric", "cohort", "norm")
+    counts = (
+        frequencies.join(ranges, ["metric", "cohort"])
+        .selectExpr(
+            "metric",
+            "inline(array(struct('value' AS variant, value AS value),"
+            " struct('shape' AS variant, value / norm AS value)))",
+            "IF(cohort = 1, n, 0L) AS n1",
+            "IF(cohort = 2, n, 0L) AS n2",
+        )
+        .groupBy(*both, "value")
+        .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
     )
     running = running_totals(
-        counts, by, ["value"], {"_f1": F.col("_n1"), "_f2": F.col("_n2")}, window_rows
+        counts,
+        both,
+        ["value"],
+        {"_f1": F.col("n1"), "_f2": F.col("n2")},
+        window_rows,
+        largest=profile.largest(),
+        rows=2 * sum(row["values"] for row in profile.rows),
     )
-    sizes = counts.groupBy(*by).agg(F.sum("_n1").alias("n1"), F.sum("_n2").alias("n2"))
-    gap = F.abs(F.try_divide(F.col("_f1"), F.col("n1")) - F.try_divide(F.col("_f2"), F.col("n2")))
-    # One row per tested distribution on the broadcast side.
     found = (
-        running.join(F.broadcast(sizes), by)
-        .groupBy(*by, "n1", "n2")
-        .agg(F.max(gap).alias("d"))
+        running.drop("n1", "n2")
+        .join(_sizes(frequencies, profile), "metric")
+        .groupBy(*both, "n1", "n2")
+        .agg(F.expr("max(abs(try_divide(_f1, n1) - try_divide(_f2, n2)))").alias("d"))
+        .selectExpr("*", f"{ks_p_value('d', 'n1', 'n2')} AS p")
     )
-    return found.withColumn("p_value", ks_p_value(F.col("d"), F.col("n1"), F.col("n2")))
-
-
-def ks_tests(frequencies: DataFrame, window_rows: int | None = None) -> DataFrame:
-    """Same distribution? Same shape (after scaling each sample to unit norm)?"""
-    variants = frequencies.withColumn("variant", F.lit("value")).unionByName(
-        unit_norm(frequencies).withColumn("variant", F.lit("shape"))
+    values = ("n1", "n2", "d", "p")
+    shaped = [f"max(IF(variant = 'value', {c}, NULL)) AS {c}" for c in values]
+    shaped += [f"max(IF(variant = 'shape', {c}, NULL)) AS shape_{c}" for c in ("d", "p")]
+    return (
+        found.groupBy("metric")
+        .agg(*[F.expr(text) for text in shaped])
+        .selectExpr(
+            *("metric", "n1", "n2", "d", "p AS p_value", "shape_d", "shape_p AS shape_p_value"),
+            f"p >= {SIGNIFICANCE}D AS same_distribution",
+            f"shape_p >= {SIGNIFICANCE}D AS same_shape",
+        )
     )
-    tested = ks_statistic(variants, ["metric", "variant"], window_rows)
 
-    def of(variant: str, column: str) -> Column:
-        return F.max(F.when(F.col("variant") == variant, F.col(column)))
 
-    return (
-        tested.groupBy("metric")
-        .agg(
-            of("value", "n1").alias("n1"),
-            of("value", "n2").alias("n2"),
-            of("value", "d").alias("d"),
-            of("value", "p_value").alias("p_value"),
-            of("shape", "d").alias("shape_d"),
-            of("shape", "p_value").alias("shape_p_value"),
-        )
-        .withColumns(
-            {
-                "same_distribution": F.col("p_value") >= SIGNIFICANCE,
-                "same_shape": F.col("shape_p_value") >= SIGNIFICANCE,
-            }
-        )
+def _sizes(like: DataFrame, profile: Profile) -> DataFrame:
+    """Sample sizes, one row per metric."""
+    sizes: dict[str, dict[int, int]] = {}
+    for row in profile.rows:
+        sizes.setdefault(row["metric"], {})[row["cohort"]] = row["size"]
+    rows = [(m, *(found.get(c, 0) for c in COHORTS)) for m, found in sizes.items()]
+    return F.broadcast(
+        like.sparkSession.createDataFrame(rows, "metric string, n1 long, n2 long")
     )

@@ -73,20 +73,19 @@ def sample_users(
     """
     ordered = ordered_users(matrix, window_rows)
     sizes = matrix.groupBy("cohort").agg(F.count(F.lit(1)).alias("_users"))
-    users, ordinal = F.col("_users"), F.col("ordinal")
-    large = users > most
-    step = F.when(large, F.bround(users / most).cast("long"))
-    place = F.when(step == 1, ordinal - (users - most)).otherwise(ordinal)
-    taken = (
-        (F.col("_place") > 0)
-        & (F.col("_place") % F.col("_step") == 0)
-        & (F.col("_place") / F.col("_step") <= most - 1)
-    )
-    kind = F.when(~large, "all").when(step == 1, "top").otherwise("downsampled")
+    # One row per cohort on the broadcast side.
     return (
         ordered.join(F.broadcast(sizes), "cohort")
-        .withColumns({"sample": kind, "_step": step, "_place": place})
-        .filter(~large | taken)
+        .selectExpr("*", f"IF(_users > {most}, CAST(bround(_users / {most}) AS BIGINT), 0) AS _step")
+        .selectExpr("*", f"IF(_step = 1, ordinal - (_users - {most}), ordinal) AS _place")
+        .selectExpr(
+            "*",
+            "CASE _step WHEN 0 THEN 'all' WHEN 1 THEN 'top' ELSE 'downsampled' END AS sample",
+        )
+        .filter(
+            "_step = 0 OR (_place > 0 AND try_mod(_place, _step) = 0"
+            f" AND try_divide(_place, _step) <= {most - 1})"
+        )
         .drop("_users", "_step", "_place")
     )
 

@@ -24,15 +24,19 @@ def running_totals(
     order: Sequence[str],
     sums: Mapping[str, Column],
     window_rows: int | None = None,
+    largest: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums along ``order`` within each group of ``by``.
 
-    ``order`` has to be unique within a group. The largest group is measured first. If it fits
-    one task, a plain window does it; otherwise the groups are cut (see ``sliced_totals``).
+    ``order`` has to be unique within a group. If the largest group fits one task, a plain window
+    does it; otherwise the groups are cut (see ``sliced_totals``). A caller that knows how many
+    rows the largest group and the frame can have says so, else they are counted first.
     """
     window_rows = WINDOW_ROWS if window_rows is None else window_rows
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    if largest is None:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
     if (largest or 0) > window_rows:
         return sliced_totals(df, by, order, sums, rows)
     running = _running(Window.partitionBy(*by), order)

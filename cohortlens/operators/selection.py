@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,17 @@ from cohortlens.operators.prefix import running_totals
 
 USER = ["cohort", "user_id"]
 PLAY_ORDER = ["event_created_at", "game_result_id"]
+CARRIED = [
+    "cohort",
+    "game_id",
+    "game_result_id",
+    "user_id",
+    "created_at",
+    "event_created_at",
+    "user_level",
+    "session_level",
+    "score",
+]
 OUTPUT = [
     "cohort",
     "game_result_id",
@@ -66,14 +75,21 @@ def _prunable(plays: DataFrame, params: CompareParams) -> Column:
     if params.years is not None:
         condition &= _year(plays).isin(*params.years)
         if "yyyy" not in plays.columns and params.years:
-            first = datetime.datetime(min(params.years), 1, 1)
-            end = datetime.datetime(max(params.years) + 1, 1, 1)
-            condition &= (F.col("created_at") >= F.lit(first)) & (F.col("created_at") < F.lit(end))
+            kind = _timestamp_type(plays)
+            condition &= F.expr(
+                f"created_at >= {kind}'{min(params.years)}-01-01'"
+                f" AND created_at < {kind}'{max(params.years) + 1}-01-01'"
+            )
     if params.months is not None:
         condition &= _month(plays).isin(*set(params.months))
     return condition
 
 
+def _timestamp_type(df: DataFrame) -> str:
+    """Constants of the column's own type need no cast, which would hide it from the scan."""
+    return dict(df.dtypes)["created_at"].upper()
+
+
 def extract_fields(plays: DataFrame, params: CompareParams) -> DataFrame:
     """Narrow the tagged rows to the columns the comparison uses.
 
@@ -85,37 +101,24 @@ def extract_fields(plays: DataFrame, params: CompareParams) -> DataFrame:
         "numtries": params.tries_label,
         "playtime": params.playtime_label,
     }
-    wanted = [name for pair in labels.values() for name in pair]
-    columns = {
-        name: F.col(name)
-        for name in ("cohort", "game_id", "game_result_id", "user_id", "created_at")
-        if name in plays.columns
-    }
-    columns |= {
-        name: F.col(name)
-        for name in ("event_created_at", "user_level", "session_level", "score")
-        if name in plays.columns
-    }
+    columns = {name: name for name in CARRIED if name in plays.columns}
     if "metadata" in plays.columns:
-        plays = plays.withColumn(
-            "_json", json_fields(F.col("metadata"), [*wanted, "selected_level", "version"])
-        )
+        wanted = [name for pair in labels.values() for name in pair]
+        parsed = json_fields("metadata", [*wanted, "selected_level", "version"])
+        plays = plays.withColumn("_json", F.expr(parsed))
         for name, (first, second) in labels.items():
-            field = F.col("_json").getField(first)
+            columns[name] = f"_json.`{first}`"
             if first != second:
-                field = F.when(F.col("cohort") == 1, field).otherwise(
-                    F.col("_json").getField(second)
-                )
-            columns[name] = field
-        selected, version = F.col("_json.selected_level"), F.col("_json.version")
+                columns[name] = f"IF(cohort = 1, _json.`{first}`, _json.`{second}`)"
+        selected, version = "_json.selected_level", "_json.version"
     else:
-        columns |= {name: F.col(name).cast("string") for name in labels if name in plays.columns}
-        selected, version = F.col("selected_level"), F.col("version")
+        columns |= {n: f"CAST({n} AS STRING)" for n in labels if n in plays.columns}
+        selected, version = "selected_level", "version"
     if params.selected_level:
         columns["session_level"] = whole_number(selected)
     if any(v is not None for v in params.versions):
         columns["version"] = whole_number(version)
-    return plays.select(*[column.alias(name) for name, column in columns.items()])
+    return plays.selectExpr(*[f"{value} AS {name}" for name, value in columns.items()])
 
 
 def active_users(df: DataFrame, min_plays: int, hot: HotKeys | None = None) -> DataFrame:
@@ -154,18 +157,19 @@ def age_window(df: DataFrame, params: CompareParams) -> DataFrame:
     """Keep plays whose age lies between the limits of their cohort."""
     if not params.age_unit:
         return df
-    as_of = F.lit(params.as_of) if params.as_of else F.current_date()
-    as_of = as_of.cast("timestamp")
     unit = params.age_unit.upper()
-    old = age(unit, F.col("created_at"), as_of, params.age_boundary)
+    kind = _timestamp_type(df)
+    as_of = f"{kind}'{params.as_of}'" if params.as_of else f"CAST(current_date() AS {kind})"
+    old = age(unit, "created_at", as_of, params.age_boundary)
     lower, upper = (
         per_cohort(dict(zip(COHORTS, pair))) for pair in (params.age_lower, params.age_upper)
     )
     # A wider interval on the bare column, which the file scan can use.
-    earliest = F.timestamp_add(unit, F.lit(-(max(params.age_upper) + 2)), as_of)
-    latest = F.timestamp_add(unit, F.lit(-(min(params.age_lower) - 2)), as_of)
-    created = F.col("created_at")
-    return df.filter((created >= earliest) & (created <= latest)).filter(old.between(lower, upper))
+    earliest = f"timestampadd({unit}, {-(max(params.age_upper) + 2)}, {as_of})"
+    latest = f"timestampadd({unit}, {2 - min(params.age_lower)}, {as_of})"
+    return df.filter(f"created_at BETWEEN {earliest} AND {latest}").filter(
+        f"{old} BETWEEN {lower} AND {upper}"
+    )
 
 
 def version_filter(df: DataFrame, params: CompareParams) -> DataFrame:

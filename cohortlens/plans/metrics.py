@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.model import CompareParams
@@ -30,7 +30,7 @@ class Distribution:
     """How a user's (or play's) value is found, and which cut applies to it."""
 
     needs: tuple[str, ...]
-    value: Column | None = None
+    value: str | None = None
     column: str | None = None
     cut: Callable[[CompareParams], ds.Cut] = lambda params: ds.Cut()
     skip_constant: bool = False
@@ -48,7 +48,7 @@ class Curve:
 
     @property
     def needs(self) -> tuple[str, ...]:
-        return (self.key, *cv.measures()[self.measure].needs)
+        return (self.key, *cv.MEASURES[self.measure].needs)
 
 
 def distributions() -> dict[str, Distribution]:
@@ -63,25 +63,25 @@ def distributions() -> dict[str, Distribution]:
 
     by_user = "user_id"
     return {
-        "plays_per_user": Distribution((by_user, "session_count"), F.col("plays")),
+        "plays_per_user": Distribution((by_user, "session_count"), "plays"),
         "plays_per_user_capped": Distribution(
-            (by_user, "session_count"), F.col("plays"), cut=plays_cut
+            (by_user, "session_count"), "plays", cut=plays_cut
         ),
-        "longest_play": Distribution((by_user, "playtime"), F.col("longest"), cut=time_cut),
-        "shortest_play": Distribution((by_user, "playtime"), F.col("shortest"), cut=time_cut),
+        "longest_play": Distribution((by_user, "playtime"), "longest", cut=time_cut),
+        "shortest_play": Distribution((by_user, "playtime"), "shortest", cut=time_cut),
         "session_level_plays": Distribution(("session_level",), column="session_level"),
         "user_level_plays": Distribution(("user_level",), column="user_level"),
-        "correct_per_user": Distribution((by_user, "numcorrect"), F.col("correct"), cut=plot_cut),
+        "correct_per_user": Distribution((by_user, "numcorrect"), "correct", cut=plot_cut),
         "percent_per_user": Distribution(
             (by_user, "numcorrect", "numtries"),
-            ds.percent_per_user(),
+            ds.PERCENT_PER_USER,
             cut=plot_cut,
             skip_constant=True,
         ),
         "jump_per_user": Distribution(
-            (by_user, "user_level", "session_level"), F.col("jump"), cut=plot_cut, fit=True
+            (by_user, "user_level", "session_level"), "jump", cut=plot_cut, fit=True
         ),
-        "score_per_user": Distribution((by_user, "score"), F.col("score"), cut=plot_cut),
+        "score_per_user": Distribution((by_user, "score"), "score", cut=plot_cut),
     }
 
 
@@ -163,16 +163,12 @@ def distribution_tables(
         frequencies, summary = frequencies.unionByName(more), summary.unionByName(other)
     frequencies = keep(frequencies)
 
-    ranges = ds.value_ranges(frequencies)
-    constant = [n for n in names if known[n].skip_constant]
-    drawn = ranges.filter(~(F.col("constant") & F.col("metric").isin(*constant)))
-    tested = ds.ks_tests(frequencies)
-    if constant:
-        same = ranges.filter(F.col("constant")).select("metric").distinct()
-        skipped = F.broadcast(same.filter(F.col("metric").isin(*constant)))
-        tested = tested.join(skipped, "metric", "left_anti")
+    profile = ds.Profile.of(frequencies)
+    drawn = profile.without(n for n in names if known[n].skip_constant and profile.constant(n))
     return DistributionTables(
-        ds.exclusions(frequencies, summary), ds.histograms(frequencies, drawn), tested
+        ds.exclusions(frequencies, summary),
+        ds.histograms(frequencies, drawn),
+        ds.ks_tests(frequencies, drawn),
     )
 
 
@@ -192,10 +188,10 @@ def infinite_percents(df: DataFrame) -> DataFrame:
     by_user = (
         ds.per_user(df, ["correct", "tries"])
         .groupBy("cohort")
-        .agg(F.count_if(ds.infinite_percent()).alias("users"))
+        .agg(F.expr("count_if(tries = 0 AND correct > 0)").alias("users"))
     )
     by_play = df.groupBy("cohort").agg(
-        F.count_if((F.col("numtries") == 0) & (F.col("numcorrect") > 0)).alias("plays")
+        F.expr("count_if(numtries = 0 AND numcorrect > 0)").alias("plays")
     )
     return by_play.join(F.broadcast(by_user), "cohort")
 
@@ -234,17 +230,11 @@ def curve_tables(
 
 
 def _named(curve: DataFrame, names: dict[str, str]) -> DataFrame:
-    metric = F.lit(None)
-    for measure, name in names.items():
-        metric = F.when(F.col("measure") == measure, F.lit(name)).otherwise(metric)
-    return curve.select(
-        metric.alias("metric"),
-        "trim",
-        "cohort",
-        F.col("key").cast("long").alias("key"),
-        "n",
-        F.col("mean").cast("double").alias("mean"),
-        *("stderr", "err", "lo", "hi", "variance_explained"),
+    cases = " ".join(f"WHEN '{measure}' THEN '{name}'" for measure, name in names.items())
+    return curve.selectExpr(
+        f"CASE measure {cases} END AS metric",
+        *("trim", "cohort", "key", "n", "mean", "stderr", "err", "lo", "hi"),
+        "variance_explained",
     )
 
 
