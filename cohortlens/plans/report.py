@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.model import COHORTS, CompareParams
@@ -13,23 +12,22 @@ from cohortlens.operators import matrix as mx
 from cohortlens.operators.cleaning import clean
 from cohortlens.operators.selection import find_hot_users, select_cohorts
 from cohortlens.plans import metrics as mt
+from cohortlens.session import Workspace
 from cohortlens.sources.catalog import cohort_names
 from cohortlens.sources.sinks import report_folder, run_record, write_report
 
 
 @dataclass
 class Comparison:
-    """Result tables by name, and the frames that are kept while they are read."""
+    """Result tables by name, and what is set aside while they are read."""
 
     tables: dict[str, DataFrame]
+    workspace: Workspace
     skipped: str | None = None
-    _kept: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
-        """Free the kept frames, once the tables are written or collected."""
-        for frame in self._kept:
-            frame.unpersist()
-        self._kept.clear()
+        """Free what was set aside, once the tables are written or collected."""
+        self.workspace.release()
 
 
 def empty_cohorts(df: DataFrame) -> list[int]:
@@ -48,18 +46,14 @@ def compare(
 ) -> Comparison:
     """All result tables of one comparison.
 
-    The selected and the cleaned rows are read many times and kept in between, spilling to disk;
-    a lost executor's share is computed again.
+    The selected rows are written to the shared folder, so the play table is read once (twice
+    with the look for hot users). The cleaned rows and the small aggregates are kept.
     """
-    kept: list[DataFrame] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
-
+    workspace = Workspace(spark)
+    keep = workspace.keep
     run_ts = run_ts or datetime.datetime.now(datetime.timezone.utc)
     hot = find_hot_users(plays, params)
-    selected = keep(select_cohorts(plays, params, results, hot))
+    selected = workspace.table(select_cohorts(plays, params, results, hot))
     cleaned = clean(selected, params, hot)
     sessions = keep(cleaned.sessions)
     tables = {"audit": cleaned.audit, "run": run_record(spark, params, run_ts)}
@@ -68,7 +62,7 @@ def compare(
 
     missing = empty_cohorts(sessions)
     if missing:
-        return Comparison(tables, f"no rows are left in cohort {missing[0]}", kept)
+        return Comparison(tables, workspace, f"no rows are left in cohort {missing[0]}")
 
     found = mt.distribution_tables(sessions, params, mt.distributions(), keep)
     if found is not None:
@@ -88,7 +82,7 @@ def compare(
         tables["jump_by_session"] = mt.jump_by_session(sessions, params, hot)
     if "numcorrect" in sessions.columns and "numtries" in sessions.columns:
         tables["infinite_percents"] = mt.infinite_percents(sessions)
-    return Comparison(tables, None, kept)
+    return Comparison(tables, workspace)
 
 
 def compare_and_write(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,39 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+class Workspace:
+    """What a comparison sets aside while its tables are computed."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self._folders: list[str] = []
+        self._kept: list[DataFrame] = []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` to the shared folder as parquet and read it back.
+
+        What led to it is never computed again, and later passes read only their columns.
+        """
+        folder = f"{shared_folder(self.spark)}/staged-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        self._folders.append(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Keep ``df`` in memory, spilling to disk; lost parts are computed again."""
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self._kept[-1]
+
+    def release(self) -> None:
+        """Free kept frames and remove the tables written here. Results must be read before."""
+        for frame in self._kept:
+            frame.unpersist()
+        self._kept.clear()
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in self._folders:
+            path = hadoop.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        self._folders.clear()
