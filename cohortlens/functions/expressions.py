@@ -32,11 +32,22 @@ def whole_number(value: str) -> str:
 
 
 def age(unit: str, created_at: str, as_of: str, boundary: bool = False) -> str:
-    """Age in ``unit``: complete units, or calendar boundaries crossed."""
+    """Age in ``unit``: complete units, or calendar boundaries crossed.
+
+    A month is complete at the end of a shorter month: January 31 to February 29 is one month.
+    ``timestampdiff`` compares days of the month and says 0 there, so the next unit is tried.
+    """
     if boundary:
         created_at = f"date_trunc('{unit}', {created_at})"
         as_of = f"date_trunc('{unit}', {as_of})"
-    return f"timestampdiff({unit}, {created_at}, {as_of})"
+    whole = f"timestampdiff({unit}, {created_at}, {as_of})"
+    if boundary or unit.upper() not in ("MONTH", "QUARTER", "YEAR"):
+        return whole
+    return (
+        f"CASE WHEN {created_at} <= {as_of} THEN {whole} +"
+        f" IF(timestampadd({unit}, {whole} + 1, {created_at}) <= {as_of}, 1, 0)"
+        f" ELSE {whole} - IF(timestampadd({unit}, 1 - {whole}, {as_of}) <= {created_at}, 1, 0) END"
+    )
 
 
 def number(value: float | int | None) -> str:

@@ -6,10 +6,10 @@ compare against them as constants, so a chain of filters is one pass over the ro
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortlens.functions import number, per_cohort, to_number
@@ -17,7 +17,7 @@ from cohortlens.model import COHORTS, CompareParams
 from cohortlens.operators.hotkeys import HotKeys
 from cohortlens.operators.numbering import count_rows, number_rows
 from cohortlens.operators.selection import PLAY_ORDER, USER
-from cohortlens.session import lookup
+from cohortlens.session import BROADCAST_ROWS, constants, lookup
 
 NUMBERS = ("numtries", "numcorrect")
 # Columns that the empty-value steps do not judge.
@@ -146,14 +146,17 @@ def sigma_filter(df: DataFrame, k: float) -> DataFrame:
     return low.filter(_not_above("numcorrect", sigma_threshold(low, k)))
 
 
+def level_facts(df: DataFrame) -> DataFrame:
+    """Plays and most tries of each session level of a cohort."""
+    tries = "max(numtries)" if "numtries" in df.columns else "CAST(NULL AS DOUBLE)"
+    return df.groupBy("cohort", "session_level").agg(
+        F.count("user_id").alias("_plays"), F.expr(tries).alias("_tries")
+    )
+
+
 def sparse_levels(df: DataFrame, minimum: int) -> DataFrame:
     """Session levels with fewer than ``minimum`` plays in a cohort."""
-    return (
-        df.groupBy("cohort", "session_level")
-        .agg(F.count("user_id").alias("_plays"))
-        .filter(F.col("_plays") < minimum)
-        .select("cohort", "session_level")
-    )
+    return level_facts(df).filter(f"_plays < {minimum}").select("cohort", "session_level")
 
 
 def sparse_level_filter(df: DataFrame, minimum: int) -> DataFrame:
@@ -179,8 +182,15 @@ def number_sessions(
 
 def tries_recorded(df: DataFrame) -> bool:
     """Whether both cohorts have plays with at least one try."""
-    rows = df.groupBy("cohort").agg(F.max("numtries").alias("top")).collect()
-    return not any(r["top"] is not None and r["top"] < 1 for r in rows)
+    return _tries_recorded(df.groupBy("cohort").agg(F.max("numtries").alias("_tries")).collect())
+
+
+def _tries_recorded(rows: Iterable[Row]) -> bool:
+    most: dict[int, float] = {}
+    for row in rows:
+        if row["_tries"] is not None:
+            most[row["cohort"]] = max(row["_tries"], most.get(row["cohort"], row["_tries"]))
+    return all(tries >= 1 for tries in most.values())
 
 
 def drop_unused_tries(df: DataFrame) -> DataFrame:
@@ -232,16 +242,26 @@ def clean(df: DataFrame, params: CompareParams, hot: HotKeys | None = None) -> C
             steps.append(Step("low_outliers", _not_below("numcorrect", low), low))
             high = sigma_threshold(alive(), params.outlier_sigma)
             steps.append(Step("high_outliers", _not_above("numcorrect", high), high))
-    if params.min_level_rows >= 0 and "session_level" in typed.columns:
-        sparse = sparse_levels(alive(), params.min_level_rows)
-        marked = lookup(sparse.withColumn("_sparse", F.lit(True)))
+    by_level = params.min_level_rows >= 0 and "session_level" in typed.columns
+    recorded = None
+    if by_level:
+        levels = level_facts(alive())
+        found = levels.limit(BROADCAST_ROWS + 1).collect()
+        sparse = levels.filter(f"_plays < {params.min_level_rows}")
+        if len(found) <= BROADCAST_ROWS:
+            # All levels are known now, and with them whether any try is left.
+            few = [r for r in found if r["_plays"] < params.min_level_rows]
+            recorded = _tries_recorded([r for r in found if r not in few])
+            sparse = constants(df.sparkSession, few, levels.schema)
+        marked = sparse.selectExpr("cohort", "session_level", "true AS _sparse")
         typed = typed.join(marked, ["cohort", "session_level"], "left")
         same = dict.fromkeys(COHORTS, float(params.min_level_rows))
         steps.append(Step("sparse_levels", "_sparse IS NULL", same))
 
     kept = alive().drop("_complete", "_sparse")
-    if "numtries" in kept.columns and not tries_recorded(kept):
-        kept = kept.drop("numtries")
+    if "numtries" in kept.columns:
+        if not (tries_recorded(kept) if recorded is None else recorded):
+            kept = kept.drop("numtries")
     numbered = number_sessions(kept, "_plays", hot)
     sessions = numbered.filter(F.col("_plays") >= params.min_sessions)
     order = [c for c in df.columns if c in sessions.columns and c != "nth"]

@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlens.functions import ks_p_value, per_cohort, percent
 from cohortlens.model import COHORTS
 from cohortlens.operators.prefix import running_totals
+from cohortlens.session import constants
 
 SIGNIFICANCE = 0.05
 
@@ -172,18 +172,9 @@ class Profile:
 
     rows: tuple[Row, ...]
 
-    SCHEMA = T.StructType(
-        [
-            T.StructField("metric", T.StringType()),
-            T.StructField("cohort", T.IntegerType()),
-            T.StructField("size", T.LongType()),
-            T.StructField("bins", T.IntegerType()),
-            T.StructField("own_from", T.DoubleType()),
-            T.StructField("own_to", T.DoubleType()),
-            T.StructField("shared_from", T.DoubleType()),
-            T.StructField("shared_to", T.DoubleType()),
-            T.StructField("norm", T.DoubleType()),
-        ]
+    DDL = (
+        "metric string, cohort int, size bigint, bins int, own_from double, own_to double,"
+        " shared_from double, shared_to double, norm double"
     )
 
     @classmethod
@@ -234,7 +225,7 @@ class Profile:
                     float(f"{row['norm']:.11e}") or 1.0,
                 )
             )
-        return F.broadcast(like.sparkSession.createDataFrame(rows, self.SCHEMA))
+        return constants(like.sparkSession, rows, self.DDL)
 
 
 # --- histograms ------------------------------------------------------------------------------
@@ -359,6 +350,4 @@ def _sizes(like: DataFrame, profile: Profile) -> DataFrame:
     for row in profile.rows:
         sizes.setdefault(row["metric"], {})[row["cohort"]] = row["size"]
     rows = [(m, *(found.get(c, 0) for c in COHORTS)) for m, found in sizes.items()]
-    return F.broadcast(
-        like.sparkSession.createDataFrame(rows, "metric string, n1 long, n2 long")
-    )
+    return constants(like.sparkSession, rows, "metric string, n1 bigint, n2 bigint")

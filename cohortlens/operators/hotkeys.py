@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.session import constants
+
 # A key with more rows than this is numbered and joined without gathering it in one task.
 HOT_ROWS = 1_000_000
 # The most frequent keys that are listed. A key that is not listed holds at most
@@ -33,7 +35,7 @@ class HotKeys:
 
     def frame(self, like: DataFrame) -> DataFrame:
         """The listed keys with their row counts, at most MAX_HOT_KEYS rows."""
-        return F.broadcast(like.sparkSession.createDataFrame(list(self.rows), self.schema))
+        return constants(like.sparkSession, self.rows, self.schema)
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of ordinary keys, and rows of hot keys. Both are map-side joins."""

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Largest lookup that is shipped to every executor; beyond it a shuffle join is used.
 BROADCAST_ROWS = 10_000
+# Constant tables up to this size become part of the plan; larger ones are sent as data.
+INLINE_ROWS = 500
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,6 +46,31 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def constants(
+    spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType | str
+) -> DataFrame:
+    """A table of values known to the driver, such as thresholds, ready to be broadcast."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if not rows or len(rows) > INLINE_ROWS:
+        return F.broadcast(spark.createDataFrame(list(rows), schema))
+    text = ", ".join(f"({', '.join(map(_literal, row))})" for row in rows)
+    columns = ", ".join(
+        f"CAST(c{i} AS {f.dataType.simpleString()}) AS `{f.name}`" for i, f in enumerate(schema)
+    )
+    names = ", ".join(f"c{i}" for i in range(len(schema)))
+    return F.broadcast(spark.sql(f"SELECT {columns} FROM VALUES {text} AS t({names})"))
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows, else hand it back as it is.
 
@@ -51,7 +80,7 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return constants(df.sparkSession, rows, df.schema)
 
 
 class Workspace:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.model import COHORTS, GAMES
+from cohortlens.session import constants
 
 
 def game_catalog(
@@ -32,10 +33,10 @@ def cohort_names(
 
     ``matches`` says how many catalog rows the game has; only 1 gives a name.
     """
-    spark = games.sparkSession
-    wanted = spark.createDataFrame(
+    wanted = constants(
+        games.sparkSession,
         [(c, int(g), label) for c, g, label in zip(COHORTS, game_ids, labels)],
-        "cohort int, game_id long, label string",
+        "cohort int, game_id bigint, label string",
     )
     names = (
         games.filter(F.col("id").isin(*set(game_ids)))

@@ -116,18 +116,26 @@ ORACLES["overlapping_months"] = counted(
 )
 
 
-def aged(unit: str, lower: tuple[int, int], upper: tuple[int, int], count: str) -> str:
-    age = f"{count}('{unit}', p.created_at, TIMESTAMP '2024-01-31')"
+AS_OF = "TIMESTAMP '2024-01-31'"
+# DuckDB counts weeks from Thursdays; calendar weeks begin on Monday.
+WEEKS = f"""date_diff('day', date_trunc('week', p.created_at), date_trunc('week', {AS_OF})) // 7"""
+
+
+def complete(unit: str) -> str:
+    return f"date_sub('{unit}', p.created_at, {AS_OF})"
+
+
+def aged(age: str, lower: tuple[int, int], upper: tuple[int, int]) -> str:
     return (
         f"CASE p.game_id WHEN 1 THEN {age} BETWEEN {lower[0]} AND {upper[0]}"
         f" ELSE {age} BETWEEN {lower[1]} AND {upper[1]} END"
     )
 
 
-ORACLES["age_in_days"] = counted(selected(extra=aged("day", (3, 1), (10, 20), "date_sub")))
-ORACLES["age_in_weeks"] = counted(selected(extra=aged("week", (1, 0), (2, 3), "date_sub")))
+ORACLES["age_in_days"] = counted(selected(extra=aged(complete("day"), (3, 1), (10, 20))))
+ORACLES["age_in_weeks"] = counted(selected(extra=aged(complete("week"), (1, 0), (2, 3))))
 ORACLES["age_in_week_boundaries"] = counted(
-    selected(extra=aged("week", (1, 0), (2, 3), "date_diff"))
+    selected(extra=aged(WEEKS, (1, 0), (2, 3)))
 )
 _MONTHS = "date_sub('month', d.created_at, TIMESTAMP '1998-08-31')"
 ORACLES["age_in_months"] = counted(
@@ -166,7 +174,7 @@ OBSERVED = (
 )
 
 ORACLES["true_session_numbers"] = f"""
-    WITH {selected(extra=aged('day', (3, 1), (10, 20), 'date_sub'))}, {TRUE_NUMBERS}
+    WITH {selected(extra=aged(complete('day'), (3, 1), (10, 20)))}, {TRUE_NUMBERS}
     SELECT cohort, game_result_id, user_id, nth FROM sel JOIN numbers USING (game_result_id)"""
 ORACLES["cross_game_session_numbers"] = f"""WITH {selected()}, {CROSS_NUMBERS}
     SELECT cohort, game_result_id, user_id, nth FROM sel JOIN numbers USING (game_result_id)"""
