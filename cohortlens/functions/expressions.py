@@ -24,7 +24,8 @@ def to_number(value: str) -> str:
     """
     text = f"CAST({value} AS STRING)"
     parsed = f"try_cast({text} AS DOUBLE)"
-    return f"CASE WHEN {text} NOT RLIKE '[0-9.][dDfF] *$' AND NOT isnan({parsed}) THEN {parsed} END"
+    suffix = f"right(rtrim({text}), 1) IN ('d', 'D', 'f', 'F') AND abs({parsed}) < double('inf')"
+    return f"CASE WHEN NOT isnan({parsed}) AND NOT ({suffix}) THEN {parsed} END"
 
 
 def whole_number(value: str) -> str:

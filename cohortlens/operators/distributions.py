@@ -237,17 +237,20 @@ def _edge(name: str, i: str) -> str:
     )
 
 
-def _bin(name: str) -> str:
-    """Bin of ``value``: closed on the left, and the last one on both sides.
+def _guess(name: str) -> str:
+    """Bin of ``value`` by its distance from the start; rounding can make it one off."""
+    extent = f"({name}_to - {name}_from)"
+    return f"least(floor((value - {name}_from) * bins / {extent}), bins - 1L) AS _{name}"
 
-    The first guess can be one off by rounding, so the bin edges have the last word.
-    """
-    guess = f"least(floor((value - {name}_from) * bins / ({name}_to - {name}_from)), bins - 1)"
-    settled = (
-        f"g - IF(value < {_edge(name, 'g')}, 1, 0)"
-        f" + IF(g < bins - 1 AND value >= {_edge(name, 'g + 1')}, 1, 0)"
+
+def _settle(name: str) -> str:
+    """The guessed bin, with the bin edges having the last word. Bins are closed on the left,
+    and the last one on both sides."""
+    guess = f"_{name}"
+    return (
+        f"{guess} - IF(value < {_edge(name, guess)}, 1, 0)"
+        f" + IF({guess} < bins - 1 AND value >= {_edge(name, guess + ' + 1')}, 1, 0)"
     )
-    return f"transform(array({guess}), g -> {settled})[0]"
 
 
 def histograms(frequencies: DataFrame, profile: Profile) -> DataFrame:
@@ -257,10 +260,14 @@ def histograms(frequencies: DataFrame, profile: Profile) -> DataFrame:
     """
     keys = ["metric", "cohort"]
     ranges = profile.frame(frequencies)
-    placed = frequencies.join(ranges, keys).selectExpr(
-        *keys,
-        f"inline(array(struct({_bin('own')} AS bin, n AS own_n, 0L AS shared_n),"
-        f" struct({_bin('shared')} AS bin, 0L AS own_n, n AS shared_n)))",
+    placed = (
+        frequencies.join(ranges, keys)
+        .selectExpr("*", _guess("own"), _guess("shared"))
+        .selectExpr(
+            *keys,
+            f"inline(array(struct({_settle('own')} AS bin, n AS own_n, 0L AS shared_n),"
+            f" struct({_settle('shared')} AS bin, 0L AS own_n, n AS shared_n)))",
+        )
     )
     grid = ranges.selectExpr(
         *keys, "explode(sequence(0L, bins - 1L)) AS bin", "0L AS own_n", "0L AS shared_n"

@@ -57,19 +57,39 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) ->
     return HotKeys(tuple(keys), tuple(top.collect()), counted.schema)
 
 
-def keyed_join(
-    df: DataFrame, side: DataFrame, keys: Sequence[str], how: str, hot: HotKeys
+# Rows of a hot key get a salt of their own from 1 up, all other rows get 0.
+SALT = "_salt"
+
+
+def salted(df: DataFrame, hot: HotKeys, facts: DataFrame) -> DataFrame:
+    """Add SALT, and the columns of ``facts`` (at most one row per hot key) to hot rows.
+
+    A shuffle on keys and SALT then spreads the rows of a hot key over all tasks.
+    """
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    marked = df.join(F.broadcast(facts.withColumn("_hot", F.lit(True))), list(hot.keys), "left")
+    salt = f"IF(_hot IS NULL, 0L, 1L + pmod(xxhash64({columns}), 2147483647L))"
+    return marked.selectExpr("*", f"{salt} AS {SALT}").drop("_hot")
+
+
+def drop_matching(
+    df: DataFrame, side: DataFrame, keys: Sequence[str], hot: HotKeys
 ) -> DataFrame:
-    """Join on ``keys``, with ``side`` unique on them, without gathering a hot key in one task.
+    """Rows whose key is not in ``side`` (unique keys): an anti join that survives hot keys.
 
-    Ordinary keys shuffle. Hot keys meet the few rows of ``side`` that they can match
-    (at most one each), which are broadcast.
+    Ordinary rows shuffle to their key. Whether a hot key is in ``side`` is looked up first,
+    and its salted rows match nothing, wherever they are sent.
     """
     keys = list(keys)
     if not hot:
-        return df.join(side, keys, how)
-    ordinary, crowded = hot.split(df)
-    matching = side.join(hot.frame(df).drop(ROWS), keys, "left_semi")
-    return ordinary.join(side, keys, how).unionByName(
-        crowded.join(F.broadcast(matching), keys, how)
+        return df.join(side, keys, "left_anti")
+    listed = hot.frame(df).drop(ROWS)
+    matched = side.join(listed, keys, "left_semi").withColumn("_matched", F.lit(True))
+    facts = listed.join(F.broadcast(matched), keys, "left")
+    unsalted = side.withColumn(SALT, F.lit(0).cast("long"))
+    return (
+        salted(df, hot, facts)
+        .join(unsalted, [*keys, SALT], "left_anti")
+        .filter("_matched IS NULL")
+        .select(*df.columns)
     )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.hotkeys import ROWS, HotKeys, hot_keys
+from cohortlens.operators.hotkeys import ROWS, SALT, HotKeys, hot_keys, salted
 from cohortlens.operators.prefix import sliced_totals
 
 
@@ -46,16 +46,20 @@ def _number_in_window(df, keys, order, number, total):
 def count_rows(
     df: DataFrame, keys: Sequence[str], total: str, hot: HotKeys | None = None
 ) -> DataFrame:
-    """Add the row count of the row's key. Counts are combined map-side for hot keys."""
+    """Add the row count of the row's key.
+
+    Ordinary keys are counted by a window, after one shuffle on ``keys``. Hot keys are counted
+    map-side, and their rows are spread over all tasks instead of being gathered.
+    """
     hot = hot_keys(df, keys) if hot is None else hot
-    counted = F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(total)
     if not hot:
-        return df.select("*", counted)
-    ordinary, crowded = hot.split(df)
-    counts = crowded.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
-    return ordinary.select("*", counted).unionByName(
-        crowded.join(F.broadcast(counts), list(keys))
-    )
+        return df.select("*", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(total))
+    listed = hot.frame(df).drop(ROWS)
+    counts = df.join(listed, list(keys), "left_semi").groupBy(*keys)
+    known = counts.agg(F.count(F.lit(1)).alias("_known"))
+    spread = salted(df, hot, listed.join(F.broadcast(known), list(keys), "left"))
+    in_window = F.count(F.lit(1)).over(Window.partitionBy(*keys, SALT))
+    return spread.select(*df.columns, F.coalesce(F.col("_known"), in_window).alias(total))
 
 
 def rank_results(results: DataFrame, keys: Sequence[str], hot: HotKeys | None = None) -> DataFrame:
@@ -68,6 +72,3 @@ def rank_results(results: DataFrame, keys: Sequence[str], hot: HotKeys | None =
         ranked = F.rank().over(Window.partitionBy(*keys).orderBy("id"))
         return results.select("*", ranked.cast("long").alias("nth"))
     return number_rows(results, keys, ["id"], "nth", hot=hot)
-
-
-__all__ = ["ROWS", "count_rows", "number_rows", "rank_results"]

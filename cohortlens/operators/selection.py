@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import age, json_fields, per_cohort, whole_number
 from cohortlens.model import COHORTS, CompareParams
-from cohortlens.operators.hotkeys import HotKeys, hot_keys, keyed_join
+from cohortlens.operators.hotkeys import HotKeys, drop_matching, hot_keys
 from cohortlens.operators.numbering import count_rows, rank_results
 from cohortlens.operators.prefix import running_totals
 
@@ -150,7 +150,7 @@ def exclude_users(
         .distinct()
     )
     hot = hot_keys(df, USER) if hot is None else hot
-    return keyed_join(df, side, USER, "left_anti", hot)
+    return drop_matching(df, side, USER, hot)
 
 
 def age_window(df: DataFrame, params: CompareParams) -> DataFrame:

@@ -30,6 +30,7 @@ class Distribution:
     """How a user's (or play's) value is found, and which cut applies to it."""
 
     needs: tuple[str, ...]
+    uses: tuple[str, ...] = ()
     value: str | None = None
     column: str | None = None
     cut: Callable[[CompareParams], ds.Cut] = lambda params: ds.Cut()
@@ -63,25 +64,26 @@ def distributions() -> dict[str, Distribution]:
 
     by_user = "user_id"
     return {
-        "plays_per_user": Distribution((by_user, "session_count"), "plays"),
+        "plays_per_user": Distribution((by_user, "session_count"), ("plays",), "plays"),
         "plays_per_user_capped": Distribution(
-            (by_user, "session_count"), "plays", cut=plays_cut
+            (by_user, "session_count"), ("plays",), "plays", cut=plays_cut
         ),
-        "longest_play": Distribution((by_user, "playtime"), "longest", cut=time_cut),
-        "shortest_play": Distribution((by_user, "playtime"), "shortest", cut=time_cut),
+        "longest_play": Distribution((by_user, "playtime"), ("longest",), "longest", cut=time_cut),
+        "shortest_play": Distribution((by_user, "playtime"), ("shortest",), "shortest", cut=time_cut),
         "session_level_plays": Distribution(("session_level",), column="session_level"),
         "user_level_plays": Distribution(("user_level",), column="user_level"),
-        "correct_per_user": Distribution((by_user, "numcorrect"), "correct", cut=plot_cut),
+        "correct_per_user": Distribution((by_user, "numcorrect"), ("correct",), "correct", cut=plot_cut),
         "percent_per_user": Distribution(
             (by_user, "numcorrect", "numtries"),
+            ("correct", "tries"),
             ds.PERCENT_PER_USER,
             cut=plot_cut,
             skip_constant=True,
         ),
         "jump_per_user": Distribution(
-            (by_user, "user_level", "session_level"), "jump", cut=plot_cut, fit=True
+            (by_user, "user_level", "session_level"), ("jump",), "jump", cut=plot_cut, fit=True
         ),
-        "score_per_user": Distribution((by_user, "score"), "score", cut=plot_cut),
+        "score_per_user": Distribution((by_user, "score"), ("score",), "score", cut=plot_cut),
     }
 
 
@@ -149,7 +151,8 @@ def distribution_tables(
 
     per_user = {n: known[n].value for n in names if known[n].column is None}
     if per_user:
-        users = keep(ds.per_user(df))
+        used = dict.fromkeys(a for n in per_user for a in known[n].uses)
+        users = keep(ds.per_user(df, used))
         values = ds.user_values(users, per_user)
         summary = ds.with_cutoff(values, cuts)
         parts.append((ds.user_frequencies(values, summary, cuts), summary))

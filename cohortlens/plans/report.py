@@ -53,10 +53,12 @@ def compare(
     keep = workspace.keep
     run_ts = run_ts or datetime.datetime.now(datetime.timezone.utc)
     hot = find_hot_users(plays, params)
-    selected = workspace.table(select_cohorts(plays, params, results, hot))
+    chosen = select_cohorts(plays, params, results, hot)
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    selected = workspace.table(chosen)
     cleaned = clean(selected, params, hot)
     sessions = keep(cleaned.sessions)
-    tables = {"audit": cleaned.audit, "run": run_record(spark, params, run_ts)}
+    tables = {"audit": cleaned.audit, "run": run_record(spark, params, run_ts, {"selected": plan})}
     if games is not None:
         tables["cohorts"] = cohort_names(games, params.game_ids, params.labels)
 

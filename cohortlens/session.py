@@ -52,14 +52,18 @@ def constants(
     """A table of values known to the driver, such as thresholds, ready to be broadcast."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if not rows or len(rows) > INLINE_ROWS:
+    if len(rows) > INLINE_ROWS:
         return F.broadcast(spark.createDataFrame(list(rows), schema))
+    if not rows:
+        rows, condition = [[None] * len(schema)], " WHERE false"
+    else:
+        condition = ""
     text = ", ".join(f"({', '.join(map(_literal, row))})" for row in rows)
     columns = ", ".join(
         f"CAST(c{i} AS {f.dataType.simpleString()}) AS `{f.name}`" for i, f in enumerate(schema)
     )
     names = ", ".join(f"c{i}" for i in range(len(schema)))
-    return F.broadcast(spark.sql(f"SELECT {columns} FROM VALUES {text} AS t({names})"))
+    return F.broadcast(spark.sql(f"SELECT {columns} FROM VALUES {text} AS t({names}){condition}"))
 
 
 def _literal(value) -> str:

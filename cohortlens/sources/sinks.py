@@ -50,11 +50,9 @@ def write_report(
         if not backup_only:
             current = f"{location}/current/{folder}/{report}/{name}"
             # Read back what was just written rather than computing the table again.
-            session = table.sparkSession
-            this_run = session.read.schema(table.schema).parquet(
-                f"{history}/report={report}/run={stamp}"
-            )
-            this_run.write.mode("overwrite").parquet(current)
+            stored = table.sparkSession.read.schema(tagged.schema).parquet(history)
+            this_run = stored.filter((F.col("report") == report) & (F.col("run") == stamp))
+            this_run.select(*table.columns).write.mode("overwrite").parquet(current)
             written.append(current)
     return written
 
