@@ -91,10 +91,11 @@ def variance_explained(key: str, mean: str) -> str:
 def ks_p_value(d: str, n1: str, n2: str) -> str:
     """Two-sided asymptotic p-value of the two-sample Kolmogorov-Smirnov statistic.
 
-    The series only converges away from 0, where p is 1 to more than 12 digits.
+    NULL when a sample is empty. The series only converges away from 0, where p is 1 to more
+    than 12 digits.
     """
-    en = f"sqrt(CAST({n1} AS DOUBLE) * {n2} / ({n1} + {n2}))"
-    lam = f"({en} + 0.12D + 0.11D / {en}) * {d}"
+    en = f"sqrt(try_divide(CAST({n1} AS DOUBLE) * {n2}, {n1} + {n2}))"
+    lam = f"({en} + 0.12D + try_divide(0.11D, {en})) * {d}"
     series = (
         "2 * aggregate(sequence(1, 100), 0D, (total, k) -> total +"
         f" CASE WHEN k % 2 = 1 THEN 1D ELSE -1D END * exp(-2D * k * k * ({lam}) * ({lam})))"
