@@ -20,12 +20,11 @@ def json_fields(metadata: str, names: Iterable[str]) -> str:
 def to_number(value: str) -> str:
     """Number, or NULL where the text is not one.
 
-    Java also accepts a type suffix ("12d") and "NaN"; neither counts as a number here.
+    Java also reads a type suffix ("12d"), "NaN" and "Infinity"; none is a number here. Spoiling
+    the letters d and f takes care of all but "NaN".
     """
-    text = f"CAST({value} AS STRING)"
-    parsed = f"try_cast({text} AS DOUBLE)"
-    suffix = f"right(rtrim({text}), 1) IN ('d', 'D', 'f', 'F') AND abs({parsed}) < double('inf')"
-    return f"CASE WHEN NOT isnan({parsed}) AND NOT ({suffix}) THEN {parsed} END"
+    text = f"translate(CAST({value} AS STRING), 'dDfF', '____')"
+    return f"nanvl(try_cast({text} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
 def whole_number(value: str) -> str:

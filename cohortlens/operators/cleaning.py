@@ -6,7 +6,7 @@ compare against them as constants, so a chain of filters is one pass over the ro
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import number, per_cohort, to_number
 from cohortlens.model import COHORTS, CompareParams
-from cohortlens.operators.hotkeys import HotKeys
+from cohortlens.operators.hotkeys import ROWS, HotKeys
 from cohortlens.operators.numbering import count_rows, number_rows
 from cohortlens.operators.selection import PLAY_ORDER, USER
 from cohortlens.session import BROADCAST_ROWS, constants, lookup
@@ -28,10 +28,11 @@ BOOKKEEPING = ("cohort", "nth")
 
 
 def column_counts(df: DataFrame) -> dict[int, dict[str, int]]:
-    """Non-NULL values per cohort and column."""
+    """Non-NULL values per cohort and column, and all rows under ROWS."""
     judged = [c for c in df.columns if c not in BOOKKEEPING]
-    rows = df.groupBy("cohort").agg(*[F.count(c).alias(c) for c in judged]).collect()
-    return {row["cohort"]: {c: row[c] for c in judged} for row in rows}
+    counts = [F.count(c).alias(c) for c in judged]
+    rows = df.groupBy("cohort").agg(F.count(F.lit(1)).alias(ROWS), *counts).collect()
+    return {row["cohort"]: {c: row[c] for c in (ROWS, *judged)} for row in rows}
 
 
 def empty_columns(counts: Mapping[int, Mapping[str, int]]) -> dict[str, list[int]]:
@@ -215,17 +216,25 @@ class Cleaned:
     audit: DataFrame
 
 
-def clean(df: DataFrame, params: CompareParams, hot: HotKeys | None = None) -> Cleaned:
+def clean(
+    df: DataFrame,
+    params: CompareParams,
+    hot: HotKeys | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> Cleaned:
     """Clean both cohorts in the fixed order of steps, and say what each step dropped.
 
-    ``df`` is read several times (once per threshold that is switched on), so it should be
-    persisted or come from a table.
+    ``df`` is read once to look for empty columns. The complete rows, turned into numbers, are
+    read once per threshold that is switched on: ``keep`` can set them aside.
     """
-    empty = empty_columns(column_counts(df))
-    complete = df.withColumn("_complete", F.expr(complete_row(df, empty)))
+    counts = column_counts(df)
+    empty = empty_columns(counts)
+    complete = df.filter(complete_row(df, empty))
     typed = playtime_seconds(coerce_numbers(complete)).drop(*empty)
+    if keep is not None:
+        typed = keep(typed)
 
-    steps: list[Step] = [Step("null_rows", "_complete", {})]
+    steps: list[Step] = []
 
     def alive() -> DataFrame:
         return typed.filter(_all(steps))
@@ -258,14 +267,15 @@ def clean(df: DataFrame, params: CompareParams, hot: HotKeys | None = None) -> C
         same = dict.fromkeys(COHORTS, float(params.min_level_rows))
         steps.append(Step("sparse_levels", "_sparse IS NULL", same))
 
-    kept = alive().drop("_complete", "_sparse")
+    kept = alive().drop("_sparse")
     if "numtries" in kept.columns:
         if not (tries_recorded(kept) if recorded is None else recorded):
             kept = kept.drop("numtries")
     numbered = number_sessions(kept, "_plays", hot)
     sessions = numbered.filter(F.col("_plays") >= params.min_sessions)
     order = [c for c in df.columns if c in sessions.columns and c != "nth"]
-    audit = _audit(typed, steps, kept, params)
+    fetched = {cohort: filled[ROWS] for cohort, filled in counts.items()}
+    audit = _audit(fetched, typed, steps, kept, params)
     return Cleaned(sessions.select(*order, "session_count"), audit)
 
 
@@ -277,33 +287,42 @@ class Step:
 
 
 def _all(steps: list[Step]) -> str:
-    return " AND ".join(step.keep for step in steps)
+    return " AND ".join(["true", *(step.keep for step in steps)])
 
 
-def _audit(typed: DataFrame, steps: list[Step], kept: DataFrame, params) -> DataFrame:
+def _audit(
+    fetched: Mapping[int, int],
+    typed: DataFrame,
+    steps: list[Step],
+    kept: DataFrame,
+    params: CompareParams,
+) -> DataFrame:
     """One row per cohort and step, from one aggregate over the rows and one over the users."""
-    survivors = [F.count(F.lit(1)).alias("_s0")]
-    for i in range(1, len(steps) + 1):
-        survivors.append(F.expr(f"count_if({_all(steps[:i])})").alias(f"_s{i}"))
-    by_row = typed.groupBy("cohort").agg(*survivors)
+    survivors = [
+        F.expr(f"count_if({_all(steps[:i])})").alias(f"_s{i + 1}") for i in range(len(steps) + 1)
+    ]
     plays = kept.groupBy(*USER).agg(F.count(F.lit(1)).alias("_plays"))
     by_user = (
         plays.filter(F.col("_plays") >= params.min_sessions)
         .groupBy("cohort")
         .agg(F.sum("_plays").alias("_users_kept"))
     )
-    minimum = dict.fromkeys(COHORTS, float(params.min_sessions))
+    # One row per cohort in all three.
+    counted = (
+        constants(typed.sparkSession, list(fetched.items()), "cohort int, _s0 bigint")
+        .join(F.broadcast(typed.groupBy("cohort").agg(*survivors)), "cohort", "left")
+        .join(F.broadcast(by_user), "cohort", "left")
+    )
+    listed = [
+        Step("null_rows", "", {}),
+        *steps,
+        Step("min_sessions", "", dict.fromkeys(COHORTS, float(params.min_sessions))),
+    ]
+    after = [f"_s{i}" for i in range(1, len(listed))] + ["_users_kept"]
     entries = [
-        f"struct({i} AS position, '{step.name}' AS step, _s{i - 1} AS rows_before,"
-        f" _s{i} AS rows_after, CAST({per_cohort(step.threshold)} AS DOUBLE) AS threshold)"
-        for i, step in enumerate(steps, start=1)
+        f"struct({i + 1} AS position, '{step.name}' AS step,"
+        f" coalesce(_s{i}, 0L) AS rows_before, coalesce({after[i]}, 0L) AS rows_after,"
+        f" CAST({per_cohort(step.threshold)} AS DOUBLE) AS threshold)"
+        for i, step in enumerate(listed)
     ]
-    last = len(steps)
-    entries.append(
-        f"struct({last + 1} AS position, 'min_sessions' AS step, _s{last} AS rows_before,"
-        f" coalesce(_users_kept, 0L) AS rows_after, {per_cohort(minimum)} AS threshold)"
-    )
-    # One row per cohort on either side.
-    return by_row.join(F.broadcast(by_user), "cohort", "left").selectExpr(
-        "cohort", f"inline(array({', '.join(entries)}))"
-    )
+    return counted.selectExpr("cohort", f"inline(array({', '.join(entries)}))")

@@ -56,7 +56,7 @@ def compare(
     chosen = select_cohorts(plays, params, results, hot)
     plan = chosen._jdf.queryExecution().optimizedPlan().toString()
     selected = workspace.table(chosen)
-    cleaned = clean(selected, params, hot)
+    cleaned = clean(selected, params, hot, keep)
     sessions = keep(cleaned.sessions)
     tables = {"audit": cleaned.audit, "run": run_record(spark, params, run_ts, {"selected": plan})}
     if games is not None:
