@@ -44,17 +44,20 @@ class HotKeys:
         return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> HotKeys:
-    """Count rows per key (combined map-side) and list the keys above ``min_rows``."""
+def count_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key, combined map-side: one narrow row per key and task is moved."""
+    return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
+
+
+def list_hot(counts: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> HotKeys:
+    """The keys of ``counts`` above ``min_rows``, most frequent first."""
     min_rows = HOT_ROWS if min_rows is None else min_rows
-    counted = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias(ROWS))
-        .filter(F.col(ROWS) > min_rows)
-        .dropna(subset=list(keys))
-    )
-    top = counted.orderBy(F.desc(ROWS)).limit(MAX_HOT_KEYS)
-    return HotKeys(tuple(keys), tuple(top.collect()), counted.schema)
+    top = counts.filter(F.col(ROWS) > min_rows).orderBy(F.desc(ROWS)).limit(MAX_HOT_KEYS)
+    return HotKeys(tuple(keys), tuple(top.collect()), counts.schema)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> HotKeys:
+    return list_hot(count_keys(df, keys), keys, min_rows)
 
 
 # Rows of a hot key get a salt of their own from 1 up, all other rows get 0.
@@ -72,24 +75,25 @@ def salted(df: DataFrame, hot: HotKeys, facts: DataFrame) -> DataFrame:
     return marked.selectExpr("*", f"{salt} AS {SALT}").drop("_hot")
 
 
-def drop_matching(
-    df: DataFrame, side: DataFrame, keys: Sequence[str], hot: HotKeys
+def filter_by_key(
+    df: DataFrame, side: DataFrame, keys: Sequence[str], hot: HotKeys, matching: bool
 ) -> DataFrame:
-    """Rows whose key is not in ``side`` (unique keys): an anti join that survives hot keys.
+    """Rows whose key is (or is not) in ``side``, which holds each key once.
 
-    Ordinary rows shuffle to their key. Whether a hot key is in ``side`` is looked up first,
-    and its salted rows match nothing, wherever they are sent.
+    ``df`` is shuffled but not sorted: each task hashes its share of ``side``. Whether a hot key
+    is in ``side`` is looked up first, and its salted rows match nothing wherever they are sent.
     """
     keys = list(keys)
     if not hot:
-        return df.join(side, keys, "left_anti")
+        return df.join(side.hint("shuffle_hash"), keys, "left_semi" if matching else "left_anti")
     listed = hot.frame(df).drop(ROWS)
-    matched = side.join(listed, keys, "left_semi").withColumn("_matched", F.lit(True))
-    facts = listed.join(F.broadcast(matched), keys, "left")
-    unsalted = side.withColumn(SALT, F.lit(0).cast("long"))
+    found = side.join(listed, keys, "left_semi").withColumn("_looked_up", F.lit(True))
+    facts = listed.join(F.broadcast(found), keys, "left")
+    unsalted = side.selectExpr(*keys, f"0L AS {SALT}", "true AS _joined").hint("shuffle_hash")
+    present = "coalesce(_joined, _looked_up, false)"
     return (
         salted(df, hot, facts)
-        .join(unsalted, [*keys, SALT], "left_anti")
-        .filter("_matched IS NULL")
+        .join(unsalted, [*keys, SALT], "left")
+        .filter(present if matching else f"NOT {present}")
         .select(*df.columns)
     )

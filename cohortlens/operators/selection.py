@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import age, json_fields, per_cohort, whole_number
 from cohortlens.model import COHORTS, CompareParams
-from cohortlens.operators.hotkeys import HotKeys, drop_matching, hot_keys
-from cohortlens.operators.numbering import count_rows, rank_results
+from cohortlens.operators.hotkeys import ROWS, HotKeys, count_keys, filter_by_key, list_hot
+from cohortlens.operators.numbering import rank_results
 from cohortlens.operators.prefix import running_totals
 
 USER = ["cohort", "user_id"]
@@ -121,17 +124,38 @@ def extract_fields(plays: DataFrame, params: CompareParams) -> DataFrame:
     return plays.selectExpr(*[f"{value} AS {name}" for name, value in columns.items()])
 
 
-def active_users(df: DataFrame, min_plays: int, hot: HotKeys | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class UserPlays:
+    """Plays per cohort and user under the game and period filter, and who has very many."""
+
+    counts: DataFrame
+    hot: HotKeys
+
+
+def count_users(
+    plays: DataFrame,
+    params: CompareParams,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+    min_rows: int | None = None,
+) -> UserPlays:
+    """Count plays per user in a pass over the key columns. ``keep`` can set the counts aside."""
+    counts = count_keys(tag_cohorts(plays, params).select(*USER), USER)
+    if keep is not None:
+        counts = keep(counts)
+    return UserPlays(counts, list_hot(counts, USER, min_rows))
+
+
+def active_users(df: DataFrame, users: UserPlays, min_plays: int) -> DataFrame:
     """Plays of users with at least ``min_plays`` plays in the row's cohort."""
     known = df.filter(F.col("user_id").isNotNull())
     if min_plays <= 1:
         return known
-    counted = count_rows(known, USER, "_plays", hot)
-    return counted.filter(F.col("_plays") >= min_plays).drop("_plays")
+    active = users.counts.filter(F.col(ROWS) >= min_plays).select(*USER)
+    return filter_by_key(known, active, USER, users.hot, matching=True)
 
 
 def exclude_users(
-    df: DataFrame, plays: DataFrame, params: CompareParams, hot: HotKeys | None = None
+    df: DataFrame, users: UserPlays, plays: DataFrame, params: CompareParams
 ) -> DataFrame:
     """Drop users who ever played the other cohort's game, for the cohorts that ask for it."""
     games = params.game_ids
@@ -149,8 +173,7 @@ def exclude_users(
         .select(F.explode(F.array_compact(cohorts)).alias("cohort"), "user_id")
         .distinct()
     )
-    hot = hot_keys(df, USER) if hot is None else hot
-    return drop_matching(df, side, USER, hot)
+    return filter_by_key(df, side, USER, users.hot, matching=False)
 
 
 def age_window(df: DataFrame, params: CompareParams) -> DataFrame:
@@ -224,22 +247,17 @@ def cap_rows(df: DataFrame, n: int, window_rows: int | None = None) -> DataFrame
     return ranked.filter(F.col("_row") <= n).drop("_row")
 
 
-def find_hot_users(plays: DataFrame, params: CompareParams) -> HotKeys:
-    """Users with too many plays for one task, looked up once and used by every later step."""
-    return hot_keys(tag_cohorts(plays, params).select(*USER), USER)
-
-
 def select_cohorts(
     plays: DataFrame,
     params: CompareParams,
     results: DataFrame | None = None,
-    hot: HotKeys | None = None,
+    users: UserPlays | None = None,
 ) -> DataFrame:
     """Both cohorts, in one frame."""
-    hot = find_hot_users(plays, params) if hot is None else hot
+    users = count_users(plays, params) if users is None else users
     tagged = extract_fields(tag_cohorts(plays, params), params)
-    active = active_users(tagged, params.min_plays, hot)
-    kept = exclude_users(active, plays, params, hot)
+    active = active_users(tagged, users, params.min_plays)
+    kept = exclude_users(active, users, plays, params)
     chosen = version_filter(age_window(kept, params), params)
     numbered = session_numbers(chosen, results, params)
     selected = numbered.select(*[c for c in OUTPUT if c in numbered.columns])

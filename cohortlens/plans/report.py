@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlens.model import COHORTS, CompareParams
 from cohortlens.operators import matrix as mx
 from cohortlens.operators.cleaning import clean
-from cohortlens.operators.selection import find_hot_users, select_cohorts
+from cohortlens.operators.selection import count_users, select_cohorts
 from cohortlens.plans import metrics as mt
 from cohortlens.session import Workspace
 from cohortlens.sources.catalog import cohort_names
@@ -46,14 +46,15 @@ def compare(
 ) -> Comparison:
     """All result tables of one comparison.
 
-    The selected rows are written to the shared folder, so the play table is read once (twice
-    with the look for hot users). The cleaned rows and the small aggregates are kept.
+    The play table is read twice: its key columns to count plays per user, then the cohorts,
+    which are written to the shared folder. Cleaned rows and small aggregates are kept.
     """
     workspace = Workspace(spark)
     keep = workspace.keep
     run_ts = run_ts or datetime.datetime.now(datetime.timezone.utc)
-    hot = find_hot_users(plays, params)
-    chosen = select_cohorts(plays, params, results, hot)
+    users = count_users(plays, params, workspace.table)
+    hot = users.hot
+    chosen = select_cohorts(plays, params, results, users)
     plan = chosen._jdf.queryExecution().optimizedPlan().toString()
     selected = workspace.table(chosen)
     cleaned = clean(selected, params, hot, keep)

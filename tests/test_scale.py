@@ -104,16 +104,28 @@ def partitioned(spark, skewed_plays, tmp_path_factory):
 def test_selection_prunes_and_shuffles_once(partitioned):
     params = CompareParams(game_ids=(1, 2), min_plays=5, years=(2024,), months=(1, 2))
     text = plan(sl.select_cohorts(partitioned, params))
-    assert text.count("Exchange ") == 1 and "SinglePartition" not in text
-    assert re.search(r"PartitionFilters: \[.*mm#\d+ IN \(1,2\)", text)
-    assert re.search(r"PushedFilters: \[[^\]]*In\(game_id, \[1,2\]\)", text)
-    assert text.count("FileScan") == 1
+    scans = text.split("FileScan")[1:]
+    assert len(scans) == 2
+    for scan in scans:
+        assert re.search(r"PartitionFilters: \[.*mm#\d+ IN \(1,2\)", scan)
+        assert re.search(r"PushedFilters: \[[^\]]*In\(game_id, \[1,2\]\)", scan)
+    # Plays move once and are not sorted; the counts of users move besides.
+    assert text.count("Exchange ") == 2 and "Sort" not in text and "SinglePartition" not in text
     # The blob is parsed below the shuffle, so only the values travel.
     assert text.index("Exchange") < text.index("from_json") < text.index("FileScan")
+    # Counting reads the keys only.
+    assert "struct<user_id:bigint,game_id:bigint>" in scans[1]
+
+
+def test_both_user_filters_share_a_shuffle(partitioned):
+    params = CompareParams(game_ids=(1, 2), min_plays=5, exclude_other_game=(True, True))
+    text = plan(sl.select_cohorts(partitioned, params))
+    # One for the plays; one for the counts, one for the users of the other game.
+    assert text.count("Exchange ") == 3 and text.count("ShuffledHashJoin") == 2
 
 
 def test_one_scan_serves_overlapping_cohorts(partitioned):
-    params = CompareParams(game_ids=(1, 1), min_plays=5, months=(1, 2))
+    params = CompareParams(game_ids=(1, 1), min_plays=1, months=(1, 2))
     assert plan(sl.select_cohorts(partitioned, params)).count("FileScan") == 1
 
 

@@ -5,7 +5,6 @@ import pytest
 
 from cohortlens.model import CompareParams
 from cohortlens.operators import selection as sl
-from cohortlens.operators.hotkeys import hot_keys
 from tests.conftest import rows_of
 
 PARAMS = CompareParams(game_ids=(1, 2), min_plays=1)
@@ -99,9 +98,9 @@ def test_numbers_run_over_all_results(spark):
 def test_hot_users_give_the_same_cohorts(spark, skewed_plays):
     params = CompareParams(game_ids=(1, 2), min_plays=5, exclude_other_game=(False, True))
     plain = sl.select_cohorts(skewed_plays, params)
-    hot = hot_keys(sl.tag_cohorts(skewed_plays, params).select(*sl.USER), sl.USER, 100)
-    assert {r["user_id"] for r in hot.rows} == {1}
-    assert rows_of(sl.select_cohorts(skewed_plays, params, hot=hot)) == rows_of(plain)
+    users = sl.count_users(skewed_plays, params, min_rows=100)
+    assert {r["user_id"] for r in users.hot.rows} == {1}
+    assert rows_of(sl.select_cohorts(skewed_plays, params, users=users)) == rows_of(plain)
 
 
 def test_cap_is_stable(spark, skewed_plays):

@@ -145,10 +145,8 @@ def written_report(spark, sf_dir):
 # --- selection -------------------------------------------------------------------------------
 
 
-def _selected(spark, sf_dir, params, hot=None):
-    return sl.select_cohorts(
-        fx.plays(spark, sf_dir), params, fx.results(spark, sf_dir), hot
-    )
+def _selected(spark, sf_dir, params):
+    return sl.select_cohorts(fx.plays(spark, sf_dir), params, fx.results(spark, sf_dir))
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -251,14 +249,16 @@ def age_in_week_boundaries(spark, sf_dir):
 
 @query
 def active_users(spark, sf_dir):
-    tagged = sl.tag_cohorts(fx.plays(spark, sf_dir), BASE)
-    return _counted(sl.active_users(tagged, 12))
+    plays = fx.plays(spark, sf_dir)
+    users = sl.count_users(plays, BASE)
+    return _counted(sl.active_users(sl.tag_cohorts(plays, BASE), users, 12))
 
 
 @query
 def active_users_with_hot_keys(spark, sf_dir):
-    tagged = sl.tag_cohorts(fx.plays(spark, sf_dir), BASE)
-    return _counted(sl.active_users(tagged, 12, hot_keys(tagged, sl.USER, 15)))
+    plays = fx.plays(spark, sf_dir)
+    users = sl.count_users(plays, BASE, min_rows=FEW_ROWS)
+    return _counted(sl.active_users(sl.tag_cohorts(plays, BASE), users, 12))
 
 
 @query
@@ -271,8 +271,8 @@ def excluded_users(spark, sf_dir):
 def excluded_users_with_hot_keys(spark, sf_dir):
     params = replace(DATED, exclude_other_game=(True, True), min_plays=1)
     plays = fx.dated(spark, sf_dir)
-    hot = hot_keys(sl.tag_cohorts(plays, params).select(*sl.USER), sl.USER, 4)
-    return _counted(sl.select_cohorts(plays, params, hot=hot))
+    users = sl.count_users(plays, params, min_rows=4)
+    return _counted(sl.select_cohorts(plays, params, users=users))
 
 
 @query
