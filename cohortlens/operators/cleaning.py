@@ -73,6 +73,7 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
 def count_unparsable(df: DataFrame) -> DataFrame:
     """Values per cohort that are present but are not numbers."""
     return df.groupBy("cohort").agg(
+        F.count(F.lit(1)).alias("plays"),
         *[
             F.expr(f"count_if({c} IS NOT NULL AND ({to_number(c)}) IS NULL)").alias(
                 f"{c}_unparsable"
@@ -212,8 +213,11 @@ def min_sessions_filter(df: DataFrame, minimum: int, hot: HotKeys | None = None)
 
 @dataclass(frozen=True)
 class Cleaned:
+    """The cleaned rows, what each step dropped, and how many values were no numbers."""
+
     sessions: DataFrame
     audit: DataFrame
+    unparsable: DataFrame
 
 
 def clean(
@@ -276,7 +280,7 @@ def clean(
     order = [c for c in df.columns if c in sessions.columns and c != "nth"]
     fetched = {cohort: filled[ROWS] for cohort, filled in counts.items()}
     audit = _audit(fetched, typed, steps, kept, params)
-    return Cleaned(sessions.select(*order, "session_count"), audit)
+    return Cleaned(sessions.select(*order, "session_count"), audit, count_unparsable(complete))
 
 
 @dataclass(frozen=True)

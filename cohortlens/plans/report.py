@@ -59,7 +59,11 @@ def compare(
     selected = workspace.table(chosen)
     cleaned = clean(selected, params, hot, keep)
     sessions = keep(cleaned.sessions)
-    tables = {"audit": cleaned.audit, "run": run_record(spark, params, run_ts, {"selected": plan})}
+    tables = {
+        "audit": cleaned.audit,
+        "unparsable": cleaned.unparsable,
+        "run": run_record(spark, params, run_ts, {"selected": plan}),
+    }
     if games is not None:
         tables["cohorts"] = cohort_names(games, params.game_ids, params.labels)
 

@@ -21,7 +21,7 @@ def test_report_has_every_table(spark, skewed_plays):
     names = games(spark, [(1, "Maze"), (2, "Maze two")])
     done = compare(spark, skewed_plays, PARAMS, games=names)
     assert set(done.tables) == {
-        *("audit", "run", "cohorts", "distribution_summary", "histograms"),
+        *("audit", "unparsable", "run", "cohorts", "distribution_summary", "histograms"),
         *("distribution_tests", "curves", "user_level_matrix", "level_stops"),
         *("jump_by_session", "infinite_percents"),
     }
@@ -34,7 +34,7 @@ def test_report_has_every_table(spark, skewed_plays):
 
 def test_empty_cohort_skips_the_metrics(spark, skewed_plays):
     done = compare(spark, skewed_plays, replace(PARAMS, game_ids=(1, 77)))
-    assert "cohort 2" in done.skipped and set(done.tables) == {"audit", "run"}
+    assert "cohort 2" in done.skipped and set(done.tables) == {"audit", "unparsable", "run"}
     done.release()
 
 

@@ -269,7 +269,7 @@ ORACLES["null_rows_dropped"] = f"""WITH {selected()} SELECT cohort, game_result_
     WHERE numcorrect IS NOT NULL AND playtime IS NOT NULL
       AND (cohort = 1 OR numtries IS NOT NULL)"""
 ORACLES["unparsable_counts"] = f"""WITH {selected()}
-    SELECT cohort,
+    SELECT cohort, count(*) AS plays,
       count(*) FILTER (WHERE try_cast(numtries AS DOUBLE) IS NULL) AS numtries_unparsable,
       count(*) FILTER (WHERE try_cast(numcorrect AS DOUBLE) IS NULL) AS numcorrect_unparsable
     FROM sel WHERE {COMPLETE} GROUP BY 1"""
