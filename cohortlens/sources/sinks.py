@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 from cohortlens.model import CompareParams
 
 
+# By default Spark writes milliseconds, and plays closer than that would lose their order.
+CSV_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A directory of CSV files with headers, written by all tasks."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, **CSV_TIMES).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

@@ -102,6 +102,16 @@ def test_csv_keeps_values(spark, skewed_plays, tmp_path):
     assert rows_of(tables.read_csv(spark, path, selected.schema)) == rows_of(selected)
 
 
+def test_csv_keeps_microseconds(spark, tmp_path):
+    path = str(tmp_path / "times")
+    times = spark.sql(
+        "SELECT timestamp'2024-01-01 00:00:01.123456' AS a,"
+        " timestamp_ntz'2024-01-01 00:00:01.000001' AS b, 'x,\"y\"' AS c"
+    )
+    sinks.write_csv(times, path)
+    assert tables.read_csv(spark, path, times.schema).collect() == times.collect()
+
+
 def test_read_plays_and_results(spark, skewed_plays, tmp_path):
     path = str(tmp_path / "plays")
     upper = skewed_plays.toDF(*[c.upper() for c in skewed_plays.columns])

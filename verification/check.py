@@ -5,9 +5,9 @@
 
 from __future__ import annotations
 
-import math
 import sys
 import time
+from decimal import Decimal
 
 import duckdb
 from pyspark.sql import SparkSession
@@ -31,30 +31,22 @@ def duckdb_tables(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
+    """Numbers as text to the last digit, so that 0 and -0 differ as well."""
     if isinstance(value, bool) or value is None:
         return value
-    if isinstance(value, int):
-        return float(value)
-    try:
-        return round(float(value), 5) + 0.0
-    except (TypeError, ValueError):
-        return value
+    if isinstance(value, (int, float, Decimal)):
+        return repr(float(value))
+    return value
 
 
 def _sorted_rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(
         (tuple(_plain(row[i]) for i in order) for row in rows),
-        key=lambda row: tuple((v is None, str(type(v)), v if v is not None else 0) for v in row),
+        key=lambda row: tuple((v is None, str(v)) for v in row),
     )
 
 
-def _same(a, b) -> bool:
-    if isinstance(a, float) and isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-5)
-    return a == b
-
-
 def compare(spark: SparkSession, connection, sf_dir: str, name: str) -> str:
     """Empty if both sides agree, else what differs."""
     found = QUERIES[name](spark, sf_dir)
@@ -68,7 +60,7 @@ def compare(spark: SparkSession, connection, sf_dir: str, name: str) -> str:
         return f"{len(rows)} rows != {len(expected)}"
     mine, theirs = _sorted_rows(found.columns, rows), _sorted_rows(expected_columns, expected)
     for a, b in zip(mine, theirs):
-        if not all(map(_same, a, b)):
+        if a != b:
             return f"{sorted(found.columns)}\n    spark  {a}\n    duckdb {b}"
     return "" if rows else "no rows"
 
