@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 from cohortlens.plans import metrics as mt
 from cohortlens.plans.report import compare
+from cohortlens.sources.sinks import for_each_table
 from verification import fixtures as fx
 from verification.queries import BASE, QUERIES
 
@@ -44,18 +45,21 @@ def comparison(spark, sf_dir):
     """Everything a report contains, every table computed in full."""
     params = replace(BASE, sample_users=1000)
     done = compare(spark, fx.plays(spark, sf_dir), params, games=fx.games(spark, sf_dir))
-    for table in done.tables.values():
-        table.write.format("noop").mode("overwrite").save()
+    for_each_table(done.tables, lambda _, table: compute(table))
     done.release()
 
 
+def compute(table) -> None:
+    table.write.format("noop").mode("overwrite").save()
+
+
 def timed(spark, run) -> float:
     seconds = []
     for _ in range(RUNS + 1):
         start = time.perf_counter()
         found = run(spark, SF_DIR)
         if found is not None:
-            found.write.format("noop").mode("overwrite").save()
+            compute(found)
         seconds.append(time.perf_counter() - start)
     return round(statistics.median(seconds[1:]), 3)
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.model import CompareParams
 
+T = TypeVar("T")
+
 
 # By default Spark writes milliseconds, and plays closer than that would lose their order.
 CSV_TIMES = {
@@ -34,6 +38,14 @@ def report_folder(name1: str, name2: str) -> str:
     return folder.replace(" ", "")
 
 
+def for_each_table(
+    tables: Mapping[str, DataFrame], action: Callable[[str, DataFrame], T], at_once: int = 4
+) -> list[T]:
+    """Run an action per table, a few at once: most tables are small and leave executors idle."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(action, tables.keys(), tables.values()))
+
+
 def write_report(
     tables: Mapping[str, DataFrame],
     location: str,
@@ -47,21 +59,22 @@ def write_report(
     The current copy of this report replaces the former one and leaves other reports alone.
     History is partitioned by report and run, so runs add up.
     """
-    written = []
     stamp = run_ts.strftime("%Y%m%dT%H%M%S")
-    for name, table in tables.items():
+
+    def write(name: str, table: DataFrame) -> list[str]:
         history = f"{location}/history/{folder}/{name}"
         tagged = table.withColumns({"report": F.lit(report), "run": F.lit(stamp)})
         tagged.write.mode("append").partitionBy("report", "run").parquet(history)
-        written.append(history)
-        if not backup_only:
-            current = f"{location}/current/{folder}/{report}/{name}"
-            # Read back what was just written rather than computing the table again.
-            stored = table.sparkSession.read.schema(tagged.schema).parquet(history)
-            this_run = stored.filter((F.col("report") == report) & (F.col("run") == stamp))
-            this_run.select(*table.columns).write.mode("overwrite").parquet(current)
-            written.append(current)
-    return written
+        if backup_only:
+            return [history]
+        current = f"{location}/current/{folder}/{report}/{name}"
+        # Read back what was just written rather than computing the table again.
+        stored = table.sparkSession.read.schema(tagged.schema).parquet(history)
+        this_run = stored.filter((F.col("report") == report) & (F.col("run") == stamp))
+        this_run.select(*table.columns).write.mode("overwrite").parquet(current)
+        return [history, current]
+
+    return [path for paths in for_each_table(tables, write) for path in paths]
 
 
 def run_record(

@@ -338,7 +338,12 @@ def _typed(spark, sf_dir, params=BASE):
 
 
 def _cleaned(spark, sf_dir, params=BASE):
-    return cl.clean(_staged(spark, sf_dir, params), params).sessions
+    """Select and clean as a comparison does: counted users and selected rows are set aside."""
+    workspace = Workspace(spark)
+    plays, results = fx.plays(spark, sf_dir), fx.results(spark, sf_dir)
+    users = sl.count_users(plays, params, workspace.table)
+    selected = workspace.table(sl.select_cohorts(plays, params, results, users))
+    return cl.clean(selected, params, users.hot).sessions
 
 
 def _staged_sessions(spark, sf_dir, params=BASE):
