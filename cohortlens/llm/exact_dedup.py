@@ -210,7 +210,7 @@ def deduplicated(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
         # Members repeat what is published; "kept" there means the historical row itself.
         members = looked.where("member").withColumn("kept", F.lit(False))
         new = looked.where("NOT member").select("doc_id", "text_hash", "digest", "chars")
-        found = members.unionByName(_within(staged(new)))
+        found = members.unionByName(_within(staged(new)).withColumn("member", F.lit(False)))
     return found.select(
         "doc_id",
         "keep_id",
