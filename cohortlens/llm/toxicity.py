@@ -1,8 +1,8 @@
 """Toxicity scores from gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a text: densities of a fixed and of a learned lexicon, how near its hits stand to a second
-person, rates of capitals, of punctuation and of obfuscated words. The learned lexicon, the trees and
-the calibration come from a sample of labelled rows of at most ``TRAIN_ROWS``; all texts are then scored.
+Features of a text: densities of a fixed lexicon and of learned stems, how near its hits stand to a
+second person, rates of capitals, of punctuation and of obfuscated words. The stems, the trees and the
+calibration come from a sample of labelled rows of at most ``TRAIN_ROWS``; all texts are then scored.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import string
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,14 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import by_text, documents, staged, table
 
-# Labelled rows that the lexicon, the trees and the calibration are fitted on, at most.
+# Labelled rows that the stems, the trees and the calibration are fitted on, at most.
 TRAIN_ROWS = 20_000
-# Learned words: in at least this share of the toxic sample, this much more often than in the rest.
-WORD_SHARE, WORD_LIFT, MAX_WORDS = 0.05, 20.0, 200
+# Learned stems: beginnings of words of these lengths that are in at least this share of the toxic
+# sample and this many of its texts, and this much more often than in the rest; so many at most.
+STEMS = (4, 5, 6)
+STEM_SHARE, STEM_TEXTS, STEM_LIFT, MAX_STEMS = 0.03, 5, 20.0, 500
+# Distinct words whose kind a Python worker remembers.
+REMEMBERED = 500_000
 TREES, DEPTH, BINS, RATE, LEAST, SHRINK = 60, 3, 32, 0.15, 10, 1.0
 FOLDS = 4
 THRESHOLD = 0.7
@@ -68,15 +73,36 @@ FEATURES = (
 )
 
 
+class Lexicon(dict):
+    """Kind of each word: 1 for an insult, 2 for a word with a learned stem, 0 for others."""
+
+    def __init__(self, learned: frozenset[str]) -> None:
+        super().__init__()
+        self.learned = learned
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        stem = any(word[:k] in self.learned for k in STEMS)
+        self[word] = kind = 1 if word in INSULTS else 2 if stem else 0
+        return kind
+
+
+@cache
+def lexicon(learned: frozenset[str]) -> Lexicon:
+    """One for each Python worker."""
+    return Lexicon(learned)
+
+
 def features(text: str, learned: frozenset[str]) -> list[float]:
     """The dense features of one whole text, in the order of ``FEATURES``; an empty text has zeros."""
     low, raw = text.lower(), text.encode()
     words = WORD.findall(low)
     n, size = max(1, len(words)), max(1, len(raw))
-    lexicon = INSULTS | learned
-    hits = [i for i, w in enumerate(words) if w in lexicon]
-    insults = sum(words[i] in INSULTS for i in hits)
-    new = sum(words[i] in learned for i in hits)
+    known = lexicon(learned)
+    kinds = [known[w] for w in words]
+    insults, new = kinds.count(1), kinds.count(2)
+    hits = [i for i, kind in enumerate(kinds) if kind] if insults or new else []
     aimed = sum(
         not SECOND_PERSON.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in hits
     )
@@ -232,7 +258,7 @@ def fit(x: np.ndarray, y: np.ndarray, learned: frozenset[str]) -> Model:
     margin = model.margin(x)
     for part in range(FOLDS):
         rest = fold != part
-        if 0 < y[rest].mean() < 1:
+        if 0 < y[rest].sum() < rest.sum():
             margin[~rest] = boosted(x[rest], y[rest], learned).margin(x[~rest])
     model.margins, model.scores = isotonic(margin, y)
     return model
@@ -263,36 +289,43 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     return documents(docs).join(F.broadcast(chosen), "doc_id")
 
 
-def learned_lexicon(sample: DataFrame) -> frozenset[str]:
-    """Words of the toxic sample that the rest hardly has, counted by texts; equal texts count once."""
+def learned_stems(sample: DataFrame) -> frozenset[str]:
+    """Stems of the toxic sample that the rest hardly has, counted by texts; equal texts count once.
+
+    Of stems that begin with another one, the shorter is kept.
+    """
     sample = sample.dropDuplicates(["text"])
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return frozenset()
 
     def work(texts: list[str]) -> list:
-        return [pa.array([list(set(WORD.findall(t.lower()))) for t in texts], pa.list_(pa.string()))]
+        found = (set(WORD.findall(t.lower())) for t in texts)
+        stems = [list({w[:k] for w in words for k in STEMS if len(w) >= k}) for words in found]
+        return [pa.array(stems, pa.list_(pa.string()))]
 
     counts = (
-        by_text(sample, work, "words array<string>", keep=("toxic",))
-        .select("toxic", F.explode("words").alias("word"))
-        .groupBy("word")
+        by_text(sample, work, "stems array<string>", keep=("toxic",))
+        .select("toxic", F.explode("stems").alias("stem"))
+        .groupBy("stem")
         .agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     )
     share, rest = F.col("toxic") / totals[1], (F.col("clean") + 1) / totals[0]
     found = (
-        counts.where((share >= WORD_SHARE) & (share >= WORD_LIFT * rest) & (F.col("toxic") >= 5))
-        .orderBy(F.desc("toxic"), "word")
-        .limit(MAX_WORDS)
+        counts.where(share >= F.greatest(F.lit(STEM_SHARE), STEM_LIFT * rest))
+        .where(F.col("toxic") >= STEM_TEXTS)
+        .orderBy(F.desc("toxic"), "stem")
+        .limit(MAX_STEMS)
         .collect()
     )
-    return frozenset(r.word for r in found)
+    stems = {r.stem for r in found}
+    return frozenset(s for s in stems if not any(s[:k] in stems for k in STEMS if k < len(s)))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on the sample's features, at most ``rows`` times 16 numbers on the driver."""
     sample = staged(training_sample(docs, labels, rows))
-    learned = learned_lexicon(sample)
+    learned = learned_stems(sample)
 
     def work(texts: list[str]) -> list:
         return [pa.array([features(t, learned) for t in texts], pa.list_(pa.float64()))]
