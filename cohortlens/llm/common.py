@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,11 +24,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless their path has it already.
+
+    Workers inherit the driver's ``PYTHONPATH``, and in local sessions its folder.
+    """
+    root = Path(__file__).resolve().parents[2]
+    paths = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if "site-packages" in root.parts or root in {Path(p).resolve() for p in (os.getcwd(), *paths)}:
+        return
+    session = spark.conf.get("spark.app.id", "")
+    if session in _shipped:
+        return
+    packed = Path(tempfile.mkdtemp(prefix="cohortlens-code-")) / "cohortlens_code.zip"
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted((root / "cohortlens").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(packed))
+    _shipped.add(session)
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator works on, so that other columns cannot clash with its own.
 
     Missing columns count as null.
     """
+    ship_code(docs.sparkSession)
     kinds = {"doc_id": "bigint", "text": "string", "source": "string"}
     have = set(docs.columns)
     return docs.select(

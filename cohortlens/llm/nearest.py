@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import staged, table
+from cohortlens.llm.common import ship_code, staged, table
 
 K = 10
 QUERY_EVERY = 100
@@ -190,6 +190,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
     Left out are vectors that are null, empty, zero, or hold null or non-finite components.
     """
+    ship_code(vectors.sparkSession)
     vector = F.col("embedding").cast("array<double>")
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
