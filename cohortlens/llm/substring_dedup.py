@@ -3,20 +3,22 @@
 1. One pass over all texts hashes every window of 50 words and keeps, per window, the smallest
    hash of its phrases of 16 words (its anchor). Equal windows have equal anchors.
 2. Windows whose anchor occurs in more than one text are hashed; those that occur in two documents
-   are confirmed, and belong to the document with the smallest id. Runs of confirmed windows in their
-   document are the repeated passages.
-3. Passages are dealt into shards by their document. Each shard compiles an Aho-Corasick automaton of its
-   passages' anchor phrases; every text that has one of these phrases, by the anchors of pass 1,
-   is streamed through it. Each occurrence is extended word by word along its passage in both
-   directions; what reaches 50 words is removed.
-
-Equal texts are worked on once: from the second on, all windows start in a smaller document.
+   are confirmed, and belong to the document with the smallest id.
+3. Anchors of confirmed windows are dealt into shards. Each shard compiles an Aho-Corasick automaton of
+   its anchors' phrases, as the document that owns them has them, and streams every passage that has
+   one of its anchors, by pass 1, through it. Around each occurrence of a phrase, the windows that
+   belong to a smaller document are marked; their words are removed.
+
+All windows with one anchor meet in one shard, and a passage goes to the shards of its anchors only, so the
+work grows with the repeated text. Equal texts are worked on once: from the second on, all windows
+start in a smaller document.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import by_text, documents, staged, table
+from cohortlens.llm.common import by_text, documents, slices, staged, table
 from cohortlens.session import lookup
 
 WINDOW = 50
 PHRASE = 16
-# Words of passages in a shard, about; its automaton holds a phrase for every 15 words or so.
-SHARD_WORDS = 400_000
-# Bytes of texts that one copy of a shard's automaton reads.
-SHARD_BYTES = 48 << 20
+# Confirmed windows in a shard, about; its automaton holds a phrase for every 15 or so.
+SHARD_WINDOWS = 200_000
+# Bytes of passages that one copy of a shard's automaton reads.
+SHARD_BYTES = 24 << 20
 
 # Odd multipliers of the two polynomial hashes; the inverse of each undoes a shift.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -71,6 +73,10 @@ class Words:
     def __len__(self) -> int:
         return len(self.words)
 
+    def between(self, start: int, end: int) -> str:
+        """Words from ``start`` up to ``end``, with single blanks."""
+        return self.joined[self.starts[start] : self.ends[end - 1]].decode()
+
     def hashes(self, multiplier: int = MULTIPLIERS[0]) -> np.ndarray:
         values = np.frombuffer(self.joined, np.uint8).astype(np.uint64) + np.uint64(1)
         return _ranges(values, self.starts, self.ends, multiplier)
@@ -142,128 +148,144 @@ def recurring(first: DataFrame) -> DataFrame:
     )
 
 
-# -- 2. repeated passages ----------------------------------------------------------------
+# -- 2. repeated windows -----------------------------------------------------------------
 
 
 def confirmed(candidates: DataFrame) -> DataFrame:
-    """Windows that occur in two documents: the document with the smallest id, and the place there."""
+    """Windows that occur in two documents: two hashes, the anchor, and the smallest document."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 words = Words(batch["text"][i].as_py())
-                known = np.array(batch["anchors"][i].as_py(), np.int64)
-                at = np.flatnonzero(np.isin(words.anchors().view(np.int64), known))
+                anchors = words.anchors().view(np.int64)
+                at = np.isin(anchors, np.array(batch["anchors"][i].as_py(), np.int64))
                 high, low = words.windows()
-                size = len(at)
-                doc_id = pa.array(np.full(size, batch["first_id"][i].as_py(), np.int64))
-                columns = [_longs(high[at]), _longs(low[at]), doc_id, pa.array(at.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "doc_id", "place"])
+                doc_id = np.full(int(at.sum()), batch["first_id"][i].as_py(), np.int64)
+                columns = [_longs(high[at]), _longs(low[at]), pa.array(anchors[at]), pa.array(doc_id)]
+                yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "anchor", "doc_id"])
 
     windows = candidates.select("first_id", "text", "anchors").mapInArrow(
-        run, "high bigint, low bigint, doc_id bigint, place int"
+        run, "high bigint, low bigint, anchor bigint, doc_id bigint"
     )
     return (
-        windows.groupBy("high", "low")
-        .agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last"))
-        .where("first.doc_id < last")
-        .select("first.doc_id", "first.place")
+        windows.groupBy("high", "low", "anchor")
+        .agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+        .where("owner < last")
+        .drop("last")
     )
 
 
-PASSAGES = "shard int, first_id bigint, words array<string>, anchors array<bigint>"
+# -- 3. occurrences ----------------------------------------------------------------------
+
+PASSAGES = "anchor bigint, sha binary, first_id bigint, place int, words string"
+PASSAGES_ARROW = pa.schema(
+    [("anchor", pa.int64()), ("sha", pa.binary()), ("first_id", pa.int64()),
+     ("place", pa.int32()), ("words", pa.string())]
+)
+
 
+def passages(candidates: DataFrame, owned: DataFrame) -> DataFrame:
+    """Where texts have anchors of confirmed windows: the words that all windows with the anchor cover.
 
-def passages(candidates: DataFrame, owned: DataFrame, shards: int) -> DataFrame:
-    """Runs of confirmed windows in their document, as words, with the anchors of their windows."""
-    places = owned.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    shard = F.pmod(F.xxhash64("first_id"), F.lit(shards)).cast("int")
+    The document that owns the first of an anchor's windows gives the phrase itself (``sha`` is null
+    there); windows of smaller documents can only be in the others.
+    """
+    least = owned.groupBy("anchor").agg(F.min("owner").alias("least"))
+    wanted = (
+        candidates.select("sha", "first_id", F.explode("anchors").alias("anchor"))
+        .join(least, "anchor")
+        .where("least <= first_id")
+        .groupBy("sha")
+        .agg(F.collect_list(F.struct("anchor", (F.col("least") == F.col("first_id")).alias("own"))).alias("wanted"))
+    )
 
     def run(batches):
-        for batch in batches:
-            out = {"shard": [], "first_id": [], "words": [], "anchors": []}
+        for batch in chain.from_iterable(map(slices, batches)):
+            out: dict[str, list] = {name: [] for name in PASSAGES_ARROW.names}
+
+            def add(*values):
+                for name, value in zip(PASSAGES_ARROW.names, values, strict=True):
+                    out[name].append(value)  # noqa: B023
+
             for i in range(batch.num_rows):
                 words = Words(batch["text"][i].as_py())
+                sha, first_id = batch["sha"][i].as_py(), batch["first_id"][i].as_py()
+                own = {w["anchor"]: w["own"] for w in batch["wanted"][i].as_py()}
                 anchors = words.anchors().view(np.int64)
-                at = np.unique(batch["places"][i].as_py())
-                for part in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
-                    start, end = int(part[0]), int(part[-1]) + WINDOW
-                    out["shard"].append(batch["shard"][i].as_py())
-                    out["first_id"].append(batch["first_id"][i].as_py())
-                    out["words"].append([w.decode() for w in words.words[start:end]])
-                    out["anchors"].append(np.unique(anchors[part]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out["shard"], pa.int32()),
-                    pa.array(out["first_id"], pa.int64()),
-                    pa.array(out["words"], pa.list_(pa.string())),
-                    pa.array(out["anchors"], pa.list_(pa.int64())),
-                ],
-                names=list(out),
-            )
+                starts = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+                ends = np.append(starts[1:], len(anchors))
+                phrases = None
+                for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+                    anchor = int(anchors[start])
+                    if own.get(anchor) is False:
+                        add(anchor, sha, first_id, start, words.between(start, end - 1 + WINDOW))
+                    elif own.pop(anchor, False):
+                        if phrases is None:
+                            phrases = words.phrases().view(np.int64)
+                        at = start + int(np.argmax(phrases[start : start + WINDOW - PHRASE + 1] == anchor))
+                        add(anchor, None, first_id, None, words.between(at, at + PHRASE))
+            yield pa.RecordBatch.from_pydict(out, schema=PASSAGES_ARROW)
 
     return (
-        candidates.join(places, candidates.first_id == places.doc_id)
-        .select(shard.alias("shard"), "first_id", "text", "places")
+        candidates.select("sha", "first_id", "text")
+        .join(wanted, "sha")
         .mapInArrow(run, PASSAGES)
     )
 
 
-# -- 3. occurrences ----------------------------------------------------------------------
-
-
 class PhraseAutomaton:
-    """Finds where texts run along one of the passages of a shard."""
-
-    def __init__(self, owners: list[int], passages: list[list[str]]) -> None:
-        self.owners = owners
-        self.words = [[w.encode() for w in p] for p in passages]
-        places: dict[str, list[tuple[int, int]]] = {}
-        for number, passage in enumerate(passages):
-            words = Words(" ".join(passage))
-            phrases, anchors = words.phrases(), words.anchors()
-            for at in np.flatnonzero(np.isin(phrases, anchors)).tolist():
-                phrase = " ".join(passage[at : at + PHRASE])
-                places.setdefault(f" {phrase} ", []).append((number, at))
+    """Finds the windows of a shard in passages."""
+
+    def __init__(
+        self, phrases: list[str], high: np.ndarray, low: np.ndarray, owners: np.ndarray
+    ) -> None:
+        order = np.lexsort((low, high))
+        self.high, self.low, self.owners = high[order], low[order], owners[order]
         self.automaton = ahocorasick.Automaton()
-        for phrase, found in places.items():
-            self.automaton.add_word(phrase, found)
+        for phrase in phrases:
+            self.automaton.add_word(f" {phrase} ", True)
         self.automaton.make_automaton()
 
     def spans(self, doc_id: int, text: str) -> list[tuple[int, int]]:
-        """Runs of at least 50 words that stand in a passage of a smaller document."""
+        """Runs of words that windows of smaller documents cover."""
         if not len(self.automaton):
             return []
+        joined = f" {text} "
+        ends = [end for end, _ in self.automaton.iter(joined)]
+        if not ends:
+            return []
         words = Words(text)
-        joined = f" {words.joined.decode()} "
-        # Place in the text, in characters, at which each word ends.
-        ends = np.cumsum([1 + len(w.decode()) for w in words.words])
-        found: list[tuple[int, int]] = []
-        reached: dict[tuple[int, int], int] = {}
-        for end, hits in self.automaton.iter(joined):
-            at = int(np.searchsorted(ends, end)) + 1 - PHRASE
-            for number, place in hits:
-                if self.owners[number] >= doc_id:
-                    continue
-                # Along one diagonal, a run is extended once.
-                diagonal = (number, at - place)
-                if reached.get(diagonal, -1) >= at:
-                    continue
-                start, stop = self._extended(words.words, self.words[number], at, place)
-                reached[diagonal] = stop - PHRASE
-                if stop - start >= WINDOW:
-                    found.append((start, stop))
-        return found
-
-    @staticmethod
-    def _extended(text: list[bytes], passage: list[bytes], at: int, place: int) -> tuple[int, int]:
-        start, back = at, place
-        while start and back and text[start - 1] == passage[back - 1]:
-            start, back = start - 1, back - 1
-        stop, on = at + PHRASE, place + PHRASE
-        while stop < len(text) and on < len(passage) and text[stop] == passage[on]:
-            stop, on = stop + 1, on + 1
-        return start, stop
+        # Windows that hold an occurrence of a phrase; ``last`` is the phrase's last word.
+        blanks = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
+        last = np.searchsorted(blanks, ends) - 1
+        near = np.zeros(len(words) + 1, np.int64)
+        np.add.at(near, np.maximum(last - WINDOW + 1, 0), 1)
+        np.add.at(near, last - PHRASE + 2, -1)
+        at = np.flatnonzero(np.cumsum(near)[: len(words) - WINDOW + 1] > 0)
+        high, low = (hashes[at].view(np.int64) for hashes in words.windows())
+        found = self._owned(high, low) < doc_id
+        spans: list[tuple[int, int]] = []
+        for start in at[found].tolist():
+            if spans and start <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], start + WINDOW)
+            else:
+                spans.append((start, start + WINDOW))
+        return spans
+
+    def _owned(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Owner of each window, or more than any id where there is none."""
+        owner = np.full(len(high), np.iinfo(np.int64).max)
+        at = np.searchsorted(self.high, high)
+        left = np.arange(len(high))
+        while len(left):
+            left = left[at[left] < len(self.high)]
+            left = left[self.high[at[left]] == high[left]]
+            same = self.low[at[left]] == low[left]
+            owner[left[same]] = self.owners[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+        return owner
 
 
 SPANS = "sha binary, starts array<int>, stops array<int>"
@@ -272,45 +294,50 @@ SPANS_ARROW = pa.schema(
 )
 
 
-def occurrences(candidates: DataFrame, found: DataFrame) -> DataFrame:
-    """Spans of each candidate text that stand in a passage of a smaller document.
+def occurrences(found: DataFrame, owned: DataFrame, shards: int) -> DataFrame:
+    """Spans of texts that windows of smaller documents cover, one row per passage.
 
-    A text goes to the shards that hold one of its anchors. A shard with many texts is copied,
-    and its texts are spread over the copies by hash.
+    A shard with many passages is copied, and its passages are spread over the copies by text.
     """
-    asked = found.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    routes = (
-        candidates.select("sha", F.explode("anchors").alias("anchor"))
-        .join(asked, "anchor")
-        .select("sha", "shard")
-        .distinct()
-    )
-    routed = staged(candidates.select("sha", "first_id", "text").join(routes, "sha"))
-    copies = F.ceil(F.sum(F.octet_length("text")) / SHARD_BYTES).cast("int")
-    crowded = routed.groupBy("shard").agg(copies.alias("copies")).where("copies > 1")
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")
+    texts = found.where("sha IS NOT NULL").withColumn("shard", shard)
+    copies = F.ceil(F.sum(F.octet_length("words")) / SHARD_BYTES).cast("int")
+    crowded = texts.groupBy("shard").agg(copies.alias("copies")).where("copies > 1")
     crowded = lookup(staged(crowded))
     part = F.coalesce(F.pmod(F.xxhash64("sha"), F.col("copies")), F.lit(0)).cast("int")
-    texts = routed.join(crowded, "shard", "left").withColumn("part", part).drop("copies")
-    copied = (
-        found.drop("anchors")
+    asked = (
+        texts.join(crowded, "shard", "left")
+        .withColumn("part", part)
+        .select("shard", "part", "sha", "first_id", "place", "words")
+    )
+    phrases = found.where("sha IS NULL").select(
+        shard.alias("shard"), F.col("words").alias("phrase"), *(F.lit(None).cast("bigint").alias(c) for c in ("high", "low", "owner"))
+    )
+    windows = owned.select(shard.alias("shard"), F.lit(None).cast("string").alias("phrase"), "high", "low", "owner")
+    held = (
+        phrases.union(windows)
         .join(crowded, "shard", "left")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
         .drop("copies")
     )
 
-    def find(texts: pa.Table, held: pa.Table) -> pa.Table:
+    def find(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: dict[str, list] = {"sha": [], "starts": [], "stops": []}
-        if texts.num_rows and held.num_rows:
-            automaton = PhraseAutomaton(held["first_id"].to_pylist(), held["words"].to_pylist())
-            for i in range(texts.num_rows):
-                spans = automaton.spans(texts["first_id"][i].as_py(), texts["text"][i].as_py())
+        if asked.num_rows and held.num_rows:
+            windows = held.filter(held["high"].is_valid())
+            high, low, owner = (windows[c].to_numpy() for c in ("high", "low", "owner"))
+            phrases = held["phrase"].drop_null().unique().to_pylist()
+            automaton = PhraseAutomaton(phrases, high, low, owner)
+            columns = [asked[c].to_pylist() for c in ("sha", "first_id", "place", "words")]
+            for sha, first_id, place, words in zip(*columns, strict=True):
+                spans = automaton.spans(first_id, words)
                 if spans:
-                    out["sha"].append(texts["sha"][i].as_py())
-                    out["starts"].append([a for a, _ in spans])
-                    out["stops"].append([b for _, b in spans])
+                    out["sha"].append(sha)
+                    out["starts"].append([place + a for a, _ in spans])
+                    out["stops"].append([place + b for _, b in spans])
         return pa.table(out, schema=SPANS_ARROW)
 
-    return texts.groupBy("shard", "part").cogroup(copied.groupBy("shard", "part")).applyInArrow(
+    return asked.groupBy("shard", "part").cogroup(held.groupBy("shard", "part")).applyInArrow(
         find, SPANS
     )
 
@@ -384,9 +411,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         ).select("sha", "first_id", "text", "anchors")
     )
     owned = staged(confirmed(candidates))
-    shards = 1 + owned.count() // SHARD_WORDS
-    found = staged(passages(candidates, owned, shards))
-    cut = removed(candidates, occurrences(candidates, found))
+    shards = 1 + owned.count() // SHARD_WINDOWS
+    found = staged(passages(candidates, owned))
+    cut = removed(candidates, occurrences(found, owned, shards))
     nothing = hashlib.sha256(b"").hexdigest()
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= WINDOW)
     copy = F.coalesce(copy, F.lit(False))

@@ -42,7 +42,7 @@ def patchwork(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_passages_that_overlap(spark, monkeypatch, seed):
-    monkeypatch.setattr(sd, "SHARD_WORDS", 100)
+    monkeypatch.setattr(sd, "SHARD_WINDOWS", 100)
     monkeypatch.setattr(sd, "SHARD_BYTES", 500)
     docs = patchwork(seed)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
