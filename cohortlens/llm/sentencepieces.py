@@ -20,6 +20,7 @@ from array import array
 from functools import cache
 from itertools import pairwise
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -67,6 +68,10 @@ class Pieces:
         # Pieces that merging their own characters does not give are never the result.
         self.ids = {p: i for p, i in self.ids.items() if self.merged(p) == [p]}
         self.names = {i: p for p, i in self.ids.items()}
+        self.ending = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.ending.add_word(piece, i << 8 | len(piece))
+        self.ending.make_automaton()
         self.longest = max(map(len, self.ids))
         # If marks only ever start pieces, no piece crosses into a new word; if no piece holds a letter
         # or digit beside another character but marks, none crosses from one kind to the other.
@@ -125,31 +130,46 @@ class Pieces:
     def _extend(self, text: str, last: list[int], starts: list[int]) -> None:
         """Add the boundaries up to the end of ``text``: the piece that ends there, its start.
 
-        A character that is no piece is one by itself, numbered from ``UNKNOWN`` on. Every
-        boundary is reached by one path or, inside a character's merge, by none (-1).
+        An automaton of all pieces gives those that end at a boundary. Every boundary is reached by one
+        path or, inside a merge, by none (-1).
         """
-        ids, apart, longest = self.ids, self.apart, self.longest
-        for end in range(len(last), len(text) + 1):
-            found, at = -1, 0
-            for start in range(end - longest if end > longest else 0, end):
-                before = last[start]
-                if before < 0:
+        apart, begin = self.apart, max(0, len(last) - self.longest)
+        done = len(last) - 1
+        for at, value in self.ending.iter(text, begin):
+            if at < done:
+                continue
+            while len(last) <= at:
+                self._lone(text, last, starts)
+            start = at + 1 - (value & 0xFF)
+            before = last[start]
+            if before < 0:
+                continue
+            piece = value >> 8
+            if before:
+                fits = apart.get(before << 32 | piece)
+                if fits is None:
+                    fits = self._test(before, piece)
+                if not fits:
                     continue
-                piece = ids.get(text[start:end])
-                if piece is None:
-                    if start + 1 < end:
-                        continue
-                    piece = UNKNOWN + ord(text[start])
-                if before:
-                    fits = apart.get(before << 32 | piece)
-                    if fits is None:
-                        fits = self._test(before, piece)
-                    if not fits:
-                        continue
-                found, at = piece, start
-                break
-            last.append(found)
-            starts.append(at)
+            last.append(piece)
+            starts.append(start)
+            done = at + 1
+        while len(last) <= len(text):
+            self._lone(text, last, starts)
+
+    def _lone(self, text: str, last: list[int], starts: list[int]) -> None:
+        """The boundary after a character at which no piece ends, or none that fits.
+
+        A character that is no piece is one by itself, numbered from ``UNKNOWN`` on.
+        """
+        start = len(last) - 1
+        before, piece = last[start], UNKNOWN + ord(text[start])
+        fits = before >= 0 and text[start] not in self.ids
+        if fits and before:
+            known = self.apart.get(before << 32 | piece)
+            fits = self._test(before, piece) if known is None else known
+        last.append(piece if fits else -1)
+        starts.append(start)
 
     def stream(self, characters):
         """Yield lists of numbers of pieces that are final, for an iterable of strings.
