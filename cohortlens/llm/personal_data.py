@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import tagger as tg
-from cohortlens.llm.common import by_text, documents, table
+from cohortlens.llm.common import by_text, documents, drawn, table
 
 KINDS = tg.KINDS
 # Texts with and without base spans that the tagger is trained on, at most of each.
@@ -224,11 +224,10 @@ def trained(docs: DataFrame) -> tg.Tagger:
     rows = documents(docs).where(F.length("text").between(1, TRAIN_CHARS)).select(
         "text", F.col("text").rlike("[0-9@]").alias("likely")
     )
-    lot = F.xxhash64("text")
     texts = [
         r.text
         for likely in (True, False)
-        for r in rows.where(F.col("likely") == likely).orderBy(lot, "text").limit(TRAIN_TEXTS).collect()
+        for r in drawn(rows.where(F.col("likely") == likely), TRAIN_TEXTS, "text").collect()
     ]
     return tg.train(*training_windows(texts))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import by_text, documents, staged, table
+from cohortlens.llm.common import by_text, documents, drawn, staged, table
 
 # Labelled rows that the stems, the trees and the calibration are fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -277,16 +277,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     The sample is chosen among the ids by hash, one text for equal texts; ids that labels repeat
     count as toxic if any of their rows does.
     """
-    chosen = (
+    known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
     )
     # At most ``rows`` pairs of numbers.
-    return documents(docs).join(F.broadcast(chosen), "doc_id")
+    chosen = F.broadcast(drawn(staged(known), rows, "doc_id"))
+    return documents(docs).join(chosen, "doc_id")
 
 
 def learned_stems(sample: DataFrame) -> frozenset[str]:
