@@ -98,16 +98,25 @@ def by_text(
     return kept.mapInArrow(run, full)
 
 
-def drawn(rows: DataFrame, most: int, *key: str) -> DataFrame:
-    """At most ``most`` rows, the same on each run: those with the smallest hashes of ``key``.
+def drawn(rows: DataFrame, most: int, *key: str, by: str = "true") -> DataFrame:
+    """At most ``most`` rows for each value of the condition ``by``, the same on each run: those with
+    the smallest hashes of ``key``.
 
     Rows are counted first, and a bound on the hash leaves about twice as many as are wanted, so few
     rows of each task take part in the final order, whatever the size of the table.
     """
-    lot = F.xxhash64(*key)
-    share = min(1.0, 2 * most / max(1, rows.count()))
-    few = rows.where(F.pmod(lot, F.lit(1 << 31)) < int(share * (1 << 31)) + 1)
-    return few.orderBy(F.pmod(lot, F.lit(1 << 31)), *key).limit(most)
+    lot = F.pmod(F.xxhash64(*key), F.lit(1 << 31))
+    counts = {r.kind: r.n for r in rows.groupBy(F.expr(by).alias("kind")).agg(F.count("*").alias("n")).collect()}
+    near = F.lit(False)
+    for kind, n in counts.items():
+        bound = int(min(1.0, 2 * most / n) * (1 << 31)) + 1
+        near |= F.expr(by).eqNullSafe(F.lit(kind)) & (lot < bound)
+    few = staged(rows.where(near))
+    out = few.limit(0)
+    for kind in counts:
+        part = few.where(F.expr(by).eqNullSafe(F.lit(kind)))
+        out = out.union(part.orderBy(lot, *key).limit(most))
+    return out
 
 
 # Bytes of texts that are worked on at once; a longer text makes a slice of its own.

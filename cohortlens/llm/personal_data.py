@@ -221,14 +221,10 @@ def trained(docs: DataFrame) -> tg.Tagger:
 
     Texts of more than ``TRAIN_CHARS`` characters are not trained on; what is tagged later is all texts.
     """
-    rows = documents(docs).where(F.length("text").between(1, TRAIN_CHARS)).select(
-        "text", F.col("text").rlike("[0-9@]").alias("likely")
-    )
-    texts = [
-        r.text
-        for likely in (True, False)
-        for r in drawn(rows.where(F.col("likely") == likely), TRAIN_TEXTS, "text").collect()
-    ]
+    rows = documents(docs).where(F.length("text").between(1, TRAIN_CHARS)).select("text")
+    sample = drawn(rows, TRAIN_TEXTS, "text", by="text RLIKE '[0-9@]'").collect()
+    # In an order of their own, as rows of equal hashes are not told apart.
+    texts = sorted((r.text for r in sample), key=lambda t: (not ANY_DIGIT.search(t), t))
     return tg.train(*training_windows(texts))
 
 
