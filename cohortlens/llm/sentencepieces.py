@@ -31,9 +31,9 @@ from cohortlens.llm.common import by_text, documents, table
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-# Distinct words, and pairs of pieces, that a Python worker remembers (150 to 250 bytes each);
-# beyond it, it starts anew.
-REMEMBERED = 800_000
+# Distinct words that a Python worker remembers, in two generations (about 200 bytes each), and pairs
+# of pieces (about 130 bytes each).
+REMEMBERED = 300_000
 # A longer word is encoded as a stream and not remembered.
 LONG = 60
 # Characters that are no piece are numbered from here on.
@@ -80,7 +80,7 @@ class Pieces:
             a.isalnum() != b.isalnum() for p in self.ids for a, b in pairwise(p.lstrip(BLANK))
         )
         self.known: dict[str, bytes] = {}
-        self.known_runs: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
 
     # -- the test of neighbours ----------------------------------------------------------
@@ -216,21 +216,23 @@ class Pieces:
     # -- encoding and decoding -----------------------------------------------------------
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word, as little-endian int32; run by run of letters or others, if none is crossed."""
-        if self.runs:
-            known = self.known_runs
-            packed = b"".join(
-                [known[r] if r in known else self._run(r) for r in RUNS.findall(word)]
-            )
-        else:
-            packed = self._run(word)
+        """Ids of a word that ``known`` does not hold, as little-endian int32; run by run of letters or
+        others, if no piece crosses from one to the other."""
+        packed = self.former.get(word)
+        if packed is None:
+            runs = RUNS.findall(word) if self.runs else (word,)
+            if len(runs) > 1:
+                packed = b"".join([self.known.get(r) or self._word(r) for r in runs])
+            else:
+                packed = self._searched(word)
         if len(word) <= LONG:
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
+                # Words that still occur come back from the former ones.
+                self.former, self.known = self.known, {}
             self.known[word] = packed
         return packed
 
-    def _run(self, word: str) -> bytes:
+    def _searched(self, word: str) -> bytes:
         if len(word) <= LONG:
             last, starts = [0], [0]
             self._extend(word, last, starts)
@@ -246,12 +248,7 @@ class Pieces:
                 ids.extend(self.bytes[b] for b in chr(piece - UNKNOWN).encode())
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
-        packed = array("i", ids).tobytes()
-        if len(word) <= LONG:
-            if len(self.known_runs) >= REMEMBERED:
-                self.known_runs.clear()
-            self.known_runs[word] = packed
-        return packed
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian int32.
@@ -263,9 +260,8 @@ class Pieces:
         """
         if not text:
             return b""
-        known = self.known
         if not self.words:
-            return self._word(BLANK + text.replace(" ", BLANK))
+            return self._searched(BLANK + text.replace(" ", BLANK))
         found, marks = [], BLANK
         for word in text.replace(BLANK, " ").split(" "):
             if not word:
@@ -273,8 +269,7 @@ class Pieces:
                 continue
             word = marks + word
             marks = BLANK
-            ids = known.get(word)
-            found.append(self._word(word) if ids is None else ids)
+            found.append(self.known.get(word) or self._word(word))
         if len(marks) > 1:
             found.append(self._word(marks[1:]))
         return b"".join(found)

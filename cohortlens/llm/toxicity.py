@@ -26,7 +26,7 @@ TRAIN_ROWS = 20_000
 STEMS = (4, 5, 6)
 STEM_SHARE, STEM_TEXTS, STEM_LIFT, MAX_STEMS = 0.03, 5, 20.0, 500
 # Distinct words whose kind a Python worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 TREES, DEPTH, BINS, RATE, LEAST, SHRINK = 60, 3, 32, 0.15, 10, 1.0
 FOLDS = 4
 THRESHOLD = 0.7

@@ -61,7 +61,7 @@ def test_memory_of_workers_is_bounded(monkeypatch):
     text = " ".join(f"word{i}" for i in range(50))
     assert counter.count(text) == tc.counter(BPE).count(text)
     assert coder.encode(text) == sp.pieces(PIECES).encode(text)
-    assert len(counter.known) <= 5 and len(coder.known) <= 5
+    assert len(counter.known) <= 5 and len(coder.known) <= 5 and len(coder.former) <= 5
 
 
 def test_token_counts_of_rows(odd_docs, odd_texts, no_docs, library):
