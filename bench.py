@@ -18,7 +18,7 @@ from cohortlens.plans import metrics as mt
 from cohortlens.plans.report import compare
 from cohortlens.sources.sinks import for_each_table
 from verification import fixtures as fx
-from verification.queries import BASE, QUERIES
+from verification.queries import BASE, QUERIES, release
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "4")
@@ -61,6 +61,7 @@ def timed(spark, run) -> float:
         if found is not None:
             compute(found)
         seconds.append(time.perf_counter() - start)
+        release()
     return round(statistics.median(seconds[1:]), 3)
 
 

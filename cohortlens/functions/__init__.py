@@ -2,9 +2,12 @@ from cohortlens.functions.expressions import (
     age,
     json_fields,
     ks_p_value,
+    literal,
     number,
     per_cohort,
     percent,
+    present,
+    quoted,
     standard_error,
     to_number,
     variance_explained,
@@ -15,9 +18,12 @@ __all__ = [
     "age",
     "json_fields",
     "ks_p_value",
+    "literal",
     "number",
     "per_cohort",
     "percent",
+    "present",
+    "quoted",
     "standard_error",
     "to_number",
     "variance_explained",

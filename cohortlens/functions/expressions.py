@@ -5,25 +5,77 @@ Arguments are SQL text too, usually column names. Everything stays inside the JV
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
 
-def json_fields(metadata: str, names: Iterable[str]) -> str:
-    """Struct of the named top-level fields as raw text; unreadable JSON gives NULL fields.
+def json_fields(
+    metadata: str, paths: Iterable[str], column: str = "_json"
+) -> tuple[dict[str, str], dict[str, str]]:
+    """Columns that parse the blob, and for each path the text that reads it from them.
 
-    One ``from_json`` parses the blob once, however many fields are read from it.
+    A path names fields from the top, with dots between them; its value is the field's raw text, NULL
+    where the JSON is unreadable or has no such field. One ``from_json`` reads all paths. Only paths
+    that a struct cannot hold together (names that differ in case alone, or a path that leads on
+    through another one's value) are parsed by a further one.
     """
-    schema = ", ".join(f"`{name}` STRING" for name in dict.fromkeys(names))
-    return f"from_json({metadata}, '{schema}')"
+    trees: list[dict] = []
+    place: dict[str, int] = {}
+    for path in dict.fromkeys(paths):
+        steps = path.split(".")
+        at = next((i for i, tree in enumerate(trees) if _fits(tree, steps)), len(trees))
+        if at == len(trees):
+            trees.append({})
+        node = trees[at]
+        for step in steps[:-1]:
+            node = node.setdefault(step, {})
+        node[steps[-1]] = None
+        place[path] = at
+    parsed = {
+        f"{column}{i}": f"from_json({metadata}, {literal(_json_schema(tree))})"
+        for i, tree in enumerate(trees)
+    }
+    read = {
+        path: ".".join([f"{column}{i}", *map(quoted, path.split("."))]) for path, i in place.items()
+    }
+    return parsed, read
+
+
+def _fits(tree: dict, steps: list[str]) -> bool:
+    """Whether a path can be added to a tree of fields, in which None ends a path."""
+    for i, step in enumerate(steps):
+        if step not in tree:
+            return step.lower() not in map(str.lower, tree)
+        if i == len(steps) - 1 or tree[step] is None:
+            return False
+        tree = tree[step]
+    return False
+
+
+def _json_schema(tree: dict) -> str:
+    return ", ".join(
+        f"{quoted(name)} {'STRING' if below is None else f'STRUCT<{_json_schema(below)}>'}"
+        for name, below in tree.items()
+    )
+
+
+def quoted(name: str) -> str:
+    """A name as SQL text, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(text: str) -> str:
+    """A string constant as SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def to_number(value: str) -> str:
     """Number, or NULL where the text is not one.
 
-    Java also reads a type suffix ("12d"), "NaN" and "Infinity"; none is a number here. Spoiling
-    the letters d and f takes care of all but "NaN".
+    Java also reads a type suffix ("12d"), hex digits ("0x1p3"), "NaN" and "Infinity"; none is a
+    number here. Spoiling the letters d, f and x takes care of all but "NaN".
     """
-    text = f"translate(CAST({value} AS STRING), 'dDfF', '____')"
+    text = f"translate(CAST({value} AS STRING), 'dDfFxX', '______')"
     return f"nanvl(try_cast({text} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
@@ -54,9 +106,18 @@ def number(value: float | int | None) -> str:
     """A constant, exact to the last digit."""
     if value is None:
         return "CAST(NULL AS DOUBLE)"
+    if isinstance(value, float) and not math.isfinite(value):
+        return f"double('{'NaN' if math.isnan(value) else 'Infinity' if value > 0 else '-Infinity'}')"
     return f"{value!r}D" if isinstance(value, float) else str(value)
 
 
+def present(column: str, kind: str) -> str:
+    """Condition: there is a value; NaN is none."""
+    if kind in ("double", "float"):
+        return f"({column} IS NOT NULL AND NOT isnan({column}))"
+    return f"{column} IS NOT NULL"
+
+
 def per_cohort(values: Mapping[int, float | int | None]) -> str:
     """The value of the row's cohort; NULL for a cohort that is not in ``values``."""
     cases = " ".join(f"WHEN {cohort} THEN {number(v)}" for cohort, v in values.items())
@@ -64,10 +125,13 @@ def per_cohort(values: Mapping[int, float | int | None]) -> str:
 
 
 def percent(part: str, whole: str) -> str:
-    """``100 * part / whole``; 0 when only the denominator is 0, NULL when both are."""
+    """``100 * part / whole``; 0 when only the denominator is 0, NULL when both are.
+
+    The product comes first: the last digit decides where the result is rounded to a whole number.
+    """
     return (
         f"CASE WHEN {whole} = 0 AND {part} > 0 THEN 0D"
-        f" ELSE 100 * try_divide({part}, {whole}) END"
+        f" ELSE try_divide(100 * {part}, {whole}) END"
     )
 
 

@@ -40,8 +40,8 @@ GAMES = T.StructType(
         T.StructField("id", T.LongType()),
         T.StructField("name", T.StringType()),
         T.StructField("updated_at", T.TimestampType()),
-        T.StructField("lpi_release_date", T.DateType()),
-        T.StructField("lpi_game_version", T.StringType()),
+        T.StructField("release_date", T.DateType()),
+        T.StructField("game_version", T.StringType()),
     ]
 )
 
@@ -102,7 +102,6 @@ class CompareParams:
     tries_label: tuple[str, str] = ("num_tries", "num_tries")
     playtime_label: tuple[str, str] = ("playTime", "playTime")
     selected_level: bool = False
-    row_cap: int | None = None
 
     # cleaning
     missing_items: int = -1
@@ -119,7 +118,7 @@ class CompareParams:
     early_learning: tuple[float, ...] = (0.05, 20)
     plot_sigma: float = 3
     plays_cap: int = 20
-    sample_users: int = 1000
+    sample_users: int | None = None
 
     def __post_init__(self) -> None:
         unknown = set(self.numbering) - set(NUMBERINGS)
@@ -131,7 +130,7 @@ class CompareParams:
         cls,
         game_ids: Sequence[int],
         *,
-        year: Sequence[int | str] | None = None,
+        year: int | str | Sequence[int | str] | None = None,
         true_session: bool | Sequence[bool] = False,
         session_exclusion: bool | Sequence[bool] = False,
         today: datetime.date | None = None,
@@ -139,15 +138,18 @@ class CompareParams:
     ) -> CompareParams:
         """Accept the loose forms callers use and return one fixed form.
 
-        ``year``: None or a list that starts with ``'all'`` means every year, 0 the current one.
+        ``year``: None, ``'all'`` or a list that starts with it means every year, 0 the current one; one
+        year may stand without a list.
         A single flag stands for both cohorts, and numbering sessions across both games
         includes numbering them by the results log.
         """
         years = None
-        if year is not None and year[0] != "all":
+        if isinstance(year, (int, str)):
+            year = [year]
+        if year and year[0] != "all":
             current = (today or datetime.date.today()).year
-            chosen = (current if y == 0 else y for y in year if y != "all")
-            years = tuple(dict.fromkeys(int(y) for y in chosen))
+            chosen = (int(y) for y in year if y != "all")
+            years = tuple(dict.fromkeys(y or current for y in chosen))
         true_pair = _pair(true_session)
         cross_pair = _pair(session_exclusion)
         settings.setdefault(

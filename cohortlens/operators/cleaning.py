@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from cohortlens.functions import number, per_cohort, to_number
+from cohortlens.functions import number, per_cohort, present, to_number
 from cohortlens.model import COHORTS, CompareParams
 from cohortlens.operators.hotkeys import ROWS, HotKeys
 from cohortlens.operators.numbering import count_rows, number_rows
@@ -28,9 +28,10 @@ BOOKKEEPING = ("cohort", "nth")
 
 
 def column_counts(df: DataFrame) -> dict[int, dict[str, int]]:
-    """Non-NULL values per cohort and column, and all rows under ROWS."""
+    """Values per cohort and column, and all rows under ROWS. NULL and NaN are no values."""
     judged = [c for c in df.columns if c not in BOOKKEEPING]
-    counts = [F.count(c).alias(c) for c in judged]
+    kinds = dict(df.dtypes)
+    counts = [F.expr(f"count_if({present(c, kinds[c])})").alias(c) for c in judged]
     rows = df.groupBy("cohort").agg(F.count(F.lit(1)).alias(ROWS), *counts).collect()
     return {row["cohort"]: {c: row[c] for c in (ROWS, *judged)} for row in rows}
 
@@ -46,24 +47,24 @@ def empty_columns(counts: Mapping[int, Mapping[str, int]]) -> dict[str, list[int
 
 
 def complete_row(df: DataFrame, empty: Mapping[str, list[int]]) -> str:
-    """Condition: no NULL in any column that has values in the row's cohort."""
+    """Condition: no NULL or NaN in any column that has values in the row's cohort."""
     conditions = []
-    for column in df.columns:
+    for column, kind in df.dtypes:
         if column in empty:
             cohorts = ", ".join(map(str, empty[column]))
-            conditions.append(f"({column} IS NOT NULL OR cohort IN ({cohorts}))")
+            conditions.append(f"({present(column, kind)} OR cohort IN ({cohorts}))")
         elif column not in BOOKKEEPING:
-            conditions.append(f"{column} IS NOT NULL")
+            conditions.append(present(column, kind))
     return " AND ".join(conditions)
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Drop columns that are entirely NULL in a cohort; every metric needs both cohorts."""
+    """Drop columns without a value in a cohort; every metric needs both cohorts."""
     return df.drop(*empty_columns(column_counts(df)))
 
 
 def drop_null_rows(df: DataFrame) -> DataFrame:
-    """Drop rows with a NULL, not counting columns that are entirely NULL in their cohort."""
+    """Drop rows with a NULL or NaN, not counting columns without a value in their cohort."""
     return df.filter(complete_row(df, empty_columns(column_counts(df))))
 
 
@@ -264,7 +265,7 @@ def clean(
         if len(found) <= BROADCAST_ROWS:
             # All levels are known now, and with them whether any try is left.
             few = [r for r in found if r["_plays"] < params.min_level_rows]
-            recorded = _tries_recorded([r for r in found if r not in few])
+            recorded = _tries_recorded(r for r in found if r["_plays"] >= params.min_level_rows)
             sparse = constants(df.sparkSession, few, levels.schema)
         marked = sparse.selectExpr("cohort", "session_level", "true AS _sparse")
         typed = typed.join(marked, ["cohort", "session_level"], "left")
@@ -278,7 +279,7 @@ def clean(
     numbered = number_sessions(kept, "_plays", hot)
     sessions = numbered.filter(F.col("_plays") >= params.min_sessions)
     order = [c for c in df.columns if c in sessions.columns and c != "nth"]
-    fetched = {cohort: filled[ROWS] for cohort, filled in counts.items()}
+    fetched = {c: counts[c][ROWS] if c in counts else 0 for c in COHORTS}
     audit = _audit(fetched, typed, steps, kept, params)
     return Cleaned(sessions.select(*order, "session_count"), audit, count_unparsable(complete))
 

@@ -84,14 +84,32 @@ def user_values(users: DataFrame, values: Mapping[str, str]) -> DataFrame:
     return users.selectExpr("cohort", f"inline(array({', '.join(entries)}))")
 
 
-def with_cutoff(values: DataFrame, cuts: Mapping[str, Cut]) -> DataFrame:
-    """Summary per metric and cohort: users, range, mean, sd and the cutoff that follows."""
-    summary = values.groupBy("metric", "cohort").agg(
+SUMMARIES = ("min", "max", "avg", "stddev_samp")
+
+
+def with_cutoff(
+    users: DataFrame, values: Mapping[str, str], cuts: Mapping[str, Cut]
+) -> DataFrame:
+    """Summary per metric and cohort: users, range, mean, sd and the cutoff that follows.
+
+    All metrics are summed up side by side, one row per user, and the two rows that are left are unfolded.
+    """
+    columns = {metric: f"CAST({value} AS DOUBLE)" for metric, value in values.items()}
+    wide = users.groupBy("cohort").agg(
         F.count(F.lit(1)).alias("total"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"),
+        *[
+            F.expr(f"{how}({value})").alias(f"{metric}_{how}")
+            for metric, value in columns.items()
+            for how in SUMMARIES
+        ],
+    )
+    entries = [
+        f"struct('{m}' AS metric, {m}_min AS min, {m}_max AS max, {m}_avg AS mean,"
+        f" {m}_stddev_samp AS sd)"
+        for m in values
+    ]
+    summary = wide.selectExpr("cohort", "total", f"inline(array({', '.join(entries)}))").select(
+        "metric", "cohort", "total", "min", "max", "mean", "sd"
     )
     return summary.selectExpr("*", f"CAST({_by_metric(cuts, Cut.limit)} AS DOUBLE) AS cutoff")
 

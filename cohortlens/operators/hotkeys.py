@@ -5,43 +5,44 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortlens.session import constants
+from cohortlens.session import BROADCAST_ROWS, constants, materialise
 
 # A key with more rows than this is numbered and joined without gathering it in one task.
 HOT_ROWS = 1_000_000
-# The most frequent keys that are listed. A key that is not listed holds at most
-# 1/20,000 of all rows, or at most HOT_ROWS rows.
-MAX_HOT_KEYS = 20_000
 
 ROWS = "_key_rows"
 
 
 @dataclass(frozen=True)
 class HotKeys:
+    """The keys above a number of rows, as a table with their counts; None if there are none.
+
+    Up to ``BROADCAST_ROWS`` keys are known to the driver and broadcast; more are a written table that
+    joins shuffle as Spark sees fit.
+    """
+
     keys: tuple[str, ...]
-    rows: tuple[Row, ...]
-    schema: T.StructType
+    table: DataFrame | None = None
+    total_rows: int = 0
+    few: bool = True
 
     def __bool__(self) -> bool:
-        return bool(self.rows)
+        return self.table is not None
 
-    @property
-    def total_rows(self) -> int:
-        return sum(row[ROWS] for row in self.rows)
+    def listed(self) -> DataFrame:
+        return self.hinted(self.table.drop(ROWS))
 
-    def frame(self, like: DataFrame) -> DataFrame:
-        """The listed keys with their row counts, at most MAX_HOT_KEYS rows."""
-        return constants(like.sparkSession, self.rows, self.schema)
+    def hinted(self, facts: DataFrame) -> DataFrame:
+        """A frame with at most one row per hot key, to be broadcast if the keys are few."""
+        return F.broadcast(facts) if self.few else facts
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of ordinary keys, and rows of hot keys. Both are map-side joins."""
-        hot = self.frame(df).drop(ROWS)
+        """Rows of ordinary keys, and rows of hot keys."""
         keys = list(self.keys)
-        return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+        return df.join(self.listed(), keys, "left_anti"), df.join(self.listed(), keys, "left_semi")
 
 
 def count_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,10 +51,17 @@ def count_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def list_hot(counts: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> HotKeys:
-    """The keys of ``counts`` above ``min_rows``, most frequent first."""
+    """The keys of ``counts`` above ``min_rows``."""
     min_rows = HOT_ROWS if min_rows is None else min_rows
-    top = counts.filter(F.col(ROWS) > min_rows).orderBy(F.desc(ROWS)).limit(MAX_HOT_KEYS)
-    return HotKeys(tuple(keys), tuple(top.collect()), counts.schema)
+    hot = counts.filter(F.col(ROWS) > min_rows)
+    first = hot.limit(BROADCAST_ROWS + 1).collect()
+    if not first:
+        return HotKeys(tuple(keys))
+    if len(first) <= BROADCAST_ROWS:
+        table = constants(counts.sparkSession, first, counts.schema)
+        return HotKeys(tuple(keys), table, sum(row[ROWS] for row in first))
+    table = materialise(hot)
+    return HotKeys(tuple(keys), table, table.agg(F.sum(ROWS)).first()[0], few=False)
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int | None = None) -> HotKeys:
@@ -70,7 +78,7 @@ def salted(df: DataFrame, hot: HotKeys, facts: DataFrame) -> DataFrame:
     A shuffle on keys and SALT then spreads the rows of a hot key over all tasks.
     """
     columns = ", ".join(f"`{c}`" for c in df.columns)
-    marked = df.join(F.broadcast(facts.withColumn("_hot", F.lit(True))), list(hot.keys), "left")
+    marked = df.join(hot.hinted(facts.withColumn("_hot", F.lit(True))), list(hot.keys), "left")
     salt = f"IF(_hot IS NULL, 0L, 1L + pmod(xxhash64({columns}), 2147483647L))"
     return marked.selectExpr("*", f"{salt} AS {SALT}").drop("_hot")
 
@@ -80,16 +88,17 @@ def filter_by_key(
 ) -> DataFrame:
     """Rows whose key is (or is not) in ``side``, which holds each key once.
 
-    ``df`` is shuffled but not sorted: each task hashes its share of ``side``. Whether a hot key
-    is in ``side`` is looked up first, and its salted rows match nothing wherever they are sent.
+    Spark chooses the join: sorted, which can spill, unless it finds ``side`` small enough to be hashed.
+    Whether a hot key is in ``side`` is looked up first, and its salted rows match nothing wherever
+    they are sent.
     """
     keys = list(keys)
     if not hot:
-        return df.join(side.hint("shuffle_hash"), keys, "left_semi" if matching else "left_anti")
-    listed = hot.frame(df).drop(ROWS)
+        return df.join(side, keys, "left_semi" if matching else "left_anti")
+    listed = hot.listed()
     found = side.join(listed, keys, "left_semi").withColumn("_looked_up", F.lit(True))
-    facts = listed.join(F.broadcast(found), keys, "left")
-    unsalted = side.selectExpr(*keys, f"0L AS {SALT}", "true AS _joined").hint("shuffle_hash")
+    facts = listed.join(hot.hinted(found), keys, "left")
+    unsalted = side.selectExpr(*keys, f"0L AS {SALT}", "true AS _joined")
     present = "coalesce(_joined, _looked_up, false)"
     return (
         salted(df, hot, facts)

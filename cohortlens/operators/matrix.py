@@ -63,15 +63,17 @@ def ordered_users(matrix: DataFrame, window_rows: int | None = None) -> DataFram
 
 
 def sample_users(
-    matrix: DataFrame, most: int, window_rows: int | None = None
+    matrix: DataFrame, most: int | None = None, window_rows: int | None = None
 ) -> DataFrame:
-    """Every k-th user of each cohort in level order, so that about ``most`` remain.
+    """All users in level order, or every k-th of each cohort, so that about ``most`` remain.
 
     k = round(users / most), half to even; the first user is never taken and at most
     ``most - 1`` are. With k = 1 the last ``most`` users are taken first ("top"). A cohort of
     at most ``most`` users stays whole.
     """
     ordered = ordered_users(matrix, window_rows)
+    if most is None:
+        return ordered.withColumn("sample", F.lit("all"))
     sizes = matrix.groupBy("cohort").agg(F.count(F.lit(1)).alias("_users"))
     # One row per cohort on the broadcast side.
     return (

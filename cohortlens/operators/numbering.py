@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.hotkeys import ROWS, SALT, HotKeys, hot_keys, salted
+from cohortlens.operators.hotkeys import SALT, HotKeys, hot_keys, salted
 from cohortlens.operators.prefix import sliced_totals
 
 
@@ -31,7 +31,7 @@ def number_rows(
     numbered = sliced_totals(crowded, keys, order, {number: F.lit(1)}, hot.total_rows)
     if total:
         counts = crowded.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
-        numbered = numbered.join(F.broadcast(counts), list(keys))
+        numbered = numbered.join(hot.hinted(counts), list(keys))
     return _number_in_window(ordinary, keys, order, number, total).unionByName(numbered)
 
 
@@ -54,21 +54,33 @@ def count_rows(
     hot = hot_keys(df, keys) if hot is None else hot
     if not hot:
         return df.select("*", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias(total))
-    listed = hot.frame(df).drop(ROWS)
+    listed = hot.listed()
     counts = df.join(listed, list(keys), "left_semi").groupBy(*keys)
     known = counts.agg(F.count(F.lit(1)).alias("_known"))
-    spread = salted(df, hot, listed.join(F.broadcast(known), list(keys), "left"))
+    spread = salted(df, hot, listed.join(hot.hinted(known), list(keys), "left"))
     in_window = F.count(F.lit(1)).over(Window.partitionBy(*keys, SALT))
     return spread.select(*df.columns, F.coalesce(F.col("_known"), in_window).alias(total))
 
 
-def rank_results(results: DataFrame, keys: Sequence[str], hot: HotKeys | None = None) -> DataFrame:
+def rank_results(
+    results: DataFrame, keys: Sequence[str], number: str = "nth", min_rows: int | None = None
+) -> DataFrame:
     """Session number of every result: its rank by ``id`` among the results of ``keys``.
 
-    ``id`` identifies a result, so rank and row number agree.
+    Results with one ``id`` share a rank, however many results the key has. NULL is a key like any
+    other, and may be a hot one.
     """
-    hot = hot_keys(results, keys) if hot is None else hot
-    if not hot:
-        ranked = F.rank().over(Window.partitionBy(*keys).orderBy("id"))
-        return results.select("*", ranked.cast("long").alias("nth"))
-    return number_rows(results, keys, ["id"], "nth", hot=hot)
+    known = {f"_key{i}": F.coalesce(F.col(k), F.lit(0)) for i, k in enumerate(keys)}
+    known |= {f"_none{i}": F.col(k).isNull() for i, k in enumerate(keys)}
+    frame, safe = results.withColumns(known), list(known)
+    hot = hot_keys(frame, safe, min_rows)
+    ordinary, crowded = hot.split(frame) if hot else (frame, None)
+    in_window = F.rank().over(Window.partitionBy(*safe).orderBy("id"))
+    ranked = ordinary.select("*", in_window.cast("long").alias(number))
+    if crowded is not None:
+        # Each id once, with the number of results that have it.
+        ids = crowded.groupBy(*safe, "id").agg(F.count(F.lit(1)).alias("_same"))
+        upto = sliced_totals(ids, safe, ["id"], {"_upto": F.col("_same")}, hot.total_rows)
+        first = upto.select(*safe, "id", (F.col("_upto") - F.col("_same") + 1).alias(number))
+        ranked = ranked.unionByName(crowded.join(first, [*safe, "id"]))
+    return ranked.drop(*safe)

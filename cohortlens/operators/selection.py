@@ -12,7 +12,7 @@ from cohortlens.functions import age, json_fields, per_cohort, whole_number
 from cohortlens.model import COHORTS, CompareParams
 from cohortlens.operators.hotkeys import ROWS, HotKeys, count_keys, filter_by_key, list_hot
 from cohortlens.operators.numbering import rank_results
-from cohortlens.operators.prefix import running_totals
+from cohortlens.session import materialise
 
 USER = ["cohort", "user_id"]
 PLAY_ORDER = ["event_created_at", "game_result_id"]
@@ -96,24 +96,30 @@ def _timestamp_type(df: DataFrame) -> str:
 def extract_fields(plays: DataFrame, params: CompareParams) -> DataFrame:
     """Narrow the tagged rows to the columns the comparison uses.
 
-    Values come from the ``metadata`` JSON if there is one, else from columns of the same name.
-    It runs before any shuffle, so the blob itself is never moved.
+    Values come from the ``metadata`` JSON if there is one, where labels are paths
+    (``summary.num_correct``), else from columns of the same name. NaN becomes NULL. It runs
+    before any shuffle, so the blob itself is never moved.
     """
     labels = {
         "numcorrect": params.correct_label,
         "numtries": params.tries_label,
         "playtime": params.playtime_label,
     }
-    columns = {name: name for name in CARRIED if name in plays.columns}
+    kinds = dict(plays.dtypes)
+    columns = {
+        name: f"nanvl({name}, NULL)" if kinds[name] in ("double", "float") else name
+        for name in CARRIED
+        if name in kinds
+    }
     if "metadata" in plays.columns:
         wanted = [name for pair in labels.values() for name in pair]
-        parsed = json_fields("metadata", [*wanted, "selected_level", "version"])
-        plays = plays.withColumn("_json", F.expr(parsed))
+        parsed, read = json_fields("metadata", [*wanted, "selected_level", "version"])
+        plays = plays.withColumns({name: F.expr(text) for name, text in parsed.items()})
         for name, (first, second) in labels.items():
-            columns[name] = f"_json.`{first}`"
+            columns[name] = read[first]
             if first != second:
-                columns[name] = f"IF(cohort = 1, _json.`{first}`, _json.`{second}`)"
-        selected, version = "_json.selected_level", "_json.version"
+                columns[name] = f"IF(cohort = 1, {read[first]}, {read[second]})"
+        selected, version = read["selected_level"], read["version"]
     else:
         columns |= {n: f"CAST({n} AS STRING)" for n in labels if n in plays.columns}
         selected, version = "selected_level", "version"
@@ -208,43 +214,39 @@ def session_numbers(
 ) -> DataFrame:
     """Attach ``nth``, the session number from the results log, where a cohort asks for it.
 
-    The rank runs over all results of the game or games, before any cohort filter.
+    The rank runs over all results of the game or games, before any cohort filter. The log is read
+    and joined once, whatever the modes of the two cohorts are; plays that are not in it are dropped
+    where their cohort needs a number, and rows of the other cohort match nothing and stay.
     """
-    parts = []
-    for mode in dict.fromkeys(params.numbering):
-        cohorts = [c for c, m in zip(COHORTS, params.numbering) if m == mode]
-        part = df if len(cohorts) == 2 else df.filter(F.col("cohort") == cohorts[0])
-        if mode == "observed":
-            numbered = part
-        else:
-            numbered = _join_numbers(part, results, mode, params)
-        parts.append(numbered)
-    combined = parts[0]
-    for part in parts[1:]:
-        combined = combined.unionByName(part, allowMissingColumns=True)
-    return combined
-
-
-def _join_numbers(part, results, mode, params):
+    modes = [mode for mode in ("true", "cross_game") if mode in params.numbering]
+    if not modes:
+        return df
     if results is None:
         raise ValueError("numbering by the results log needs the results table")
-    keys = ["user_id"] if mode == "cross_game" else ["game_id", "user_id"]
     log = results.select("id", "game_id", "user_id").filter(
         F.col("game_id").isin(*set(params.game_ids))
     )
-    numbers = rank_results(log, keys)
-    if mode == "cross_game":
-        numbers = numbers.select(F.col("id").alias("game_result_id"), "nth")
-        return part.join(numbers, "game_result_id")
-    numbers = numbers.select(F.col("id").alias("game_result_id"), "game_id", "nth")
-    return part.join(numbers, ["game_result_id", "game_id"])
-
-
-def cap_rows(df: DataFrame, n: int, window_rows: int | None = None) -> DataFrame:
-    """The first ``n`` rows of each cohort by user, time and result."""
-    order = [c for c in ("user_id", *PLAY_ORDER) if c in df.columns]
-    ranked = running_totals(df, ["cohort"], order, {"_row": F.lit(1)}, window_rows)
-    return ranked.filter(F.col("_row") <= n).drop("_row")
+    for mode in modes:
+        keys = ["user_id"] if mode == "cross_game" else ["game_id", "user_id"]
+        log = rank_results(log, keys, f"_{mode}")
+    # A number across games belongs to the id alone, the other one to the id in its game.
+    entries = [
+        f"struct('{mode}' AS _mode, {'game_id' if mode == 'true' else '0L'} AS _game,"
+        f" id AS game_result_id, _{mode} AS nth)"
+        for mode in modes
+    ]
+    numbers = log.selectExpr(f"inline(array({', '.join(entries)}))")
+    cases = " ".join(f"WHEN {c} THEN '{mode}'" for c, mode in zip(COHORTS, params.numbering))
+    wanted = df.selectExpr("*", f"CASE cohort {cases} END AS _mode").selectExpr(
+        "*", "IF(_mode = 'true', CAST(game_id AS BIGINT), 0L) AS _game"
+    )
+    some_observed = "observed" in params.numbering
+    joined = wanted.join(
+        numbers, ["_mode", "_game", "game_result_id"], "left" if some_observed else "inner"
+    )
+    if some_observed:
+        joined = joined.filter("_mode = 'observed' OR nth IS NOT NULL")
+    return joined.drop("_mode", "_game")
 
 
 def select_cohorts(
@@ -253,12 +255,11 @@ def select_cohorts(
     results: DataFrame | None = None,
     users: UserPlays | None = None,
 ) -> DataFrame:
-    """Both cohorts, in one frame."""
-    users = count_users(plays, params) if users is None else users
+    """Both cohorts, in one frame. Users are counted first, and the counts set aside."""
+    users = count_users(plays, params, materialise) if users is None else users
     tagged = extract_fields(tag_cohorts(plays, params), params)
     active = active_users(tagged, users, params.min_plays)
     kept = exclude_users(active, users, plays, params)
     chosen = version_filter(age_window(kept, params), params)
     numbered = session_numbers(chosen, results, params)
-    selected = numbered.select(*[c for c in OUTPUT if c in numbered.columns])
-    return selected if params.row_cap is None else cap_rows(selected, params.row_cap)
+    return numbered.select(*[c for c in OUTPUT if c in numbered.columns])

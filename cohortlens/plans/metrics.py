@@ -139,9 +139,16 @@ class DistributionTables:
 
 
 def distribution_tables(
-    df: DataFrame, params: CompareParams, names: Iterable[str], keep: Keep = _recompute
+    df: DataFrame,
+    params: CompareParams,
+    names: Iterable[str],
+    keep: Keep = _recompute,
+    users: DataFrame | None = None,
 ) -> DistributionTables | None:
-    """Summary, histograms and tests of the named distributions."""
+    """Summary, histograms and tests of the named distributions.
+
+    ``users`` are the values per user (``operators.distributions.per_user``) if they are known.
+    """
     known = distributions()
     names = chosen(df, params, names)
     if not names:
@@ -151,10 +158,11 @@ def distribution_tables(
 
     per_user = {n: known[n].value for n in names if known[n].column is None}
     if per_user:
-        used = dict.fromkeys(a for n in per_user for a in known[n].uses)
-        users = keep(ds.per_user(df, used))
+        if users is None:
+            used = dict.fromkeys(a for n in per_user for a in known[n].uses)
+            users = keep(ds.per_user(df, used))
         values = ds.user_values(users, per_user)
-        summary = ds.with_cutoff(values, cuts)
+        summary = ds.with_cutoff(users, per_user, cuts)
         parts.append((ds.user_frequencies(values, summary, cuts), summary))
     per_play = {n: known[n].column for n in names if known[n].column is not None}
     if per_play:
@@ -186,11 +194,11 @@ def distribution(df: DataFrame, params: CompareParams, name: str, keep: Keep = _
     )
 
 
-def infinite_percents(df: DataFrame) -> DataFrame:
+def infinite_percents(df: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """How often tries were 0 although something was correct, per user and per play."""
+    users = ds.per_user(df, ["correct", "tries"]) if users is None else users
     by_user = (
-        ds.per_user(df, ["correct", "tries"])
-        .groupBy("cohort")
+        users.groupBy("cohort")
         .agg(F.expr("count_if(tries = 0 AND correct > 0)").alias("users"))
     )
     by_play = df.groupBy("cohort").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,21 @@ from cohortlens.model import COHORTS, GAMES
 from cohortlens.session import constants
 
 
+def read_games(source: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
+    """The catalog under our names. ``columns`` says what the source calls them where it differs; a
+    column that the source lacks is NULL."""
+    called = {field.name: field.name for field in GAMES} | dict(columns or {})
+    have = {c.lower() for c in source.columns}
+    return source.select(
+        *[
+            (F.col(called[f.name]) if called[f.name].lower() in have else F.lit(None))
+            .cast(f.dataType)
+            .alias(f.name)
+            for f in GAMES
+        ]
+    )
+
+
 def game_catalog(
     spark: SparkSession, source: DataFrame, snapshot: str, refresh: bool = False
 ) -> DataFrame:
@@ -22,7 +37,7 @@ def game_catalog(
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-    source.select(*GAMES.names).write.mode("overwrite").parquet(snapshot)
+    read_games(source).write.mode("overwrite").parquet(snapshot)
     return spark.read.schema(GAMES).parquet(snapshot)
 
 

@@ -57,14 +57,20 @@ def write_report(
     """Write every result table twice: the current copy, and a copy kept per run.
 
     The current copy of this report replaces the former one and leaves other reports alone.
-    History is partitioned by report and run, so runs add up.
+    History is partitioned by report and run, so runs add up, and a run that is written again, by a
+    retried job say, replaces its own copy.
     """
-    stamp = run_ts.strftime("%Y%m%dT%H%M%S")
+    stamp = run_ts.strftime("%Y%m%dT%H%M%S_%f")
 
     def write(name: str, table: DataFrame) -> list[str]:
         history = f"{location}/history/{folder}/{name}"
         tagged = table.withColumns({"report": F.lit(report), "run": F.lit(stamp)})
-        tagged.write.mode("append").partitionBy("report", "run").parquet(history)
+        (
+            tagged.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("report", "run")
+            .parquet(history)
+        )
         if backup_only:
             return [history]
         current = f"{location}/current/{folder}/{report}/{name}"

@@ -33,11 +33,26 @@ def _open(spark: SparkSession, source: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header. Without a schema it is inferred, which reads the files twice."""
+    """CSV with a header, names in lower case.
+
+    Without a schema it is inferred, which reads the files twice. A schema is matched by name, in any
+    order and case; columns that the files lack are NULL, others are left out. Files of one folder
+    that differ in their headers raise an error.
+    """
     reader = spark.read.option("header", True)
     if schema is None:
         return lower_case(reader.option("inferSchema", True).csv(path))
-    return reader.schema(schema).csv(path)
+    wanted = {field.name.lower(): field.dataType for field in schema}
+    # Reads the header only.
+    header = reader.csv(path).columns
+    kinds = [T.StructField(c, wanted.get(c.lower(), T.StringType())) for c in header]
+    found = lower_case(reader.schema(T.StructType(kinds)).option("enforceSchema", False).csv(path))
+    return found.select(
+        *[
+            (F.col(f"`{c}`") if c in found.columns else F.lit(None).cast(kind)).alias(c)
+            for c, kind in wanted.items()
+        ]
+    )
 
 
 def as_plays(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -6,6 +6,7 @@ from cohortlens.functions import (
     age,
     json_fields,
     ks_p_value,
+    number,
     percent,
     to_number,
     variance_explained,
@@ -31,6 +32,7 @@ def value(spark, text):
         ("'Infinity'", None),
         ("'inf'", None),
         ("'1.5E2'", 150.0),
+        ("'0x1p3'", None),
         ("CAST(NULL AS STRING)", None),
         ("7", 7.0),
     ],
@@ -53,6 +55,27 @@ def test_percent(spark, part, whole, expected):
     assert value(spark, percent(part, whole)) == expected
 
 
+@pytest.mark.parametrize("part, whole, expected", [("0.6D", "1.6D", 38.0), ("0.58D", "0.8D", 72.0)])
+def test_percent_on_a_half(spark, part, whole, expected):
+    """The product is taken first: 100 * 0.6 / 1.6 is 37.5, which goes to the even 38."""
+    assert value(spark, f"bround({percent(part, whole)})") == expected
+
+
+@pytest.mark.parametrize("constant", [float("inf"), float("-inf"), 0.1, 1e300])
+def test_constants_of_any_size(spark, constant):
+    assert value(spark, number(constant)) == constant
+    assert math.isnan(value(spark, number(float("nan"))))
+
+
+def test_ks_p_value_of_tables(spark):
+    """Critical values as printed in statistics tables, for samples so large that the asymptotic
+    distribution holds: 1.3581 for 5 percent and 1.6276 for 1 percent."""
+    n = 10**8
+    for critical, p in ((1.2238, 0.10), (1.3581, 0.05), (1.6276, 0.01)):
+        d = critical / math.sqrt(n / 2)
+        assert value(spark, ks_p_value(f"{d!r}D", f"{n}L", f"{n}L")) == pytest.approx(p, abs=2e-4)
+
+
 @pytest.mark.parametrize(
     "unit, start, end, complete, crossed",
     [
@@ -72,8 +95,9 @@ def test_age(spark, unit, start, end, complete, crossed):
 
 
 def test_json_fields_of_broken_text_are_null(spark):
-    fields = json_fields("m", ["a", "b", "a"])
-    sql = f"SELECT j.a, j.b FROM (SELECT {fields} AS j FROM VALUES (%s) AS t(m))"
+    parsed, read = json_fields("m", ["a", "b", "a"])
+    ((name, text),) = parsed.items()
+    sql = f"SELECT {read['a']}, {read['b']} FROM (SELECT {text} AS {name} FROM VALUES (%s) AS t(m))"
     assert tuple(spark.sql(sql % """'{"a": 5, "b": "x"}'""").first()) == ("5", "x")
     assert tuple(spark.sql(sql % """'{"a": '""").first()) == (None, None)
     assert tuple(spark.sql(sql % "CAST(NULL AS STRING)").first()) == (None, None)

@@ -1,14 +1,19 @@
 import datetime
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
+from pyspark.sql import types as T
 
 from cohortlens import CompareParams, compare, compare_and_write
 from cohortlens.model import CLEANED, GAMES, PLAYS, RESULTS, SELECTED
+from cohortlens.operators import hotkeys, prefix
 from cohortlens.operators.selection import select_cohorts
-from cohortlens.session import Workspace, constants, lookup, shared_folder
+from cohortlens.plans import report
+from cohortlens.session import Workspace, constants, lookup, session_workspace, shared_folder
 from cohortlens.sources import catalog, sinks, tables
 from tests.conftest import rows_of
+from verification.queries import QUERIES, release
 
 PARAMS = CompareParams(game_ids=(1, 2), min_plays=5, min_sessions=5, plot_sigma=8)
 
@@ -149,6 +154,72 @@ def test_lookup_broadcasts_only_what_is_small(spark):
     assert lookup(large, 10) is large
 
 
+def files_in_the_shared_folder(spark):
+    top = Path(shared_folder(spark).removeprefix("file:"))
+    return sorted(str(p) for p in top.rglob("*") if p.is_file())
+
+
+@pytest.fixture
+def nothing_left(spark):
+    session_workspace(spark).release()
+    release()
+    before = files_in_the_shared_folder(spark)
+    yield
+    session_workspace(spark).release()
+    assert files_in_the_shared_folder(spark) == before
+
+
+def test_comparison_leaves_nothing_behind(spark, skewed_plays, nothing_left):
+    with compare(spark, skewed_plays, PARAMS) as done:
+        assert done.tables["curves"].count()
+
+
+def test_failing_comparison_leaves_nothing_behind(spark, skewed_plays, nothing_left, monkeypatch):
+    def fail(*_):
+        raise RuntimeError("no metrics today")
+
+    monkeypatch.setattr(report.mt, "curve_tables", fail)
+    with pytest.raises(RuntimeError, match="no metrics today"):
+        compare(spark, skewed_plays, PARAMS)
+
+
+def test_skewed_comparison_leaves_nothing_behind(spark, skewed_plays, nothing_left, monkeypatch):
+    monkeypatch.setattr(hotkeys, "HOT_ROWS", 30)
+    monkeypatch.setattr(prefix, "WINDOW_ROWS", 3)
+    with compare(spark, skewed_plays, PARAMS) as done:
+        assert done.tables["distribution_tests"].count()
+
+
+@pytest.mark.parametrize("name", ["report_history", "csv_round_trip", "comparison_tests",
+                                  "repeated_result_ids_with_hot_keys", "catalog_snapshot"])
+def test_registered_query_leaves_nothing_behind(spark, sf_dir, nothing_left, name):
+    assert QUERIES[name](spark, sf_dir).count()
+    release()
+
+
+def test_report_can_be_written_again(spark, tmp_path):
+    run = datetime.datetime(2024, 1, 1, 0, 0, 0, 5)
+    for n in (3, 4):
+        sinks.write_report({"t": spark.range(n)}, str(tmp_path), "f", "r", run)
+    sinks.write_report({"t": spark.range(2)}, str(tmp_path), "f", "other", run)
+    assert spark.read.parquet(f"{tmp_path}/current/f/r/t").count() == 4
+    assert spark.read.parquet(f"{tmp_path}/history/f/t").count() == 4 + 2
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = str(tmp_path / "shuffled")
+    spark.sql("SELECT 1 AS b, 2 AS A, 3 AS other").coalesce(1).write.option("header", True).csv(path)
+    found = tables.read_csv(spark, path, T.StructType.fromDDL("a int, b int, c string"))
+    assert found.collect() == [(2, 1, None)]
+
+
+def test_catalog_columns_can_be_renamed(spark):
+    source = spark.sql("SELECT 1L AS Id, 'Maze' AS title, date'2024-01-01' AS launched")
+    found = catalog.read_games(source, {"name": "title", "release_date": "launched"})
+    assert [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in GAMES]
+    assert found.first()[:2] == (1, "Maze")
+
+
 def test_workspace_removes_its_tables(spark):
     workspace = Workspace(spark)
     table = workspace.table(spark.range(9))

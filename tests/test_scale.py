@@ -33,6 +33,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def at_any_size(spark, make):
+    """What comes out when no table is known to be small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def results(plays):
     return plays.selectExpr("game_result_id AS id", "game_id", "user_id")
 
@@ -62,11 +71,41 @@ def test_results_do_not_depend_on_partitioning(spark, skewed_plays):
     )
 
 
-def test_most_frequent_keys_are_listed(spark, skewed_plays, monkeypatch):
+def test_all_hot_keys_are_listed(spark, skewed_plays, monkeypatch):
     assert not hot_keys(skewed_plays, ["user_id"], 1000)
-    monkeypatch.setattr(hotkeys, "MAX_HOT_KEYS", 1)
-    listed = hot_keys(skewed_plays, ["user_id"], 2)
-    assert [r["user_id"] for r in listed.rows] == [1] and listed.total_rows == 400
+    listed = hot_keys(skewed_plays, ["user_id"], 100)
+    assert [r["user_id"] for r in listed.table.collect()] == [1] and listed.total_rows == 400
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 5)
+    many = hot_keys(skewed_plays, ["user_id"], 2)
+    assert not many.few and many.table.count() == 41 and many.total_rows == 1200
+
+
+def test_many_hot_keys_change_no_result(spark, skewed_plays, monkeypatch):
+    params = replace(PARAMS, metrics=("plays_per_user", "score_by_session"))
+    expected = compared(spark, skewed_plays, params)
+    monkeypatch.setattr(hotkeys, "HOT_ROWS", 5)
+    monkeypatch.setattr(hotkeys, "BROADCAST_ROWS", 2)
+    assert compared(spark, skewed_plays, params) == expected
+
+
+def test_anonymous_results_are_a_hot_key(spark, skewed_plays, monkeypatch):
+    """A third of the log has no user: these results are cut into slices like any hot key's."""
+    log = results(skewed_plays).withColumn("user_id", F.expr("nullif(user_id, 1)"))
+    log = log.union(log.filter("id < 50"))
+    expected = rows_of(numbering.rank_results(log, ["game_id", "user_id"]))
+    monkeypatch.setattr(prefix, "SLICE_ROWS", 40)
+    sliced = numbering.rank_results(log, ["game_id", "user_id"], min_rows=100)
+    assert prefix.SLICE in plan(sliced) and rows_of(sliced) == expected
+
+
+def test_log_is_read_once_for_all_modes(spark, skewed_plays, tmp_path):
+    for name, frame in (("plays", skewed_plays), ("log", results(skewed_plays))):
+        frame.write.parquet(str(tmp_path / name))
+    plays, log = (spark.read.parquet(str(tmp_path / n)) for n in ("plays", "log"))
+    for modes in (("cross_game", "true"), ("true", "observed"), ("true", "true")):
+        text = plan(sl.select_cohorts(plays, replace(PARAMS, numbering=modes), log))
+        # Plays, the counts of their users that were set aside, and the log.
+        assert text.count("FileScan") == 3 and text.count("from_json") <= 2
 
 
 def test_hot_key_is_spread_over_slices(spark, skewed_plays, monkeypatch):
@@ -103,25 +142,30 @@ def partitioned(spark, skewed_plays, tmp_path_factory):
 
 def test_selection_prunes_and_shuffles_once(partitioned):
     params = CompareParams(game_ids=(1, 2), min_plays=5, years=(2024,), months=(1, 2))
-    text = plan(sl.select_cohorts(partitioned, params))
-    scans = text.split("FileScan")[1:]
-    assert len(scans) == 2
+    counting = plan(sl.count_users(partitioned, params).counts)
+    spark = partitioned.sparkSession
+    text = at_any_size(spark, lambda: plan(sl.select_cohorts(partitioned, params)))
+    scans = [*counting.split("FileScan")[1:], text.split("FileScan")[1]]
+    assert len(scans) == 2 and text.count("FileScan") == 2
     for scan in scans:
         assert re.search(r"PartitionFilters: \[.*mm#\d+ IN \(1,2\)", scan)
         assert re.search(r"PushedFilters: \[[^\]]*In\(game_id, \[1,2\]\)", scan)
-    # Plays move once and are not sorted; the counts of users move besides.
-    assert text.count("Exchange ") == 2 and "Sort" not in text and "SinglePartition" not in text
+    # Plays move once; the counts of users, which were set aside, move besides.
+    assert text.count("Exchange ") == 2 and "SinglePartition" not in text
+    # No build side of unknown size is forced into memory.
+    assert "ShuffledHashJoin" not in text and "SortMergeJoin" in text
     # The blob is parsed below the shuffle, so only the values travel.
     assert text.index("Exchange") < text.index("from_json") < text.index("FileScan")
     # Counting reads the keys only.
-    assert "struct<user_id:bigint,game_id:bigint>" in scans[1]
+    assert "struct<user_id:bigint,game_id:bigint>" in scans[0]
 
 
 def test_both_user_filters_share_a_shuffle(partitioned):
     params = CompareParams(game_ids=(1, 2), min_plays=5, exclude_other_game=(True, True))
-    text = plan(sl.select_cohorts(partitioned, params))
+    spark = partitioned.sparkSession
+    text = at_any_size(spark, lambda: plan(sl.select_cohorts(partitioned, params)))
     # One for the plays; one for the counts, one for the users of the other game.
-    assert text.count("Exchange ") == 3 and text.count("ShuffledHashJoin") == 2
+    assert text.count("Exchange ") == 3 and text.count("SortMergeJoin") == 2
 
 
 def test_one_scan_serves_overlapping_cohorts(partitioned):

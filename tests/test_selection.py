@@ -2,7 +2,9 @@ import datetime
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
+from cohortlens.functions import json_fields
 from cohortlens.model import CompareParams
 from cohortlens.operators import selection as sl
 from tests.conftest import rows_of
@@ -99,16 +101,52 @@ def test_hot_users_give_the_same_cohorts(spark, skewed_plays):
     params = CompareParams(game_ids=(1, 2), min_plays=5, exclude_other_game=(False, True))
     plain = sl.select_cohorts(skewed_plays, params)
     users = sl.count_users(skewed_plays, params, min_rows=100)
-    assert {r["user_id"] for r in users.hot.rows} == {1}
+    assert {r["user_id"] for r in users.hot.table.collect()} == {1}
     assert rows_of(sl.select_cohorts(skewed_plays, params, users=users)) == rows_of(plain)
 
 
-def test_cap_is_stable(spark, skewed_plays):
-    params = replace(PARAMS, row_cap=25)
-    first = sl.select_cohorts(skewed_plays, params)
-    again = sl.select_cohorts(skewed_plays.repartition(7), params)
-    assert rows_of(first) == rows_of(again)
-    assert first.groupBy("cohort").count().filter("count = 25").count() == 2
+def test_labels_are_paths(spark):
+    blob = '{"a": {"b": 1, "c": {"d": "x"}}, "n": 2, "N": 3, "it\'s `q`": 4}'
+    df = spark.createDataFrame([(1, 10, 1, blob), (2, 10, 2, "no json")], "game_result_id long,"
+                               " user_id long, game_id int, metadata string")
+    params = replace(
+        PARAMS,
+        correct_label=("a.b", "a.b"),
+        tries_label=("n", "N"),
+        playtime_label=("it's `q`", "a.c.d"),
+    )
+    tagged = sl.tag_cohorts(df, params)
+    both = tagged.union(tagged.filter("cohort = 1").withColumn("cohort", F.lit(2)))
+    found = sl.extract_fields(both, params).orderBy("game_result_id", "cohort")
+    assert [tuple(r) for r in found.select("numcorrect", "numtries", "playtime").collect()] == [
+        ("1", "2", "4"),
+        ("1", "3", "x"),
+        (None, None, None),
+    ]
+
+
+def test_one_parse_unless_names_clash(spark):
+    parsed, _ = json_fields("metadata", ["a.b", "a.c", "n"])
+    assert len(parsed) == 1
+    parsed, read = json_fields("metadata", ["a", "a.b", "n", "N"])
+    assert len(parsed) == 2 and len(read) == 4
+
+
+def test_nan_scores_are_missing(spark):
+    df = plays(spark, [(1, 10, 1, "2024-01-01")]).withColumn("score", F.lit(float("nan")))
+    assert sl.select_cohorts(df, PARAMS).first()["score"] is None
+
+
+def test_mixed_numbers_keep_observed_rows_once(spark):
+    """A log that was loaded twice does not multiply the plays of the cohort without numbers."""
+    df = plays(spark, [(i, 10, 1 + i % 2, "2024-01-01") for i in range(6)])
+    log = df.selectExpr("game_result_id AS id", "game_id", "user_id")
+    params = replace(PARAMS, numbering=("observed", "true"))
+    found = sl.select_cohorts(df, params, log.union(log)).collect()
+    assert sorted(r["game_result_id"] for r in found if r["cohort"] == 1) == [0, 2, 4]
+    assert {(r["game_result_id"], r["nth"]) for r in found if r["cohort"] == 2} == {
+        (1, 1), (3, 3), (5, 5)
+    }
 
 
 def test_parameters_are_normalised():
@@ -117,6 +155,9 @@ def test_parameters_are_normalised():
     assert made.years == (2024, 2020) and made.numbering == ("true", "true")
     assert CompareParams.create([3, 4], year=["all", "all"]).years is None
     assert CompareParams.create([3, 4], year=None, months=[]).months is None
+    assert CompareParams.create([3, 4], year="all").years is None
+    assert CompareParams.create([3, 4], year=0, today=today).years == (2024,)
+    assert CompareParams.create([3, 4], year="2021").years == (2021,)
     cross = CompareParams.create([3, 4], session_exclusion=[True, False])
     assert cross.numbering == ("cross_game", "observed")
     assert CompareParams.create([3, 4], versions=[0, 2]).versions == (None, 2)

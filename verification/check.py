@@ -13,7 +13,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 from verification.oracles import ORACLES
-from verification.queries import QUERIES
+from verification.queries import QUERIES, release
 
 TABLES = (
     *("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"),
@@ -86,6 +86,7 @@ def main(arguments: list[str]) -> int:
             problem = compare(spark, connection, sf_dir, name)
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:600]}"
+        release()
         failures += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s", flush=True)
         if problem:

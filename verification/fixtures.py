@@ -59,6 +59,29 @@ def raw_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw form with two fields one level down, and two names that differ in case alone."""
+    return plays(spark, sf_dir).selectExpr(
+        *("game_result_id", "user_id", "game_id", "created_at", "event_created_at"),
+        *("user_level", "session_level", "score"),
+        "to_json(named_struct('summary', named_struct('num_correct', numcorrect, 'num_tries',"
+        " numtries), 'playTime', playtime)) as outer_part",
+        "to_json(named_struct('playtime', selected_level)) as inner_part",
+    ).selectExpr(
+        *("game_result_id", "user_id", "game_id", "created_at", "event_created_at"),
+        *("user_level", "session_level", "score"),
+        "concat(substr(outer_part, 1, length(outer_part) - 1), ', ', substr(inner_part, 2))"
+        " as metadata",
+    )
+
+
+def plays_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores that are no numbers, as a division elsewhere may leave them."""
+    return plays(spark, sf_dir).selectExpr(
+        "* except (score)", "if(selected_level = 11, double('NaN'), score) as score"
+    )
+
+
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "orders", DATED)
 
@@ -67,11 +90,18 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plays(spark, sf_dir).selectExpr("game_result_id as id", "game_id", "user_id")
 
 
+def anonymous_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results log with no user for a third of the results."""
+    return results(spark, sf_dir).selectExpr(
+        "id", "game_id", "if(id % 3 = 0, null, user_id) as user_id"
+    )
+
+
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "events", GAMES).selectExpr(
         "cast(id as bigint) as id",
         "name",
         "cast(null as timestamp) as updated_at",
-        "cast(null as date) as lpi_release_date",
-        "cast(null as string) as lpi_game_version",
+        "cast(null as date) as release_date",
+        "cast(null as string) as game_version",
     )

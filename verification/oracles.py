@@ -20,7 +20,7 @@ COLUMNS = (
 
 
 def r(column: str, name: str | None = None) -> str:
-    return f"coalesce(round({column}, 6), -999) AS {name or column}"
+    return f"round({column}, 6) AS {name or column}"
 
 
 def us(column: str) -> str:
@@ -63,9 +63,8 @@ ORACLES["csv_inferred"] = (
     f"WITH {selected()} SELECT user_id, count(score) AS n FROM sel GROUP BY 1"
 )
 ORACLES["lower_case_columns"] = "SELECT * FROM nation"
-ORACLES["first_rows"] = ORACLES["first_rows_sliced"] = f"""WITH {selected()}
-    SELECT {SELECTED_OUTPUT} FROM sel QUALIFY row_number() OVER (PARTITION BY cohort
-      ORDER BY user_id, sel.event_created_at, game_result_id) <= 500"""
+ORACLES["csv_with_shuffled_columns"] = ORACLES["csv_round_trip"]
+ORACLES["refreshed_catalog"] = ORACLES["catalog_snapshot"]
 ORACLES["json_fields"] = f"""WITH {PLAYS}
     SELECT game_id AS cohort, game_result_id, user_id, {us('created_at')},
       epoch_us(event_created_at) AS event_created_at, user_level, session_level, {r('score')},
@@ -74,6 +73,22 @@ ORACLES["labels_per_cohort"] = f"""WITH {PLAYS}
     SELECT game_id AS cohort, game_result_id,
       CASE game_id WHEN 1 THEN numcorrect ELSE numtries END AS numcorrect
     FROM plays WHERE game_id IN (1, 2)"""
+_NESTED = "CASE game_id WHEN 1 THEN {} ELSE {} END AS {}".format
+_BLOB = """json_object('summary', json_object('num_correct', numcorrect, 'num_tries', numtries),
+      'playTime', playtime, 'playtime', selected_level)"""
+
+
+def _path(path: str) -> str:
+    return f"json_extract_string(blob, '$.{path}')"
+
+
+ORACLES["nested_labels"] = f"""WITH {PLAYS},
+    blobs AS (SELECT game_id, game_result_id, {_BLOB} AS blob FROM plays WHERE game_id IN (1, 2))
+    SELECT game_id AS cohort, game_result_id,
+      {_NESTED(_path('summary.num_correct'), _path('summary.num_tries'), 'numcorrect')},
+      {_NESTED(_path('summary.num_tries'), _path('summary.num_correct'), 'numtries')},
+      {_NESTED(_path('playTime'), _path('playtime'), 'playtime')}
+    FROM blobs"""
 ORACLES["selected_level"] = f"""WITH {PLAYS}
     SELECT game_id AS cohort, game_result_id, selected_level AS session_level
     FROM plays WHERE game_id IN (1, 2)"""
@@ -182,6 +197,27 @@ ORACLES["mixed_session_numbers"] = f"""WITH {selected()}, {TRUE_NUMBERS},
     both_numbers AS (SELECT *, {OBSERVED} AS seen FROM sel JOIN numbers USING (game_result_id))
     SELECT cohort, game_result_id, user_id,
       CASE cohort WHEN 1 THEN nth ELSE seen END AS session_count FROM both_numbers"""
+ORACLES["cross_game_and_true_session_numbers"] = f"""WITH {selected()},
+    both_numbers AS (SELECT game_result_id, game_id,
+      rank() OVER (PARTITION BY user_id ORDER BY game_result_id) AS across,
+      rank() OVER (PARTITION BY game_id, user_id ORDER BY game_result_id) AS within
+      FROM plays WHERE game_id IN (1, 2))
+    SELECT cohort, s.game_result_id, user_id, CASE cohort WHEN 1 THEN across ELSE within END AS nth
+    FROM sel s JOIN both_numbers n ON s.game_result_id = n.game_result_id
+      AND (cohort = 1 OR s.game_id = n.game_id)"""
+ORACLES["parameters_from_loose_forms"] = f"""WITH {selected()}, {TRUE_NUMBERS}
+    SELECT cohort, game_result_id, user_id, nth FROM sel JOIN numbers USING (game_result_id)"""
+ORACLES["anonymous_result_ranks"] = f"""WITH {PLAYS}, log AS (SELECT game_result_id AS id, game_id,
+      CASE WHEN game_result_id % 3 <> 0 THEN user_id END AS user_id FROM plays)
+    SELECT id, game_id, user_id, rank() OVER (PARTITION BY game_id, user_id ORDER BY id) AS nth
+    FROM log"""
+ORACLES["anonymous_result_ranks_with_hot_keys"] = ORACLES["anonymous_result_ranks"]
+ORACLES["repeated_result_ids"] = f"""WITH {PLAYS},
+    log AS (SELECT game_result_id AS id, game_id, user_id FROM plays
+      UNION ALL SELECT game_result_id, game_id, user_id FROM plays WHERE game_result_id % 2 = 0)
+    SELECT id, game_id, user_id, rank() OVER (PARTITION BY game_id, user_id ORDER BY id) AS nth
+    FROM log"""
+ORACLES["repeated_result_ids_with_hot_keys"] = ORACLES["repeated_result_ids"]
 ORACLES["result_ranks_with_hot_keys"] = f"""WITH {PLAYS}
     SELECT game_result_id AS id, game_id, user_id,
       rank() OVER (PARTITION BY game_id, user_id ORDER BY game_result_id) AS nth FROM plays"""
@@ -307,7 +343,7 @@ def _audit() -> str:
     rows = [
         f"""SELECT b.cohort, {i} AS position, '{step}' AS step, b.n AS rows_before,
           coalesce(a.n, 0) AS rows_after,
-          coalesce(round(CAST(b.t AS DOUBLE), 6), -999) AS threshold
+          round(CAST(b.t AS DOUBLE), 6) AS threshold
         FROM (SELECT cohort, count(*) AS n, {limit} AS t FROM {before} GROUP BY 1) b
         LEFT JOIN (SELECT cohort, count(*) AS n FROM {after} GROUP BY 1) a USING (cohort)"""
         for i, (step, before, after, limit) in enumerate(steps, start=1)
@@ -330,6 +366,27 @@ ORACLES["rows_per_cohort"] = (
 )
 
 
+_EMPTY_STEPS = (
+    ("null_rows", "sel", "typed", "NULL"),
+    ("low_outliers", "typed", "a1", "avg(numcorrect) - 2 * stddev_samp(numcorrect)"),
+    ("high_outliers", "a1", "a2", "avg(numcorrect) + 2 * stddev_samp(numcorrect)"),
+    ("sparse_levels", "a2", "a3", "5.0"),
+    ("min_sessions", "a3", "sessions", "5.0"),
+)
+ORACLES["comparison_with_an_empty_cohort"] = f"WITH {SESSIONS} " + " UNION ALL ".join(
+    f"""SELECT c AS cohort, {i} AS position, '{step}' AS step,
+      (SELECT count(*) FROM {before} WHERE cohort = 1 AND c = 1) AS rows_before,
+      (SELECT count(*) FROM {after} WHERE cohort = 1 AND c = 1) AS rows_after,
+      round(CAST({f"(SELECT {limit} FROM {before} WHERE cohort = 1 AND c = 1)"
+        if 'avg' in limit else limit} AS DOUBLE), 6) AS threshold,
+      'no rows are left in cohort 2' AS skipped FROM (VALUES (1), (2)) t(c)"""
+    for i, (step, before, after, limit) in enumerate(_EMPTY_STEPS, start=1)
+)
+ORACLES["recorded_settings"] = """SELECT 'comparison' AS report, name, value FROM (VALUES
+      ('game_ids', '(1, 2)'), ('min_plays', '5'), ('numbering', '(''observed'', ''observed'')'),
+      ('outlier_sigma', '2'), ('early_learning', '(0.05, 0.3, 8)'), ('years', 'None')) t(name, value)"""
+
+
 # --- distributions ---------------------------------------------------------------------------
 
 PERCENT = """CASE WHEN {b} = 0 AND {a} > 0 THEN 0.0 WHEN {b} = 0 THEN NULL
@@ -469,6 +526,12 @@ ORACLES["score_tests_sliced"] = f"""WITH {SESSIONS},
     SELECT metric, {_TEST_OUTPUT} FROM tests"""
 ORACLES["comparison_tests"] = f"""WITH {SESSIONS},
     {values(['plays_per_user', 'score_per_user'])}, {KS} SELECT metric, {_TEST_OUTPUT} FROM tests"""
+ORACLES["constant_percent_left_out"] = f"""WITH {SESSIONS},
+    users AS (SELECT cohort, avg(numtries) AS value FROM sessions GROUP BY cohort, user_id),
+    limits AS (SELECT cohort, 8 * stddev_samp(value) AS cutoff FROM users GROUP BY 1)
+    SELECT 'correct_per_user' AS metric, count(*) FILTER (WHERE cohort = 1) AS n1,
+      count(*) FILTER (WHERE cohort = 2) AS n2
+    FROM users JOIN limits USING (cohort) WHERE value < cutoff"""
 ORACLES["infinite_percents"] = f"""WITH {SESSIONS},
     u AS (SELECT cohort, avg(numtries) AS t, avg(numcorrect) AS c FROM sessions
       GROUP BY cohort, user_id)
@@ -528,7 +591,7 @@ def curve(name: str, source: str = "sessions") -> str:
           ELSE place <= trim END"""
     return f"""SELECT '{name}' AS metric, {r('trim')}, cohort, key, n, {r('mean')}, {r('stderr')},
       coalesce(round(stderr, 6), 0) AS err, {r('mean - stderr', 'lo')},
-      {r('mean + stderr', 'hi')}, coalesce(round({FIT}, 6), -999) AS variance_explained
+      {r('mean + stderr', 'hi')}, round({FIT}, 6) AS variance_explained
     FROM (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY cohort ORDER BY key) AS plays,
         sum(n) OVER (PARTITION BY cohort) AS total,
         row_number() OVER (PARTITION BY cohort ORDER BY key) AS place
@@ -540,6 +603,14 @@ for _name in CURVES:
     ORACLES[_name] = f"WITH {SESSIONS} {curve(_name)}"
 ORACLES["written_report"] = f"""WITH {SESSIONS}, c AS ({curve('level_by_session')})
     SELECT * FROM c"""
+ORACLES["report_history"] = f"""WITH {SESSIONS}, c AS ({curve('level_by_session')})
+    SELECT *, 'monthly' AS report, '20240201T000000_000000' AS run FROM c"""
+ORACLES["scores_that_are_no_numbers"] = (f"WITH {SESSIONS} {curve('score_by_level')}").replace(
+    "value as score", "case when k <> 11 then value end as score"
+)
+ORACLES["curves_without_correct"] = f"WITH {SESSIONS} " + " UNION ALL ".join(
+    f"SELECT * FROM ({curve(n)})" for n in CURVES if "numcorrect" not in CURVES[n][1]
+)
 ORACLES["all_curves"] = f"WITH {SESSIONS} " + " UNION ALL ".join(
     f"SELECT * FROM ({curve(n)})" for n in CURVES
 )
@@ -614,6 +685,8 @@ ORACLES["level_matrix"] = (
 ORACLES["ordered_users"] = ORACLES["ordered_users_sliced"] = (
     f"WITH {SESSIONS}, {MATRIX} SELECT cohort, user_id, s1, s2, s3, ordinal FROM ordered"
 )
+ORACLES["whole_matrix"] = f"""WITH {SESSIONS}, {MATRIX}
+    SELECT cohort, user_id, s1, s2, s3, ordinal, 'all' AS sample FROM ordered"""
 ORACLES["user_level_matrix"] = (
     f"WITH {SESSIONS}, {MATRIX}, {sampled('40')} SELECT * FROM sampled"
 )

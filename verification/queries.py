@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import datetime
+import shutil
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -19,8 +22,8 @@ from cohortlens.operators import numbering as nb
 from cohortlens.operators import selection as sl
 from cohortlens.operators.hotkeys import hot_keys
 from cohortlens.plans import metrics as mt
-from cohortlens.plans.report import compare, empty_cohorts
-from cohortlens.session import Workspace, shared_folder
+from cohortlens.plans.report import Comparison, compare, empty_cohorts
+from cohortlens.session import Workspace, session_workspace, shared_folder
 from cohortlens.sources import catalog, sinks, tables
 from verification import fixtures as fx
 
@@ -53,23 +56,58 @@ def query(function: Query) -> Query:
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    """Doubles to 6 places and times to microseconds, so that both engines can agree."""
+    """Doubles to 6 places and times to microseconds, so that both engines can agree; NULL stays."""
     columns = []
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
-            columns.append(f"coalesce(round(`{name}`, 6), -999D) as `{name}`")
+            columns.append(f"round(`{name}`, 6) as `{name}`")
         elif kind.startswith("timestamp"):
             columns.append(f"unix_micros(cast(`{name}` as timestamp)) as `{name}`")
         elif kind in ("int", "bigint"):
-            columns.append(f"coalesce(cast(`{name}` as bigint), -999L) as `{name}`")
+            columns.append(f"cast(`{name}` as bigint) as `{name}`")
         else:
             columns.append(f"`{name}`")
     return df.selectExpr(*columns)
 
 
+# What queries set aside. It is needed until their results have been read.
+_open: list[Workspace | Comparison] = []
+
+
+def opened(resource):
+    _open.append(resource)
+    return resource
+
+
+def workspace(spark: SparkSession) -> Workspace:
+    return opened(Workspace(spark))
+
+
+class Folder:
+    """A folder of a query's own in the shared folder."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def release(self) -> None:
+        shutil.rmtree(self.path.removeprefix("file://"), ignore_errors=True)
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder next to the checkpoints."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return opened(Folder(spark, name)).path
+
+
+def release() -> None:
+    """Remove what all queries so far have set aside, once their results are read."""
+    for resource in _open:
+        with contextlib.suppress(Exception):  # the session may have ended
+            resource.release()
+            if isinstance(resource, Workspace):
+                session_workspace(resource.spark).release()
+    _open.clear()
+
+
+atexit.register(release)
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -95,6 +133,14 @@ def catalog_snapshot(spark, sf_dir):
     return tidy(again.select("id", "name"))
 
 
+@query
+def refreshed_catalog(spark, sf_dir):
+    snapshot = folder(spark, "games")
+    games = fx.games(spark, sf_dir)
+    catalog.game_catalog(spark, games.withColumn("name", F.upper("name")), snapshot)
+    return tidy(catalog.game_catalog(spark, games, snapshot, refresh=True).select("id", "name"))
+
+
 @query
 def cohort_display_names(spark, sf_dir):
     return tidy(catalog.cohort_names(fx.games(spark, sf_dir), (1, 2), ("Old", "New")))
@@ -108,6 +154,14 @@ def csv_round_trip(spark, sf_dir):
     return tidy(tables.read_csv(spark, path, selected.schema))
 
 
+@query
+def csv_with_shuffled_columns(spark, sf_dir):
+    path = folder(spark, "csv")
+    selected = _selected(spark, sf_dir, BASE)
+    sinks.write_csv(selected.select(*reversed(selected.columns)), path)
+    return tidy(tables.read_csv(spark, path, selected.schema))
+
+
 @query
 def csv_inferred(spark, sf_dir):
     path = folder(spark, "csv")
@@ -122,31 +176,34 @@ def lower_case_columns(spark, sf_dir):
     return tables.lower_case(nation.toDF(*[c.upper() for c in nation.columns]))
 
 
-@query
-def first_rows(spark, sf_dir):
-    return tidy(sl.cap_rows(_selected(spark, sf_dir, BASE), 500))
+def _written_report(spark, sf_dir, location):
+    """A report that is written twice, as a retried job does."""
+    table = _curve(spark, sf_dir, "level_by_session")
+    for _ in range(2):
+        run_ts = datetime.datetime(2024, 2, 1)
+        sinks.write_report({"curves": table}, location, "aVSb", "monthly", run_ts)
 
 
 @query
-def first_rows_sliced(spark, sf_dir):
-    return tidy(sl.cap_rows(_selected(spark, sf_dir, BASE), 500, window_rows=0))
+def written_report(spark, sf_dir):
+    location = folder(spark, "report")
+    _written_report(spark, sf_dir, location)
+    return tidy(spark.read.parquet(f"{location}/current/aVSb/monthly/curves"))
 
 
 @query
-def written_report(spark, sf_dir):
+def report_history(spark, sf_dir):
     location = folder(spark, "report")
-    run_ts = datetime.datetime(2024, 2, 1)
-    sinks.write_report(
-        {"curves": _curve(spark, sf_dir, "level_by_session")}, location, "aVSb", "monthly", run_ts
-    )
-    return tidy(spark.read.parquet(f"{location}/current/aVSb/monthly/curves"))
+    _written_report(spark, sf_dir, location)
+    return tidy(spark.read.parquet(f"{location}/history/aVSb/curves"))
 
 
 # --- selection -------------------------------------------------------------------------------
 
 
 def _selected(spark, sf_dir, params):
-    return sl.select_cohorts(fx.plays(spark, sf_dir), params, fx.results(spark, sf_dir))
+    with workspace(spark).current():
+        return sl.select_cohorts(fx.plays(spark, sf_dir), params, fx.results(spark, sf_dir))
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -172,6 +229,20 @@ def labels_per_cohort(spark, sf_dir):
     return tidy(fields.select("cohort", "game_result_id", "numcorrect"))
 
 
+@query
+def nested_labels(spark, sf_dir):
+    """Fields one level down, other ones for the second cohort, and names that differ in case alone."""
+    params = replace(
+        BASE,
+        correct_label=("summary.num_correct", "summary.num_tries"),
+        tries_label=("summary.num_tries", "summary.num_correct"),
+        playtime_label=("playTime", "playtime"),
+    )
+    raw = fx.nested_plays(spark, sf_dir)
+    fields = sl.extract_fields(sl.tag_cohorts(raw, params), params)
+    return tidy(fields.select("cohort", "game_result_id", "numcorrect", "numtries", "playtime"))
+
+
 @query
 def selected_level(spark, sf_dir):
     raw = fx.raw_plays(spark, sf_dir)
@@ -304,11 +375,55 @@ def mixed_session_numbers(spark, sf_dir):
     return tidy(numbered.select("cohort", "game_result_id", "user_id", "session_count"))
 
 
+@query
+def cross_game_and_true_session_numbers(spark, sf_dir):
+    selected = _selected(spark, sf_dir, replace(BASE, numbering=("cross_game", "true")))
+    return tidy(selected.select("cohort", "game_result_id", "user_id", "nth"))
+
+
+@query
+def parameters_from_loose_forms(spark, sf_dir):
+    params = CompareParams.create([1, 2], year="all", true_session=True, min_plays=5)
+    selected = _selected(spark, sf_dir, params)
+    return tidy(selected.select("cohort", "game_result_id", "user_id", "nth"))
+
+
+RESULT_KEYS = ["game_id", "user_id"]
+
+
 @query
 def result_ranks_with_hot_keys(spark, sf_dir):
+    with workspace(spark).current():
+        log = fx.results(spark, sf_dir)
+        return tidy(nb.rank_results(log, RESULT_KEYS, min_rows=FEW_ROWS))
+
+
+@query
+def anonymous_result_ranks(spark, sf_dir):
+    return tidy(nb.rank_results(fx.anonymous_results(spark, sf_dir), RESULT_KEYS))
+
+
+@query
+def anonymous_result_ranks_with_hot_keys(spark, sf_dir):
+    with workspace(spark).current():
+        log = fx.anonymous_results(spark, sf_dir)
+        return tidy(nb.rank_results(log, RESULT_KEYS, min_rows=FEW_ROWS))
+
+
+def _loaded_twice(spark, sf_dir):
     log = fx.results(spark, sf_dir)
-    keys = ["game_id", "user_id"]
-    return tidy(nb.rank_results(log, keys, hot_keys(log, keys, FEW_ROWS)))
+    return log.unionByName(log.filter("id % 2 = 0"))
+
+
+@query
+def repeated_result_ids(spark, sf_dir):
+    return tidy(nb.rank_results(_loaded_twice(spark, sf_dir), RESULT_KEYS))
+
+
+@query
+def repeated_result_ids_with_hot_keys(spark, sf_dir):
+    with workspace(spark).current():
+        return tidy(nb.rank_results(_loaded_twice(spark, sf_dir), RESULT_KEYS, min_rows=FEW_ROWS))
 
 
 @query
@@ -329,7 +444,7 @@ def observed_session_numbers_with_hot_keys(spark, sf_dir):
 
 
 def _staged(spark, sf_dir, params=BASE):
-    return Workspace(spark).table(_selected(spark, sf_dir, params))
+    return workspace(spark).table(_selected(spark, sf_dir, params))
 
 
 def _typed(spark, sf_dir, params=BASE):
@@ -337,17 +452,18 @@ def _typed(spark, sf_dir, params=BASE):
     return cl.playtime_seconds(cl.coerce_numbers(cl.drop_null_rows(selected)))
 
 
-def _cleaned(spark, sf_dir, params=BASE):
+def _cleaned(spark, sf_dir, params=BASE, plays=None):
     """Select and clean as a comparison does: counted users and selected rows are set aside."""
-    workspace = Workspace(spark)
-    plays, results = fx.plays(spark, sf_dir), fx.results(spark, sf_dir)
-    users = sl.count_users(plays, params, workspace.table)
-    selected = workspace.table(sl.select_cohorts(plays, params, results, users))
-    return cl.clean(selected, params, users.hot).sessions
+    own = workspace(spark)
+    plays, results = plays or fx.plays(spark, sf_dir), fx.results(spark, sf_dir)
+    with own.current():
+        users = sl.count_users(plays, params, own.table)
+        selected = own.table(sl.select_cohorts(plays, params, results, users))
+        return cl.clean(selected, params, users.hot).sessions
 
 
-def _staged_sessions(spark, sf_dir, params=BASE):
-    return Workspace(spark).table(_cleaned(spark, sf_dir, params))
+def _staged_sessions(spark, sf_dir, params=BASE, plays=None):
+    return workspace(spark).table(_cleaned(spark, sf_dir, params, plays))
 
 
 def _ids(df: DataFrame) -> DataFrame:
@@ -440,13 +556,20 @@ def rows_per_cohort(spark, sf_dir):
     )
 
 
+@query
+def scores_that_are_no_numbers(spark, sf_dir):
+    params = replace(BASE, plot_sigma=0)
+    sessions = _staged_sessions(spark, sf_dir, params, fx.plays_with_nan(spark, sf_dir))
+    return tidy(mt.curve_tables(sessions, params, ["score_by_level"]))
+
+
 # --- distributions ---------------------------------------------------------------------------
 
 
 def _distribution(name: str) -> Query:
     def run(spark, sf_dir):
         sessions = _staged_sessions(spark, sf_dir)
-        return tidy(mt.distribution(sessions, BASE, name, Workspace(spark).table))
+        return tidy(mt.distribution(sessions, BASE, name, workspace(spark).table))
 
     return run
 
@@ -458,7 +581,7 @@ for _name in mt.distributions():
 def _all_distributions(spark, sf_dir, params=BASE):
     sessions = _staged_sessions(spark, sf_dir, params)
     return mt.distribution_tables(
-        sessions, params, mt.distributions(), Workspace(spark).table
+        sessions, params, mt.distributions(), workspace(spark).table
     )
 
 
@@ -482,11 +605,21 @@ def score_tests_sliced(spark, sf_dir):
     users = ds.per_user(_staged_sessions(spark, sf_dir), ["score"])
     values = ds.user_values(users, {"score_per_user": "score"})
     cuts = {"score_per_user": ds.Cut()}
-    counted = ds.user_frequencies(values, ds.with_cutoff(values, cuts), cuts)
-    staged = Workspace(spark).table(counted)
+    summary = ds.with_cutoff(users, {"score_per_user": "score"}, cuts)
+    counted = ds.user_frequencies(values, summary, cuts)
+    staged = workspace(spark).table(counted)
     return tidy(ds.ks_tests(staged, ds.Profile.of(staged), window_rows=0))
 
 
+@query
+def constant_percent_left_out(spark, sf_dir):
+    """With as many correct as tries, percent per user is the same for all and gets no test."""
+    sessions = _staged_sessions(spark, sf_dir).withColumn("numcorrect", F.col("numtries"))
+    names = ["correct_per_user", "percent_per_user"]
+    found = mt.distribution_tables(sessions, BASE, names, workspace(spark).table)
+    return tidy(found.tests.select("metric", "n1", "n2"))
+
+
 @query
 def infinite_percents(spark, sf_dir):
     return tidy(mt.infinite_percents(_staged_sessions(spark, sf_dir)))
@@ -516,13 +649,19 @@ for _name in mt.CURVES:
 @query
 def all_curves(spark, sf_dir):
     sessions = _staged_sessions(spark, sf_dir)
-    return tidy(mt.curve_tables(sessions, BASE, mt.CURVES, Workspace(spark).table))
+    return tidy(mt.curve_tables(sessions, BASE, mt.CURVES, workspace(spark).table))
+
+
+@query
+def curves_without_correct(spark, sf_dir):
+    sessions = _staged_sessions(spark, sf_dir).drop("numcorrect")
+    return tidy(mt.curve_tables(sessions, BASE, mt.CURVES, workspace(spark).table))
 
 
 @query
 def early_score_sliced(spark, sf_dir):
     points = cv.curves(_staged_sessions(spark, sf_dir), "session_count", ["score"])
-    staged = Workspace(spark).table(points)
+    staged = workspace(spark).table(points)
     early = cv.early_curves(staged, BASE.early_learning, window_rows=0)
     return tidy(early.select("trim", "cohort", "key", "n", "mean"))
 
@@ -553,7 +692,7 @@ def linear_fit_bands(spark, sf_dir):
 
 
 def _matrix(spark, sf_dir):
-    return Workspace(spark).table(mx.level_matrix(_staged_sessions(spark, sf_dir), 3))
+    return workspace(spark).table(mx.level_matrix(_staged_sessions(spark, sf_dir), 3))
 
 
 @query
@@ -607,12 +746,34 @@ def jump_by_true_session(spark, sf_dir):
 def comparison_without_fits(spark, sf_dir):
     """The curves of a comparison that leaves out the metrics about fit."""
     params = replace(BASE, fit_metrics=False)
-    done = compare(spark, fx.plays(spark, sf_dir), params, games=fx.games(spark, sf_dir))
-    return tidy(done.tables["curves"])
+    plays, games = fx.plays(spark, sf_dir), fx.games(spark, sf_dir)
+    return tidy(opened(compare(spark, plays, params, games=games)).tables["curves"])
 
 
 @query
 def comparison_tests(spark, sf_dir):
     params = replace(BASE, metrics=("plays_per_user", "score_per_user"))
-    done = compare(spark, fx.raw_plays(spark, sf_dir), params)
+    done = opened(compare(spark, fx.raw_plays(spark, sf_dir), params))
     return tidy(done.tables["distribution_tests"])
+
+
+@query
+def comparison_with_an_empty_cohort(spark, sf_dir):
+    """Nobody played game 77: the audit says so, and no metric is computed."""
+    done = opened(compare(spark, fx.plays(spark, sf_dir), replace(BASE, game_ids=(1, 77))))
+    return tidy(done.tables["audit"].withColumn("skipped", F.lit(done.skipped)))
+
+
+@query
+def recorded_settings(spark, sf_dir):
+    done = opened(compare(spark, fx.plays(spark, sf_dir), replace(BASE, metrics=())))
+    run = done.tables["run"].select("report", F.explode("settings").alias("name", "value"))
+    names = ("game_ids", "min_plays", "numbering", "outlier_sigma", "early_learning", "years")
+    return run.filter(F.col("name").isin(*names))
+
+
+@query
+def whole_matrix(spark, sf_dir):
+    """All users, unless a sample is asked for."""
+    params = replace(BASE, sample_users=None)
+    return tidy(mt.user_level_matrix(_staged_sessions(spark, sf_dir), params))
