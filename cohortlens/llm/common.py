@@ -136,6 +136,11 @@ def text_hash() -> Column:
     return F.xxhash64("text")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns, whatever they are called, as one struct ``row``."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+
+
 def keep_one(docs: DataFrame, chosen: DataFrame, repeats: bool = False) -> DataFrame:
     """The row of ``docs`` for each ``doc_id`` and ``text_hash`` of ``chosen``, all columns.
 
@@ -149,7 +154,7 @@ def keep_one(docs: DataFrame, chosen: DataFrame, repeats: bool = False) -> DataF
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
     )
     text = F.col("text").cast("string")
-    rows = docs.select(*key, F.xxhash64(text).alias("hash"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(*key, F.xxhash64(text).alias("hash"), whole_row(docs))
     wanted = chosen.select(*key, F.col("text_hash").alias("hash"), *(["repeats"] if repeats else []))
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy("no_id"))
     kept = rows.join(wanted, list(keys)).withColumn("turn", turn).where("turn = 1")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import exact_dedup, mixing, sentencepieces, simhash_dedup, toxicity
-from cohortlens.llm.common import keep_one, staged, table
+from cohortlens.llm.common import keep_one, staged, table, whole_row
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one, null texts as empty ones.
     """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(whole_row(docs), F.col("text").cast("string").alias("text"))
     scored = toxicity.scored(rows, model, keep=("row",))
     return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 

@@ -3,7 +3,7 @@ import pytest
 # Columns of documents and more, some named like columns that operators make themselves.
 DDL = (
     "doc_id long, text string, lang string, source string, n_chars long, size long, digest string,"
-    " fp long, shard int, part int, row string, score double, text_hash long, root long, words string"
+    " fp long, shard int, part int, row string, score double, text_hash long, root long, words string, `a.b` string"
 )
 PASSAGE = " ".join(f"word{i}" for i in range(60))
 TEXTS = [
@@ -32,7 +32,7 @@ TEXTS = [
 def odd_docs(spark):
     """Nulls, empty and long texts, ties, repeated rows, and columns with clashing names."""
     rows = [
-        (i, t, None, s, None, -1, "d", 7, 1, 2, "r", 0.5, 3, 4, "w") for i, t, s in TEXTS
+        (i, t, None, s, None, -1, "d", 7, 1, 2, "r", 0.5, 3, 4, "w", "x") for i, t, s in TEXTS
     ]
     return spark.createDataFrame(rows, DDL)
 
