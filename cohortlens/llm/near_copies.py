@@ -1,0 +1,178 @@
+"""Near copies among whole texts: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
+
+Texts that may be near copies meet in buckets: one for each component of their SimHash fingerprints, and
+one for each band of a MinHash signature, as texts of 0.8 mostly differ in more bits than the trie join
+can reach. A band is shared with the sixth power of the similarity, so all 32 miss a pair of 0.8 once in
+17,000 times. Every pair that counts is checked by its whole shingle sets. First each text of a bucket is
+compared with one of them; then all pairs of a bucket that are not yet known to be connected.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from cohortlens.llm.common import by_text, documents, staged, text_hash
+from cohortlens.llm.components import components
+from cohortlens.llm.simhash_dedup import SEED, links, simhash
+
+SHINGLE = 5
+BANDS = 32
+ROWS = 6
+# Shingles that are hashed by all functions of a signature at a time.
+CHUNK = 1 << 13
+# Pairs of one text that meet in one task, about; its set is copied for more.
+SPREAD = 1_000
+
+_RNG = np.random.default_rng(5)
+_FLIPS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
+_FACTORS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; a text of fewer words is one shingle."""
+    words = text.encode().lower().split()
+    n = max(1, len(words) - SHINGLE + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    found = (digest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(n))
+    return np.unique(np.fromiter(found, np.uint64, n))
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A key for each band of the signature."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), CHUNK):
+        least = np.minimum(least, ((short[i : i + CHUNK] ^ _FLIPS) * _FACTORS).min(1))
+    parts = least.reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(parts)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a similarity of 0.8 or more; empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * both >= 4 * (len(a) + len(b))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_hash``, fingerprint ``fp``, set size ``n`` and band keys ``keys``."""
+
+    def work(texts: list[str]) -> list:
+        sets = [shingle_set(t) for t in texts]
+        fps = np.array([simhash(t, SHINGLE) for t in texts], np.uint64)
+        return [
+            pa.array(fps.view(np.int64)),
+            pa.array([len(s) for s in sets], pa.int32()),
+            pa.array([bands(s) for s in sets], pa.list_(pa.int64())),
+        ]
+
+    rows = documents(docs).withColumn("text_hash", text_hash())
+    schema = "fp bigint, n int, keys array<bigint>"
+    return by_text(rows, work, schema, keep=("doc_id", "text_hash"))
+
+
+def buckets(texts: DataFrame) -> DataFrame:
+    """``key``, ``text_hash`` and ``n`` of all texts that share a bucket, and its ``first`` text."""
+    found = staged(components(links(texts.select("fp").distinct())))
+    simhashed = texts.join(found, texts.fp == found.node, "left").select(
+        F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"), "text_hash", "n"
+    )
+    banded = texts.select(F.explode("keys").alias("key"), "text_hash", "n")
+    whole = Window.partitionBy("key")
+    one = F.struct("text_hash", "n")
+    met = banded.union(simhashed).select(
+        "key", "text_hash", "n", F.min(one).over(whole).alias("first"), F.max(one).over(whole).alias("last")
+    )
+    return met.where("first.text_hash != last.text_hash").drop("last")
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Sets whose sizes differ by more cannot have the similarity."""
+    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+
+
+def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs ``a``, ``b`` of text hashes whose shingle sets are near.
+
+    A text with many pairs is copied to several tasks.
+    """
+
+    def work(texts: list[str]) -> list:
+        return [pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())]
+
+    def compare(batches):
+        for batch in batches:
+            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+            kept = [
+                near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                for x, y in zip(left, right, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("text_hash")).union(pairs.select("b")).distinct()
+    rows = documents(docs).withColumn("text_hash", text_hash()).join(wanted, "text_hash", "left_semi")
+    sets = staged(by_text(rows, work, "shingles binary", keep=("text_hash",)).dropDuplicates(["text_hash"]))
+    copies = F.ceil(F.count("*") / SPREAD).cast("int")
+    crowd = staged(pairs.groupBy("a").agg(copies.alias("copies")))
+    asked = pairs.join(crowd, "a").select(
+        "a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy")
+    )
+    left = sets.join(crowd, F.col("text_hash") == F.col("a")).select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("left")
+    )
+    right = sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("right"))
+    found = asked.join(left, ["a", "copy"]).join(right, "b").select("a", "b", "left", "right")
+    return found.mapInArrow(compare, "a bigint, b bigint")
+
+
+def linked(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that connect all near texts which share a bucket."""
+    met = staged(buckets(texts))
+    tried = staged(
+        met.where("text_hash != first.text_hash").where(alike(F.col("n"), F.col("first.n")))
+        .select(F.col("first.text_hash").alias("a"), F.col("text_hash").alias("b"))
+        .distinct()
+    )
+    found = staged(checked(docs, tried))
+    roots = staged(components(found))
+    rooted = met.join(roots, met.text_hash == roots.node, "left").select(
+        "key", "text_hash", "n", F.coalesce("root", "text_hash").alias("root")
+    )
+    whole = Window.partitionBy("key")
+    open_ = staged(
+        rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"))
+        .where("low != high")
+        .drop("low", "high")
+    )
+    a, b = open_.alias("a"), open_.alias("b")
+    rest = (
+        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.text_hash") < F.col("b.text_hash")))
+        .where((F.col("a.root") != F.col("b.root")) & alike(F.col("a.n"), F.col("b.n")))
+        .select(F.col("a.text_hash").alias("a"), F.col("b.text_hash").alias("b"))
+        .distinct()
+    )
+    rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
+    return found.union(staged(checked(docs, rest)))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text_hash`` of one row of each group of near copies: the smallest id, null ids last.
+
+    Groups are the components of near pairs. Texts without words, null ones too, are one group. Columns
+    other than id and text are not looked at. An empty table gives no rows.
+    """
+    rows = staged(sketches(docs))
+    texts = staged(rows.drop("doc_id").dropDuplicates(["text_hash"]))
+    roots = staged(components(linked(docs, texts)))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash")))
+    chosen = (
+        rows.select("doc_id", "text_hash")
+        .join(roots, rows.text_hash == roots.node, "left")
+        .groupBy(F.coalesce("root", "text_hash").alias("root"))
+        .agg(first.alias("first"))
+    )
+    return chosen.select("first.doc_id", "first.text_hash")

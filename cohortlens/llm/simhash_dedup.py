@@ -40,7 +40,7 @@ CHUNK = 1 << 16
 # -- fingerprints ------------------------------------------------------------------------
 
 
-def simhash(text: str) -> int:
+def simhash(text: str, shingle: int = SHINGLE) -> int:
     """Majority bits of the hashes of all shingles, repeats included; 0 without words."""
     words = text.encode().lower().split()
     if not words:
@@ -48,7 +48,7 @@ def simhash(text: str) -> int:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
-    n = max(1, len(words) - SHINGLE + 1)
+    n = max(1, len(words) - shingle + 1)
     starts, ends = starts[:n], ends[-n:] - 1
     digest, total = xxhash.xxh64_digest, np.zeros(BITS, np.int64)
     for i in range(0, n, CHUNK):

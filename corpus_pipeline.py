@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import exact_dedup, mixing, sentencepieces, simhash_dedup, toxicity
+from cohortlens.llm import exact_dedup, mixing, near_copies, sentencepieces, toxicity
 from cohortlens.llm.common import keep_one, staged, table, whole_row
 
 
@@ -33,8 +33,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the smallest id, null ids last."""
-    return keep_one(docs, simhash_dedup.one_of_each(docs))
+    """One row of each group of near copies: the smallest id, null ids last.
+
+    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words.
+    """
+    return keep_one(docs, near_copies.one_of_each(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

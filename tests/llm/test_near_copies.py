@@ -1,0 +1,78 @@
+import numpy as np
+import pytest
+
+import corpus_pipeline as cp
+from cohortlens.llm import near_copies as nc
+from tests.llm.brute import id_order
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept(docs):
+    """The smallest id of each component, by comparing all pairs of shingle sets."""
+    sets = [shingles(t) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    groups = {}
+    for i, (doc_id, _) in enumerate(docs):
+        groups.setdefault(top(i), []).append(doc_id)
+    return sorted((min(ids, key=id_order) for ids in groups.values()), key=id_order)
+
+
+def found(spark, docs):
+    out = cp.drop_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    return sorted((r.doc_id for r in out.select("doc_id").collect()), key=id_order)
+
+
+def test_odd_rows(spark, odd_docs, odd_texts, no_docs):
+    assert found(spark, odd_docs) == kept(odd_texts)
+    assert found(spark, no_docs) == []
+
+
+def test_some_documents(spark, some_docs, some_texts):
+    assert found(spark, some_docs) == kept(some_texts)
+
+
+@pytest.mark.parametrize("spread", [1_000, 3])
+def test_similarities_around_the_bound(spark, monkeypatch, spread):
+    """Chains and stars of edited texts; most pairs of 0.8 differ in more than 4 bits."""
+    monkeypatch.setattr(nc, "SPREAD", spread)
+    rng = np.random.default_rng(4)
+    docs = []
+    for _ in range(12):
+        text = [f"w{x}" for x in rng.integers(0, 5_000, 150)]
+        for step in range(8):
+            docs.append((len(docs), " ".join(text)))
+            base = text if step % 2 else docs[-1 - step % 3][1].split()
+            text = list(base)
+            for place in rng.integers(0, 150, rng.integers(1, 7)):
+                text[place] = f"v{rng.integers(0, 5_000)}"
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(spark, frame) == kept(docs)
+
+
+def test_bands_reach_pairs_of_the_bound():
+    """Pairs of exactly 0.8: 80 shingles in common of 100."""
+    rng = np.random.default_rng(6)
+    missed = 0
+    for _ in range(500):
+        x = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+        a, b = np.sort(x[:90]), np.sort(np.concatenate([x[:80], x[90:]]))
+        assert nc.near(a, b)
+        missed += not set(nc.bands(a)) & set(nc.bands(b))
+    assert missed <= 1
+    assert not nc.near(np.sort(x[:90]), np.sort(np.concatenate([x[:79], x[90:]])))
