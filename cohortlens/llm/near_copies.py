@@ -4,7 +4,7 @@ Texts that may be near copies meet in buckets: one for each component of their S
 one for each band of a MinHash signature, as texts of 0.8 mostly differ in more bits than the trie join
 can reach. A band is shared with the sixth power of the similarity, so all 32 miss a pair of 0.8 once in
 17,000 times. Every pair that counts is checked by its whole shingle sets. First each text of a bucket is
-compared with one of them; then all pairs of a bucket that are not yet known to be connected.
+compared with one of them, in turns; then all pairs of a bucket that are not yet known to be connected.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ ROWS = 6
 CHUNK = 1 << 13
 # Pairs of one text that meet in one task, about; its set is copied for more.
 SPREAD = 1_000
+# All pairs of the buckets are compared at once if they are at most so many for each text in them.
+MANY = 2
 
 _RNG = np.random.default_rng(5)
 _FLIPS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -76,18 +78,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """``key``, ``text_hash`` and ``n`` of all texts that share a bucket, and its ``first`` text."""
+    """``key``, ``text_hash`` and ``n`` of all texts that share a bucket."""
     found = staged(components(links(texts.select("fp").distinct())))
     simhashed = texts.join(found, texts.fp == found.node, "left").select(
         F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"), "text_hash", "n"
     )
     banded = texts.select(F.explode("keys").alias("key"), "text_hash", "n")
     whole = Window.partitionBy("key")
-    one = F.struct("text_hash", "n")
-    met = banded.union(simhashed).select(
-        "key", "text_hash", "n", F.min(one).over(whole).alias("first"), F.max(one).over(whole).alias("last")
-    )
-    return met.where("first.text_hash != last.text_hash").drop("last")
+    met = banded.union(simhashed).withColumn("texts", F.count("*").over(whole))
+    return met.where("texts > 1").drop("texts")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -129,34 +128,66 @@ def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.mapInArrow(compare, "a bigint, b bigint")
 
 
-def linked(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that connect all near texts which share a bucket."""
-    met = staged(buckets(texts))
-    tried = staged(
-        met.where("text_hash != first.text_hash").where(alike(F.col("n"), F.col("first.n")))
-        .select(F.col("first.text_hash").alias("a"), F.col("text_hash").alias("b"))
-        .distinct()
-    )
-    found = staged(checked(docs, tried))
-    roots = staged(components(found))
-    rooted = met.join(roots, met.text_hash == roots.node, "left").select(
-        "key", "text_hash", "n", F.coalesce("root", "text_hash").alias("root")
-    )
+def open_buckets(met: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Texts of the buckets that hold more than one component, and the bucket's ``first`` text of this turn."""
+    if roots is None:
+        rooted = met.withColumn("root", F.col("text_hash"))
+    else:
+        rooted = met.join(roots, met.text_hash == roots.node, "left").select(
+            *met.columns, F.coalesce("root", "text_hash").alias("root")
+        )
     whole = Window.partitionBy("key")
-    open_ = staged(
-        rooted.select("*", F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"))
+    drawn = F.struct(F.xxhash64("text_hash", F.lit(turn)), "text_hash", "n", "root")
+    return (
+        rooted.select(
+            "*", F.min(drawn).over(whole).alias("first"),
+            F.min("root").over(whole).alias("low"), F.max("root").over(whole).alias("high"),
+        )
         .where("low != high")
         .drop("low", "high")
+    )
+
+
+def star(met: DataFrame) -> DataFrame:
+    """Each text of a bucket with the bucket's first one."""
+    return met.where((F.col("root") != F.col("first.root")) & alike(F.col("n"), F.col("first.n"))).select(
+        F.least("text_hash", "first.text_hash").alias("a"), F.greatest("text_hash", "first.text_hash").alias("b")
     )
-    a, b = open_.alias("a"), open_.alias("b")
-    rest = (
+
+
+def all_pairs(met: DataFrame) -> DataFrame:
+    """Pairs of texts of a bucket that are of different components."""
+    a, b = met.alias("a"), met.alias("b")
+    return (
         a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.text_hash") < F.col("b.text_hash")))
         .where((F.col("a.root") != F.col("b.root")) & alike(F.col("a.n"), F.col("b.n")))
         .select(F.col("a.text_hash").alias("a"), F.col("b.text_hash").alias("b"))
-        .distinct()
     )
-    rest = staged(rest.join(tried, ["a", "b"], "left_anti"))
-    return found.union(staged(checked(docs, rest)))
+
+
+def linked(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that connect all near texts which share a bucket.
+
+    While all pairs would be many, texts are only compared with one of their bucket, another one in
+    each turn, so that large groups become one component first. What is not connected when a turn
+    links nothing is compared pair by pair.
+    """
+    met = staged(buckets(texts))
+    found = tried = met.select(F.col("text_hash").alias("a"), F.col("text_hash").alias("b")).limit(0)
+    roots, turn, more = None, 0, True
+    while True:
+        open_ = staged(open_buckets(met, roots, turn))
+        sizes = open_.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+        sizes = sizes.agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        few = sizes.agg(F.sum("m").alias("m"), (F.sum(F.col("m") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
+        last = not more or not few.m or few.pairs <= MANY * few.m
+        pairs = (all_pairs(open_) if last else star(open_)).distinct()
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = staged(checked(docs, pairs))
+        found, tried = found.union(new), tried.union(pairs)
+        if last:
+            return found
+        roots, turn, more = staged(components(found)), turn + 1, not new.isEmpty()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

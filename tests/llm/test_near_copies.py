@@ -47,10 +47,11 @@ def test_some_documents(spark, some_docs, some_texts):
     assert found(spark, some_docs) == kept(some_texts)
 
 
-@pytest.mark.parametrize("spread", [1_000, 3])
-def test_similarities_around_the_bound(spark, monkeypatch, spread):
+@pytest.mark.parametrize(("spread", "many"), [(1_000, 100), (3, 0)])
+def test_similarities_around_the_bound(spark, monkeypatch, spread, many):
     """Chains and stars of edited texts; most pairs of 0.8 differ in more than 4 bits."""
     monkeypatch.setattr(nc, "SPREAD", spread)
+    monkeypatch.setattr(nc, "MANY", many)
     rng = np.random.default_rng(4)
     docs = []
     for _ in range(12):
