@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -133,3 +134,38 @@ def nearest(vectors, queries, k=10):
         order = [i for i in np.lexsort((ids, score)).tolist() if ids[i] != query][:k]
         out += [(query, r, int(ids[i]), float(score[i])) for r, i in enumerate(order, 1)]
     return out
+
+
+def runs(words):
+    """(start, length, period) of each run of at least 6 words and 4 periods, comparing at every distance."""
+    found = {}
+    for q in range(1, len(words) // 4 + 1):
+        start = None
+        for t in range(q, len(words) + 1):
+            if t < len(words) and words[t] == words[t - q]:
+                start = t - q if start is None else start
+            elif start is not None:
+                if t - start >= max(6, 4 * q):
+                    found.setdefault((start, t), q)
+                start = None
+    return sorted(((a, b - a, q) for (a, b), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def runs_digest(doc_id, text):
+    """The row of op11 for one document."""
+    words = WORD.findall(text or "")
+    h, n = crc(str(doc_id)), len(words)
+    if doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    found = runs(words)
+    best = min(found, key=lambda r: (Fraction(-r[1], r[2]), r[0], r[2]), default=(None, None, None))
+    gone = {i for start, length, q in found for i in range(start + q, start + length)}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return (
+        doc_id, len(found), *best, 1000 * best[1] // best[2] if found else None,
+        sha("".join(f"{s},{length},{q}\n" for s, length, q in found)),
+        sha(" ".join(w for i, w in enumerate(words) if i not in gone)),
+    )
