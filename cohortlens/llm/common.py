@@ -70,7 +70,17 @@ def staged(df: DataFrame) -> DataFrame:
     """
     folder = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.staged_in = folder
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the files of ``staged`` frames that nothing reads any more."""
+    for df in frames:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df.staged_in)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def by_text(
@@ -144,9 +154,9 @@ def whole_row(docs: DataFrame) -> Column:
 def keep_one(docs: DataFrame, chosen: DataFrame, repeats: bool = False) -> DataFrame:
     """The row of ``docs`` for each ``doc_id`` and ``text_hash`` of ``chosen``, all columns.
 
-    Rows that are equal in both are kept once. With ``repeats``, ``chosen`` has a column of that
-    name, and rows come that many times. Null ids match each other. Both sides are shuffled by the
-    key, which also serves to keep one row.
+    Rows that are equal in both are kept once; each task lets one of them through before the shuffle, so
+    many equal rows do not meet. With ``repeats``, ``chosen`` has a column of that name, and rows come
+    that many times. Null ids match each other.
     """
     keys = ("no_id", "id", "hash")
     key = (
@@ -157,7 +167,7 @@ def keep_one(docs: DataFrame, chosen: DataFrame, repeats: bool = False) -> DataF
     rows = docs.select(*key, F.xxhash64(text).alias("hash"), whole_row(docs))
     wanted = chosen.select(*key, F.col("text_hash").alias("hash"), *(["repeats"] if repeats else []))
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy("no_id"))
-    kept = rows.join(wanted, list(keys)).withColumn("turn", turn).where("turn = 1")
+    kept = rows.withColumn("turn", turn).where("turn = 1").join(wanted, list(keys))
     if repeats:
         kept = kept.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "repeats")))
     return kept.select("row.*")

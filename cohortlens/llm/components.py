@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import staged
+from cohortlens.llm.common import release, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,9 +17,12 @@ def components(links: DataFrame) -> DataFrame:
     shared folder. Links of a node with itself and repeated links change nothing.
     """
     links = _ordered(links)
-    state = None
+    state, old = None, []
     while True:
-        links = staged(_small_star(staged(_large_star(links))))
+        large = staged(_large_star(links))
+        links = staged(_small_star(large))
+        release(large, *old)
+        old = [links]
         found = links.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("sum")
         ).first()

@@ -6,12 +6,13 @@ repeated passages (too slow in SQL on whole tables) and SentencePiece. Tests hol
 
 from __future__ import annotations
 
-import corpus_pipeline
 from cohortlens.llm import (
     exact_dedup,
     mixing,
     nearest,
+    periodic_runs,
     personal_data,
+    pipeline,
     sentencepieces,
     sharding,
     simhash_dedup,
@@ -31,9 +32,8 @@ QUERIES = {
     "op8_personal_data": personal_data.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_sentencepiece": sentencepieces.query,
-    "pipeline": corpus_pipeline.run,
+    "op11_periodic_runs": periodic_runs.query,
+    "pipeline": pipeline.run,
 }
 
 ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -7,8 +7,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_point
-import corpus_pipeline as cp
 from cohortlens.llm import mixing, simhash_dedup, toxicity
+from cohortlens.llm import pipeline as cp
 from cohortlens.llm.common import staged
 from tests.llm import brute
 
@@ -91,7 +91,7 @@ def test_odd_rows(spark, odd_docs, no_docs, tmp_path):
 
 def test_queries_are_registered():
     names = [n for n in entry_point.queries() if n.startswith("op") or n == "pipeline"]
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 def test_the_rest_works_without_this_part(tmp_path):
