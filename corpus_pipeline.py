@@ -1,70 +1,8 @@
-"""A training corpus from ``documents``: clean, distinct, mixed and encoded.
+"""A training corpus from ``documents``: the stages of the package, as the driver calls them."""
 
-Each stage gets what the one before it kept, written as Parquet and read back.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from cohortlens.llm import exact_dedup, mixing, near_copies, sentencepieces, toxicity
-from cohortlens.llm.common import keep_one, staged, table, whole_row
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score under the threshold, all columns as they were.
-
-    The model is fitted on the labels of ``sf_dir`` and the texts of ``docs``. Rows are scored one by
-    one, null texts as empty ones.
-    """
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(whole_row(docs), F.col("text").cast("string").alias("text"))
-    scored = toxicity.scored(rows, model, keep=("row",))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
-
-
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: most code points, then smallest id, null ids last.
-
-    Of rows that are equal in id and text, one stays.
-    """
-    return keep_one(docs, exact_dedup.deduplicated(docs).where("kept"))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: the smallest id, null ids last.
-
-    Near copies have a Jaccard similarity of 0.8 or more over shingles of five words.
-    """
-    return keep_one(docs, near_copies.one_of_each(docs))
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, which may be never. Rows without words go or stay
-    with their source's whole repetitions."""
-    return keep_one(docs, mixing.repetitions(docs), repeats=True)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each row's text, repeated rows each by themselves."""
-    return sentencepieces.encoded(docs)
-
-
-STAGES = [
-    ("toxicity", drop_toxic),
-    ("exact dedup", drop_copies),
-    ("SimHash near-dedup", drop_near_copies),
-    ("mixing", mix),
-    ("SentencePiece", encode),
-]
+from cohortlens.llm.pipeline import STAGES, run
 
 # Trees, fingerprints and ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
