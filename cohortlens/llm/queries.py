@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from cohortlens.llm import (
     exact_dedup,
+    hard_negatives,
     mixing,
     nearest,
     periodic_runs,
@@ -33,7 +34,12 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
     "op10_sentencepiece": sentencepieces.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op13_hard_negatives": hard_negatives.query,
     "pipeline": pipeline.run,
 }
 
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLES = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
+}
