@@ -11,6 +11,7 @@ from cohortlens.llm import (
     hard_negatives,
     mixing,
     nearest,
+    page_text,
     periodic_runs,
     personal_data,
     pipeline,
@@ -34,6 +35,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
     "op10_sentencepiece": sentencepieces.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_page_text": page_text.query,
     "op13_hard_negatives": hard_negatives.query,
     "pipeline": pipeline.run,
 }
@@ -41,5 +43,6 @@ QUERIES = {
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op12_page_text": page_text.query,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }
