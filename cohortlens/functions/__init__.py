@@ -1,6 +1,7 @@
 from cohortlens.functions.expressions import (
     age,
     json_fields,
+    json_steps,
     ks_p_value,
     literal,
     number,
@@ -9,6 +10,7 @@ from cohortlens.functions.expressions import (
     present,
     quoted,
     standard_error,
+    t_quantile,
     to_number,
     variance_explained,
     whole_number,
@@ -17,6 +19,7 @@ from cohortlens.functions.expressions import (
 __all__ = [
     "age",
     "json_fields",
+    "json_steps",
     "ks_p_value",
     "literal",
     "number",
@@ -25,6 +28,7 @@ __all__ = [
     "present",
     "quoted",
     "standard_error",
+    "t_quantile",
     "to_number",
     "variance_explained",
     "whole_number",

@@ -6,7 +6,36 @@ Arguments are SQL text too, usually column names. Everything stays inside the JV
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Mapping
+from statistics import NormalDist
+
+
+# A step of a path: a subscript, a quoted name (in brackets or not), or a plain name.
+_STEP = re.compile(
+    r"""\[(?P<at>[0-9]+)\]|\[(?:'(?P<one>[^']+)'|"(?P<two>[^"]+)")\]"""
+    r"""|(?P<dot>\.?)(?:"(?P<quoted>(?:[^"]|"")+)"|(?P<plain>[^.\[\]"]+))"""
+)
+
+
+def json_steps(path: str) -> list[str | int]:
+    """Names and subscripts of a path: ``items[0].x``, ``"a.b".c``, ``['a.b']["c"]``.
+
+    Names stand between dots; in quotes or brackets they may hold dots. A quote inside a quoted name is
+    doubled. Subscripts count from 0.
+    """
+    steps: list[str | int] = []
+    at = 0
+    while at < len(path):
+        step = _STEP.match(path, at)
+        if step is None or step["dot"] is not None and bool(step["dot"]) != bool(steps):
+            raise ValueError(f"no path of names and subscripts: {path!r}")
+        name = step["one"] or step["two"] or (step["quoted"] or "").replace('""', '"') or step["plain"]
+        steps.append(int(step["at"]) if step["at"] else name)
+        at = step.end()
+    if not steps:
+        raise ValueError("an empty path")
+    return steps
 
 
 def json_fields(
@@ -14,15 +43,22 @@ def json_fields(
 ) -> tuple[dict[str, str], dict[str, str]]:
     """Columns that parse the blob, and for each path the text that reads it from them.
 
-    A path names fields from the top, with dots between them; its value is the field's raw text, NULL
-    where the JSON is unreadable or has no such field. One ``from_json`` reads all paths. Only paths
-    that a struct cannot hold together (names that differ in case alone, or a path that leads on
-    through another one's value) are parsed by a further one.
+    A path leads from the top through names and subscripts, see ``json_steps``; its value is the
+    field's text, NULL where the JSON is unreadable or has no such field. One ``from_json`` reads all
+    paths of names. Only paths that a struct cannot hold together (names that differ in case alone, or
+    a path that leads on through another one's value) are parsed by a further one. If any path has a
+    subscript, all are read from one VARIANT instead, as elements of an array may differ in type; a
+    blob that repeats a name is unreadable then.
     """
     trees: list[dict] = []
     place: dict[str, int] = {}
-    for path in dict.fromkeys(paths):
-        steps = path.split(".")
+    found = {path: json_steps(path) for path in dict.fromkeys(paths)}
+    if any(isinstance(step, int) for steps in found.values() for step in steps):
+        return {f"{column}0": f"try_parse_json({metadata})"}, {
+            path: f"try_variant_get({column}0, {literal(_variant_path(steps))}, 'string')"
+            for path, steps in found.items()
+        }
+    for path, steps in found.items():
         at = next((i for i, tree in enumerate(trees) if _fits(tree, steps)), len(trees))
         if at == len(trees):
             trees.append({})
@@ -36,11 +72,22 @@ def json_fields(
         for i, tree in enumerate(trees)
     }
     read = {
-        path: ".".join([f"{column}{i}", *map(quoted, path.split("."))]) for path, i in place.items()
+        path: ".".join([f"{column}{i}", *map(quoted, found[path])]) for path, i in place.items()
     }
     return parsed, read
 
 
+def _variant_path(steps: list[str | int]) -> str:
+    """The path as VARIANT functions take it; these have no escapes inside quotes."""
+    text = "$"
+    for step in steps:
+        if isinstance(step, str) and "'" in step and '"' in step:
+            raise ValueError(f"a name with both quotes, beside a subscript: {step!r}")
+        mark = "" if isinstance(step, int) else '"' if "'" in step else "'"
+        text += f"[{mark}{step}{mark}]"
+    return text
+
+
 def _fits(tree: dict, steps: list[str]) -> bool:
     """Whether a path can be added to a tree of fields, in which None ends a path."""
     for i, step in enumerate(steps):
@@ -167,3 +214,58 @@ def ks_p_value(d: str, n1: str, n2: str) -> str:
         f"CASE WHEN {lam} < 0.2D THEN 1D"
         f" WHEN {lam} >= 0.2D THEN least(1D, greatest(0D, {series})) END"
     )
+
+
+# Degrees of freedom up to which the t quantile is solved for exactly.
+T_EXACT = 1000
+
+
+def t_quantile(level: float, freedom: str) -> str:
+    """Half width of the central interval that holds ``level`` of Student's t distribution.
+
+    ``freedom`` is a whole number; NULL where it is under 1. With t = sqrt(n) tan(a), the probability
+    within t is a finite series in the sine and cosine of a, concave in a, so Newton's steps from 0 rise to
+    the solution and never pass it. Above ``T_EXACT`` degrees of freedom, four terms of the expansion
+    around the normal quantile have 12 digits.
+    """
+    n = f"CAST({freedom} AS BIGINT)"
+    even = f"({n} % 2 = 0)"
+    # Terms after the first, and what leads from each to the next.
+    terms = f"CASE WHEN {even} THEN {n} DIV 2 - 1 ELSE ({n} - 3) DIV 2 END"
+    ratio = f"CASE WHEN {even} THEN (2D * k - 1) / (2D * k) ELSE 2D * k / (2D * k + 1) END"
+
+    def steps(count: str, name: str) -> str:
+        return f"filter(sequence(1L, greatest({count}, 1L)), {name} -> {name} <= {count})"
+
+    series = (
+        f"aggregate({steps(terms, 'j')}, named_struct('total', 1D, 'term', 1D),"
+        f" (s, k) -> named_struct('total', s.total + s.term * ({ratio}) * pow(cos(a.angle), 2),"
+        f" 'term', s.term * ({ratio}) * pow(cos(a.angle), 2))).total"
+    )
+    within = (
+        f"CASE WHEN {even} THEN sin(a.angle) * {series} WHEN {n} = 1 THEN 2 * a.angle / pi()"
+        f" ELSE 2 * (a.angle + sin(a.angle) * cos(a.angle) * {series}) / pi() END"
+    )
+    # Density at the centre, by its product form.
+    centre = (
+        f"CASE WHEN {even} THEN aggregate({steps(f'({n} DIV 2 - 1)', 'j')}, 0.5D,"
+        " (c, k) -> c * (2D * k + 1) / (2D * k))"
+        f" ELSE aggregate({steps(f'(({n} - 1) DIV 2)', 'j')}, 1 / pi(),"
+        " (c, k) -> c * (2D * k) / (2D * k - 1)) END"
+    )
+    solved = (
+        f"sqrt({n}) * tan(aggregate(sequence(1, 60), named_struct('angle', 0D, 'centre', {centre}),"
+        f" (a, i) -> named_struct('angle', a.angle + ({level!r}D - ({within}))"
+        f" / (2 * a.centre * pow(cos(a.angle), {n} - 1)), 'centre', a.centre)).angle)"
+    )
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    # Coefficients of the expansion in 1 / n.
+    expansion = (
+        z,
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    near = " + ".join(f"{c!r}D / pow({n}, {i})" for i, c in enumerate(expansion))
+    return f"CASE WHEN {n} BETWEEN 1 AND {T_EXACT} THEN {solved} WHEN {n} > {T_EXACT} THEN {near} END"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions import percent, standard_error, variance_explained
+from cohortlens.functions import percent, standard_error, t_quantile, variance_explained
 from cohortlens.operators.prefix import running_totals
 
 
@@ -106,10 +106,11 @@ def first_points(curve: DataFrame, n: int) -> DataFrame:
     return curve.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
-def linear_fit(curve: DataFrame, t_value: float) -> DataFrame:
+def linear_fit(curve: DataFrame, level: float = 0.95) -> DataFrame:
     """Straight-line fit of each curve: slope, intercept, residual sd and chi-square.
 
-    Chi-square divides the squared residuals by the squared variance of the points, as defined
+    ``t_value`` is the t quantile of the confidence ``level`` for the curve's own number of points less 2,
+    NULL for curves of up to two points. Chi-square divides the squared residuals by the squared variance of the points, as defined
     for this report.
     """
     x, y = "CAST(key AS DOUBLE)", "fit_mean"
@@ -134,12 +135,12 @@ def linear_fit(curve: DataFrame, t_value: float) -> DataFrame:
             "sqrt(try_divide(_residual, points - 2)) AS residual_sd",
             "chi_square",
             "try_divide(chi_square, points - 2) AS reduced_chi_square",
-            f"{float(t_value)!r}D AS t_value",
+            f"{t_quantile(level, 'points - 2')} AS t_value",
         )
     )
 
 
-def fit_bands(curve: DataFrame, t_value: float, points: int = 100) -> DataFrame:
+def fit_bands(curve: DataFrame, level: float = 0.95, points: int = 100) -> DataFrame:
     """Confidence and prediction bands of the fit at evenly spaced keys."""
     groups = ["measure", "cohort"]
     ends = curve.groupBy(*groups).agg(
@@ -147,7 +148,7 @@ def fit_bands(curve: DataFrame, t_value: float, points: int = 100) -> DataFrame:
     )
     # One row per curve on either side.
     return (
-        linear_fit(curve, t_value)
+        linear_fit(curve, level)
         .join(F.broadcast(ends), groups)
         .selectExpr("*", f"explode(sequence(0, {points - 1})) AS point")
         .selectExpr("*", f"_first + point * ((_last - _first) / {points - 1}) AS x")

@@ -318,13 +318,65 @@ def unit_norm(frequencies: DataFrame, profile: Profile) -> DataFrame:
     return scaled.selectExpr("metric", "cohort", "value / norm AS value", "n")
 
 
+# Samples up to this size get an exact p-value.
+EXACT_ROWS = 10_000
+
+
+def exact_p_values(found: DataFrame) -> DataFrame:
+    """Fill ``p`` where ``gap``, the distance times both sample sizes, is given.
+
+    Each order of the pooled values is equally likely, so a walk through them takes its next step from a
+    sample with the probability of its share in what is left. All walks go on together, one value at a
+    time; p is what leaves the band in which the distance stays under the one found. Only positive
+    numbers are added, so small p keep their digits. One row per test: its walk is a helper of a few
+    vectors, and tests are spread over tasks.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def outside(m: int, n: int, gap: int) -> float:
+            if not gap:
+                return 1.0
+            whole, left_band = m + n, 0.0
+            low, inside = 0, np.ones(1)  # by how many of the steps were of the first sample
+            for step in range(whole):
+                first = np.arange(low, low + len(inside))
+                ahead = np.zeros(len(inside) + 1)
+                ahead[:-1] = inside * ((n - step + first) / (whole - step))
+                ahead[1:] += inside * ((m - first) / (whole - step))
+                # The band of the next step, |i / m - j / n| < gap / (m n), in whole numbers.
+                centre = (step + 1) * m
+                start = max((centre - gap) // whole + 1, step + 1 - n, 0)
+                stop = min(-(-(centre + gap) // whole), step + 2, m + 1)
+                left_band += ahead[: start - low].sum() + ahead[max(stop - low, 0) :].sum()
+                low, inside = start, ahead[start - low : stop - low]
+                if not len(inside):
+                    break
+            return min(float(left_band), 1.0)
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n1", "n2", "gap", "p")]
+            p = [p if gap is None else outside(n1, n2, gap) for n1, n2, gap, p in zip(*columns, strict=True)]
+            at = batch.schema.get_field_index("p")
+            yield batch.set_column(at, "p", pa.array(p, pa.float64()))
+
+    return found.mapInArrow(run, found.schema)
+
+
 def ks_tests(
-    frequencies: DataFrame, profile: Profile, window_rows: int | None = None
+    frequencies: DataFrame,
+    profile: Profile,
+    window_rows: int | None = None,
+    exact_rows: int | None = None,
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov tests, one row per metric.
 
-    Is the distribution the same? Is its shape (after scaling each sample to unit norm)?
+    Is the distribution the same? Is its shape (after scaling each sample to unit norm)? ``method`` says
+    how p was found: exact if both samples have at most ``exact_rows`` values, else asymptotic.
     """
+    exact_rows = EXACT_ROWS if exact_rows is None else exact_rows
     both = ["metric", "variant"]
     ranges = profile.frame(frequencies).select("metric", "cohort", "norm")
     counts = (
@@ -339,6 +391,7 @@ def ks_tests(
         .groupBy(*both, "value")
         .agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
     )
+    small = f"least(n1, n2) > 0 AND greatest(n1, n2) <= {exact_rows}"
     running = running_totals(
         counts,
         both,
@@ -352,9 +405,15 @@ def ks_tests(
         running.drop("n1", "n2")
         .join(_sizes(frequencies, profile), "metric")
         .groupBy(*both, "n1", "n2")
-        .agg(F.expr("max(abs(try_divide(_f1, n1) - try_divide(_f2, n2)))").alias("d"))
+        .agg(
+            F.expr("max(abs(try_divide(_f1, n1) - try_divide(_f2, n2)))").alias("d"),
+            F.expr(f"max(IF({small}, abs(_f1 * n2 - _f2 * n1), NULL))").alias("gap"),
+        )
         .selectExpr("*", f"{ks_p_value('d', 'n1', 'n2')} AS p")
     )
+    # Whether any test can be exact is known from the profile, before anything runs.
+    if any(0 < row["size"] <= exact_rows for row in profile.rows):
+        found = exact_p_values(found)
     values = ("n1", "n2", "d", "p")
     shaped = [f"max(IF(variant = 'value', {c}, NULL)) AS {c}" for c in values]
     shaped += [f"max(IF(variant = 'shape', {c}, NULL)) AS shape_{c}" for c in ("d", "p")]
@@ -365,6 +424,7 @@ def ks_tests(
             *("metric", "n1", "n2", "d", "p AS p_value", "shape_d", "shape_p AS shape_p_value"),
             f"p >= {SIGNIFICANCE}D AS same_distribution",
             f"shape_p >= {SIGNIFICANCE}D AS same_shape",
+            f"CASE WHEN {small} THEN 'exact' WHEN p IS NOT NULL THEN 'asymptotic' END AS method",
         )
     )
 

@@ -186,21 +186,49 @@ def age_window(df: DataFrame, params: CompareParams) -> DataFrame:
     """Keep plays whose age lies between the limits of their cohort."""
     if not params.age_unit:
         return df
-    unit = params.age_unit.upper()
-    kind = _timestamp_type(df)
-    as_of = f"{kind}'{params.as_of}'" if params.as_of else f"CAST(current_date() AS {kind})"
-    old = age(unit, "created_at", as_of, params.age_boundary)
+    old = age(params.age_unit.upper(), "created_at", _as_of(df, params), params.age_boundary)
     lower, upper = (
         per_cohort(dict(zip(COHORTS, pair))) for pair in (params.age_lower, params.age_upper)
     )
     # A wider interval on the bare column, which the file scan can use.
-    earliest = f"timestampadd({unit}, {-(max(params.age_upper) + 2)}, {as_of})"
-    latest = f"timestampadd({unit}, {2 - min(params.age_lower)}, {as_of})"
+    earliest, latest = _age_limits(df, params)
     return df.filter(f"created_at BETWEEN {earliest} AND {latest}").filter(
         f"{old} BETWEEN {lower} AND {upper}"
     )
 
 
+def age_partitions(plays: DataFrame, params: CompareParams) -> DataFrame:
+    """Leave out months that no wanted age can be in, by the columns that the table is partitioned by.
+
+    The scan then lists only folders of these months. The limits are wider than the age window by two units
+    on either side, at least two days, so no time zone of the folders can matter. Tables without
+    ``yyyy`` are pruned by ``created_at`` instead, see ``age_window``.
+    """
+    if not params.age_unit or "yyyy" not in plays.columns:
+        return plays
+    earliest, latest = _age_limits(plays, params)
+    condition = f"CAST(yyyy AS INT) BETWEEN year({earliest}) AND year({latest})"
+    if "mm" in plays.columns:
+        month = "12 * CAST(yyyy AS INT) + CAST(mm AS INT)"
+        first, last = (f"12 * year({end}) + month({end})" for end in (earliest, latest))
+        condition += f" AND {month} BETWEEN {first} AND {last}"
+    return plays.filter(condition)
+
+
+def _age_limits(df: DataFrame, params: CompareParams) -> tuple[str, str]:
+    """Times between which all wanted plays lie, as constants for the file scan."""
+    unit, as_of = params.age_unit.upper(), _as_of(df, params)
+    return (
+        f"timestampadd({unit}, {-(max(params.age_upper) + 2)}, {as_of})",
+        f"timestampadd({unit}, {2 - min(params.age_lower)}, {as_of})",
+    )
+
+
+def _as_of(df: DataFrame, params: CompareParams) -> str:
+    kind = _timestamp_type(df)
+    return f"{kind}'{params.as_of}'" if params.as_of else f"CAST(current_date() AS {kind})"
+
+
 def version_filter(df: DataFrame, params: CompareParams) -> DataFrame:
     """Keep the chosen version of each cohort; a cohort without one keeps all its rows."""
     for cohort, version in zip(COHORTS, params.versions):
@@ -257,7 +285,7 @@ def select_cohorts(
 ) -> DataFrame:
     """Both cohorts, in one frame. Users are counted first, and the counts set aside."""
     users = count_users(plays, params, materialise) if users is None else users
-    tagged = extract_fields(tag_cohorts(plays, params), params)
+    tagged = extract_fields(tag_cohorts(age_partitions(plays, params), params), params)
     active = active_users(tagged, users, params.min_plays)
     kept = exclude_users(active, users, plays, params)
     chosen = version_filter(age_window(kept, params), params)

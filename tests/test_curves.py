@@ -103,24 +103,35 @@ def test_no_trims(spark):
 def test_linear_fit(spark):
     df = sessions(spark, [(1, k, v, 1, 0.0) for k, v in [(1, 2), (2, 3), (3, 5), (4, 4)]])
     points = cv.curves(df, "session_count", ["session_level"])
-    fit = cv.linear_fit(points, 2.0).first()
+    fit = cv.linear_fit(points, 0.95).first()
     assert fit["slope"] == pytest.approx(0.8) and fit["intercept"] == pytest.approx(1.5)
     residuals = [y - (1.5 + 0.8 * x) for x, y in [(1, 2), (2, 3), (3, 5), (4, 4)]]
     squares = sum(r * r for r in residuals)
     assert fit["residual_sd"] == pytest.approx(math.sqrt(squares / 2))
     assert fit["chi_square"] == pytest.approx(squares / 1.25**2)
     assert fit["reduced_chi_square"] == pytest.approx(squares / 1.25**2 / 2)
-    bands = cv.fit_bands(points, 2.0, points=4).orderBy("point").collect()
+    t = fit["t_value"]
+    assert t == pytest.approx(4.302652729749462, rel=1e-12)
+    bands = cv.fit_bands(points, 0.95, points=4).orderBy("point").collect()
     assert [b["x"] for b in bands] == [1, 2, 3, 4]
     for b in bands:
         spread = 0.25 + (b["x"] - 2.5) ** 2 / 5
-        half = 2 * fit["residual_sd"] * math.sqrt(spread)
+        half = t * fit["residual_sd"] * math.sqrt(spread)
         assert b["confidence_hi"] - b["fitted"] == pytest.approx(half)
-        wide = 2 * fit["residual_sd"] * math.sqrt(1 + spread)
+        wide = t * fit["residual_sd"] * math.sqrt(1 + spread)
         assert b["fitted"] - b["prediction_lo"] == pytest.approx(wide)
 
 
 def test_fit_of_two_points_has_no_spread(spark):
     df = sessions(spark, [(1, 1, 2, 1, 0.0), (1, 2, 3, 1, 0.0)])
-    fit = cv.linear_fit(cv.curves(df, "session_count", ["session_level"]), 2.0).first()
-    assert fit["residual_sd"] is None and fit["slope"] == pytest.approx(1)
+    fit = cv.linear_fit(cv.curves(df, "session_count", ["session_level"])).first()
+    assert fit["residual_sd"] is None and fit["t_value"] is None and fit["slope"] == pytest.approx(1)
+
+
+def test_each_curve_has_the_quantile_of_its_own_length(spark):
+    rows = [(1, k, k % 3, 1, 0.0) for k in range(1, 6)] + [(2, k, k % 4, 2, 0.0) for k in range(1, 13)]
+    points = cv.curves(sessions(spark, rows), "session_count", ["session_level"])
+    found = {r["points"]: r["t_value"] for r in cv.linear_fit(points, 0.99).collect()}
+    assert found == {
+        5: pytest.approx(5.840909309733355, rel=1e-12), 12: pytest.approx(3.169272672616951, rel=1e-12)
+    }

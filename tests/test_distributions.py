@@ -1,4 +1,5 @@
 import bisect
+import itertools
 import math
 import random
 from dataclasses import replace
@@ -211,3 +212,56 @@ def test_constant_percent_is_not_drawn(spark):
 def test_shape_of_zeros(spark):
     found = test_of(spark, [0, 0, 0], [0, 0])
     assert found["shape_d"] == 0
+
+
+def enumerated(first, second):
+    """Share of all orders of the pooled places whose distance is that of the samples or more."""
+    m, n, d = len(first), len(second), distance(first, second)
+    far = total = 0
+    for chosen in itertools.combinations(range(m + n), m):
+        i = j = 0
+        most = 0.0
+        for place in range(m + n):
+            i, j = (i + 1, j) if place in chosen else (i, j + 1)
+            most = max(most, abs(i / m - j / n))
+        far, total = far + (most >= d - 1e-12), total + 1
+    return far / total
+
+
+@pytest.mark.parametrize(
+    "first, second",
+    [
+        ([1, 2, 3, 4, 5], [4, 5, 6, 7, 8, 9]),
+        ([1], [2]),
+        ([1, 2], [1, 2, 3, 4, 5, 6]),
+        ([1, 1, 2, 2, 9, 9, 9], [2, 2, 3, 3, 4]),
+        ([1, 2, 3, 4, 5, 6], [7, 8, 9, 10, 11, 12]),
+    ],
+)
+def test_exact_p_of_small_samples(spark, first, second):
+    found = test_of(spark, first, second)
+    assert found["method"] == "exact"
+    assert found["p_value"] == pytest.approx(enumerated(first, second), rel=1e-12)
+
+
+def test_exact_p_of_known_cases(spark):
+    """Samples that do not overlap: 2 / C(2 n, n), however small that is."""
+    n = 60
+    found = test_of(spark, range(1, n + 1), range(n + 1, 2 * n + 1))
+    assert found["p_value"] == pytest.approx(2 / math.comb(2 * n, n), rel=1e-10)
+
+
+def test_methods_meet(spark):
+    """Where samples grow, both ways come near each other; the larger sample decides."""
+    first, second = [k * 1.03 for k in range(400)], list(range(300))
+    counted = frequencies(spark, first, second)
+    profile = ds.Profile.of(counted)
+    exact = ds.ks_tests(counted, profile, exact_rows=400).first()
+    series = ds.ks_tests(counted, profile, exact_rows=399).first()
+    assert (exact["method"], series["method"]) == ("exact", "asymptotic")
+    assert exact["d"] == series["d"] and exact["p_value"] == pytest.approx(series["p_value"], abs=0.01)
+
+
+def test_no_method_without_a_sample(spark):
+    found = test_of(spark, [1, 2], [])
+    assert (found["p_value"], found["method"]) == (None, None)

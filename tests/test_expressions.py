@@ -5,9 +5,11 @@ import pytest
 from cohortlens.functions import (
     age,
     json_fields,
+    json_steps,
     ks_p_value,
     number,
     percent,
+    t_quantile,
     to_number,
     variance_explained,
     whole_number,
@@ -123,3 +125,94 @@ def test_ks_p_value(spark):
     series = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 101))
     assert value(spark, ks_p_value("0.25D", "50L", "60L")) == pytest.approx(series)
     assert value(spark, ks_p_value("CAST(NULL AS DOUBLE)", "5L", "6L")) is None
+
+
+@pytest.mark.parametrize(
+    "level, freedom, expected",
+    [
+        (0.95, 1, 12.706204736174698),
+        (0.95, 2, 4.302652729749462),
+        (0.95, 3, 3.182446305283708),
+        (0.95, 4, 2.776445105197793),
+        (0.95, 8, 2.306004135204166),
+        (0.95, 9, 2.262157162798205),
+        (0.95, 10, 2.228138851986274),
+        (0.95, 30, 2.042272456301238),
+        (0.95, 120, 1.979930405082441),
+        (0.95, 1000, 1.9623390808264085),
+        (0.99, 1, 63.656741162871526),
+        (0.99, 5, 4.032142983555228),
+        (0.5, 1, 1.0),
+        (0.5, 2, 0.816496580927726),
+        (0.95, 0, None),
+        (0.95, -1, None),
+        (0.95, "NULL", None),
+    ],
+)
+def test_t_quantile_of_tables(spark, level, freedom, expected):
+    found = value(spark, t_quantile(level, f"CAST({freedom} AS INT)"))
+    assert found == (expected and pytest.approx(expected, rel=1e-12))
+
+
+def test_t_quantile_meets_its_expansion(spark):
+    """Both ways agree where they meet, and end at the normal quantile."""
+    for level, normal in ((0.8, 1.2815515655446004), (0.95, 1.959963984540054), (0.9999, 3.890591886413094)):
+        rows = spark.range(998, 1004).selectExpr(f"{t_quantile(level, 'id')} AS t").collect()
+        steps = [a.t - b.t for a, b in zip(rows, rows[1:])]
+        assert all(step > 0 for step in steps)
+        assert steps[2] == pytest.approx(steps[1], rel=3e-3)  # from the solution to the expansion
+        assert value(spark, t_quantile(level, "CAST(1e15 AS BIGINT)")) == pytest.approx(normal, rel=1e-14)
+
+
+def test_t_quantile_of_far_levels(spark):
+    """Two degrees of freedom have a closed form."""
+    for level in (1e-6, 0.3, 0.999, 0.9999999):
+        tail = 1 - level
+        exact = level * math.sqrt(2 / (tail * (2 - tail)))
+        assert value(spark, t_quantile(level, "2")) == pytest.approx(exact, rel=1e-9)
+
+
+@pytest.mark.parametrize(
+    "path, steps",
+    [
+        ("num_correct", ["num_correct"]),
+        ("summary.num correct", ["summary", "num correct"]),
+        ("items[0].x", ["items", 0, "x"]),
+        ("items[10][2]", ["items", 10, 2]),
+        ('"a.b".c', ["a.b", "c"]),
+        ('a."b ""quoted"""', ["a", 'b "quoted"']),
+        ("['a.b'][\"c]\"]", ["a.b", "c]"]),
+        ("[3].x", [3, "x"]),
+    ],
+)
+def test_json_steps(path, steps):
+    assert json_steps(path) == steps
+
+
+@pytest.mark.parametrize("path", ["", ".", "a.", "a..b", ".a", "a[", "a[x]", "a[-1]", 'a"b"', "a]b", 'a."b'])
+def test_paths_that_are_none(path):
+    with pytest.raises(ValueError):
+        json_fields("m", [path])
+
+
+def test_json_arrays_of_mixed_elements(spark):
+    paths = ["items[0].x", "items[1]", "items[2][1]", '"a.b"."c d"', "it's[0]", "s"]
+    parsed, read = json_fields("m", paths)
+    assert list(parsed.values()) == ["try_parse_json(m)"]  # one parse for all paths
+    blobs = [
+        '{"items": [{"x": 1.50}, 7, [1, "z"]], "a.b": {"c d": true}, "it\'s": ["q"], "s": {"k": 1}}',
+        '{"items": {"x": 1}, "a.b": 3, "s": null}', '{"Items": [{"x": 1}]}', "[1, 2]", "no json", None,
+    ]
+    df = spark.createDataFrame([(b,) for b in blobs], "m string")
+    df = df.selectExpr(*(f"{text} AS {name}" for name, text in parsed.items()))
+    rows = [tuple(r) for r in df.selectExpr(*(f"{read[p]} AS c{i}" for i, p in enumerate(paths))).collect()]
+    assert rows[0] == ("1.5", "7", "z", "true", "q", '{"k":1}')
+    assert set(rows[1:]) == {(None,) * 6}
+
+
+def test_json_quoted_names_share_a_parse(spark):
+    parsed, read = json_fields("m", ['"a.b".c', "a.b", "['a.b'].d"])
+    assert len(parsed) == 1
+    df = spark.sql("""SELECT '{"a.b": {"c": 1.50, "d": "x"}, "a": {"b": 2}}' AS m""")
+    df = df.selectExpr(*(f"{text} AS {name}" for name, text in parsed.items()))
+    assert tuple(df.selectExpr(*(f"{t} AS c{i}" for i, t in enumerate(read.values()))).first()) == ("1.5", "2", "x")

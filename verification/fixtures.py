@@ -75,6 +75,23 @@ def nested_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The blob of ``listed_plays``, the same in both engines but for the function that writes an object.
+LISTED = """concat('{{"items": [', {first}, ', 7, {{"x": {{"y z": ', coalesce('"' || numtries || '"', 'null'),
+      '}}}}], "play.time": ', {time}, '}}')"""
+
+
+def listed_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw form with fields in an array of mixed elements, and names that hold a dot and a blank."""
+    blob = LISTED.format(
+        first="to_json(named_struct('x', numcorrect))", time="to_json(named_struct('in ms', playtime))"
+    )
+    return plays(spark, sf_dir).selectExpr(
+        *("game_result_id", "user_id", "game_id", "created_at", "event_created_at"),
+        *("user_level", "session_level", "score"),
+        f"{blob} as metadata",
+    )
+
+
 def plays_with_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores that are no numbers, as a division elsewhere may leave them."""
     return plays(spark, sf_dir).selectExpr(

@@ -6,7 +6,7 @@ KS distance a window over distinct values, so a shared mistake would have to be
 
 from __future__ import annotations
 
-from verification.fixtures import DATED, GAMES, PLAYS_DUCKDB
+from verification.fixtures import DATED, GAMES, LISTED, PLAYS_DUCKDB
 
 ORACLES: dict[str, str] = {}
 
@@ -89,6 +89,18 @@ ORACLES["nested_labels"] = f"""WITH {PLAYS},
       {_NESTED(_path('summary.num_tries'), _path('summary.num_correct'), 'numtries')},
       {_NESTED(_path('playTime'), _path('playtime'), 'playtime')}
     FROM blobs"""
+_LISTED = LISTED.format(
+    first="json_object('x', numcorrect)", time="json_object('in ms', playtime)"
+)
+ORACLES["json_paths"] = f"""WITH {PLAYS},
+    blobs AS (SELECT game_id, game_result_id, {_LISTED} AS blob FROM plays WHERE game_id IN (1, 2))
+    SELECT game_id AS cohort, game_result_id,
+      {_NESTED(_path('items[0].x'), _path('items[2].x."y z"'), 'numcorrect')},
+      {_NESTED(_path('items[2].x."y z"'), _path('items[0].x'), 'numtries')},
+      {_NESTED(_path('"play.time"."in ms"'), _path('items[1]'), 'playtime')}
+    FROM blobs"""
+ORACLES["json_quoted_names"] = f"""WITH {PLAYS}
+    SELECT game_id AS cohort, game_result_id, playtime FROM plays WHERE game_id IN (1, 2)"""
 ORACLES["selected_level"] = f"""WITH {PLAYS}
     SELECT game_id AS cohort, game_result_id, selected_level AS session_level
     FROM plays WHERE game_id IN (1, 2)"""
@@ -161,6 +173,7 @@ ORACLES["age_in_months"] = counted(
         (f"{_MONTHS} BETWEEN 2 AND 30", f"{_MONTHS} BETWEEN 0 AND 40"),
     )
 )
+ORACLES["age_in_partitions"] = ORACLES["age_in_months"]
 ORACLES["active_users"] = ORACLES["active_users_with_hot_keys"] = counted(selected(12))
 
 
@@ -482,15 +495,27 @@ KS = """scaled AS (SELECT k.metric, k.cohort, variant,
       sum(c2) OVER (PARTITION BY metric, variant) AS n2
       FROM counts WINDOW w AS (PARTITION BY metric, variant ORDER BY value)),
     gaps AS (SELECT metric, variant, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
-      max(abs(f1 / n1 - f2 / n2)) AS d FROM cdf GROUP BY ALL),
+      max(abs(f1 / n1 - f2 / n2)) AS d, max(abs(f1 * n2 - f2 * n1)) AS gap FROM cdf GROUP BY ALL),
+    walk AS (SELECT metric, variant, n1, n2, gap, 0 AS s,
+        [CASE WHEN gap > 0 AND i = 0 THEN 1.0::DOUBLE ELSE 0 END for i in range(n1 + 1)] AS inside
+      FROM gaps WHERE least(n1, n2) > 0 AND greatest(n1, n2) <= 10000
+      UNION ALL SELECT metric, variant, n1, n2, gap, s + 1,
+        [CASE WHEN s + 1 - i BETWEEN 0 AND n2 AND abs(i * n2 - (s + 1 - i) * n1) < gap
+          THEN inside[i + 1] * (n2 - (s - i)) / (n1 + n2 - s)
+            + CASE WHEN i > 0 THEN inside[i] * (n1 - i + 1) / (n1 + n2 - s) ELSE 0 END
+          ELSE 0 END for i in range(n1 + 1)]
+      FROM walk WHERE s < n1 + n2),
+    exact AS (SELECT metric, variant, greatest(0, 1 - inside[n1 + 1]) AS exact_p FROM walk WHERE s = n1 + n2),
     lambdas AS (SELECT *, sqrt(n1 * n2 / (n1 + n2)) AS en FROM gaps),
     ps AS (SELECT *, (en + 0.12 + 0.11 / en) * d AS lam FROM lambdas),
-    probabilities AS (SELECT *, CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0,
+    probabilities AS (SELECT *, CASE WHEN exact_p IS NOT NULL THEN exact_p WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0,
       2 * list_sum(list_transform(range(1, 101), lambda k:
-        (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * lam * lam))))) END AS p
-      FROM ps),
+        (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * lam * lam))))) END AS p,
+      CASE WHEN exact_p IS NOT NULL THEN 'exact' ELSE 'asymptotic' END AS method
+      FROM ps LEFT JOIN exact USING (metric, variant)),
     tests AS (SELECT v.metric, v.n1, v.n2, v.d, v.p AS p_value, s.d AS shape_d,
-      s.p AS shape_p_value, v.p >= 0.05 AS same_distribution, s.p >= 0.05 AS same_shape
+      s.p AS shape_p_value, v.p >= 0.05 AS same_distribution, s.p >= 0.05 AS same_shape,
+      v.method
       FROM probabilities v JOIN probabilities s ON v.metric = s.metric
         AND v.variant = 'value' AND s.variant = 'shape')"""
 
@@ -505,11 +530,11 @@ _SUMMARY_OUTPUT = (
 )
 _TEST_OUTPUT = (
     f"n1, n2, {r('d')}, {r('p_value')}, {r('shape_d')}, {r('shape_p_value')},"
-    " same_distribution, same_shape"
+    " same_distribution, same_shape, method"
 )
 
 for _name in VALUES:
-    ORACLES[_name] = f"""WITH {SESSIONS}, {values([_name])}, {HISTOGRAMS}, {KS}
+    ORACLES[_name] = f"""WITH RECURSIVE {SESSIONS}, {values([_name])}, {HISTOGRAMS}, {KS}
     SELECT {_HISTOGRAM_OUTPUT}, {_SUMMARY_OUTPUT.replace('coalesce(size, 0)', 'size')},
       {_TEST_OUTPUT}
     FROM histograms h JOIN limits l USING (metric, cohort) JOIN tests t USING (metric)"""
@@ -519,12 +544,13 @@ ORACLES["distribution_summaries"] = f"""WITH {SESSIONS}, {values(VALUES)}
     FROM limits LEFT JOIN sizes USING (metric, cohort)"""
 ORACLES["distribution_histograms"] = f"""WITH {SESSIONS}, {values(VALUES)}, {HISTOGRAMS}
     SELECT {_HISTOGRAM_OUTPUT} FROM histograms h"""
-ORACLES["distribution_tests"] = f"""WITH {SESSIONS}, {values(VALUES)}, {KS}
+ORACLES["distribution_tests"] = f"""WITH RECURSIVE {SESSIONS}, {values(VALUES)}, {KS}
     SELECT metric, {_TEST_OUTPUT} FROM tests"""
-ORACLES["score_tests_sliced"] = f"""WITH {SESSIONS},
+ORACLES["score_tests_sliced"] = f"""WITH RECURSIVE {SESSIONS},
     {values(['score_per_user']).replace('value < cutoff', 'true')}, {KS}
     SELECT metric, {_TEST_OUTPUT} FROM tests"""
-ORACLES["comparison_tests"] = f"""WITH {SESSIONS},
+ORACLES["score_tests_asymptotic"] = ORACLES["score_tests_sliced"].replace("<= 10000", "<= 1")
+ORACLES["comparison_tests"] = f"""WITH RECURSIVE {SESSIONS},
     {values(['plays_per_user', 'score_per_user'])}, {KS} SELECT metric, {_TEST_OUTPUT} FROM tests"""
 ORACLES["constant_percent_left_out"] = f"""WITH {SESSIONS},
     users AS (SELECT cohort, avg(numtries) AS value FROM sessions GROUP BY cohort, user_id),
@@ -632,20 +658,26 @@ _FITS = f"""lines AS (
       sum(key * key) - count(*) * avg(key) * avg(key) AS sxx FROM lines GROUP BY 1, 2),
     residuals AS (SELECT measure, cohort, sum(pow(fit - intercept - slope * key, 2)) AS rss
       FROM lines JOIN coefficients USING (measure, cohort) GROUP BY 1, 2)"""
-ORACLES["linear_fits"] = f"""WITH {SESSIONS}, {_FITS}
+# Published quantiles of Student's t at 0.975 for 1 to 10 degrees of freedom.
+_TABLED = """tabled AS (SELECT * FROM (VALUES (1, 12.706204736174698), (2, 4.302652729749462),
+      (3, 3.182446305283708), (4, 2.776445105197793), (5, 2.570581835636314), (6, 2.446911851144969),
+      (7, 2.364624251592785), (8, 2.306004135204166), (9, 2.262157162798205), (10, 2.228138851986274))
+      AS t(freedom, t_value))"""
+ORACLES["linear_fits"] = f"""WITH {SESSIONS}, {_FITS}, {_TABLED}
     SELECT measure, cohort, points, {r('slope')}, {r('intercept')}, {r('mean_x')}, {r('sxx')},
       {r('sqrt(rss / (points - 2))', 'residual_sd')},
       {r('rss / (variance * variance)', 'chi_square')},
-      {r('rss / (variance * variance) / (points - 2)', 'reduced_chi_square')}, 1.86 AS t_value
-    FROM coefficients JOIN residuals USING (measure, cohort)"""
-ORACLES["linear_fit_bands"] = f"""WITH {SESSIONS}, {_FITS},
+      {r('rss / (variance * variance) / (points - 2)', 'reduced_chi_square')}, {r('t_value')}
+    FROM coefficients JOIN residuals USING (measure, cohort) LEFT JOIN tabled ON freedom = points - 2"""
+ORACLES["linear_fit_bands"] = f"""WITH {SESSIONS}, {_FITS}, {_TABLED},
     ends AS (SELECT measure, cohort, min(key) AS a, max(key) AS b FROM lines GROUP BY 1, 2),
     xs AS (SELECT *, a + point * ((b - a) / 99) AS x
       FROM ends, (SELECT unnest(range(100)) AS point)),
     bands AS (SELECT *, intercept + slope * x AS fitted,
       1 / points + (x - mean_x) * (x - mean_x) / sxx AS h,
-      1.86 * sqrt(rss / (points - 2)) AS w
-      FROM xs JOIN coefficients USING (measure, cohort) JOIN residuals USING (measure, cohort))
+      t_value * sqrt(rss / (points - 2)) AS w
+      FROM xs JOIN coefficients USING (measure, cohort) JOIN residuals USING (measure, cohort)
+      LEFT JOIN tabled ON freedom = points - 2)
     SELECT measure, cohort, point, {r('x')}, {r('fitted')},
       {r('fitted - w * sqrt(h)', 'confidence_lo')}, {r('fitted + w * sqrt(h)', 'confidence_hi')},
       {r('fitted - w * sqrt(1 + h)', 'prediction_lo')},

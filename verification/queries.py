@@ -243,6 +243,30 @@ def nested_labels(spark, sf_dir):
     return tidy(fields.select("cohort", "game_result_id", "numcorrect", "numtries", "playtime"))
 
 
+@query
+def json_paths(spark, sf_dir):
+    """Subscripts and quoted names; the elements of the array are of two types."""
+    params = replace(
+        BASE,
+        correct_label=("items[0].x", 'items[2].x["y z"]'),
+        tries_label=('items[2]."x"."y z"', "items[0]['x']"),
+        playtime_label=('"play.time"."in ms"', "items[1]"),
+    )
+    raw = fx.listed_plays(spark, sf_dir)
+    fields = sl.extract_fields(sl.tag_cohorts(raw, params), params)
+    return tidy(fields.select("cohort", "game_result_id", "numcorrect", "numtries", "playtime"))
+
+
+@query
+def json_quoted_names(spark, sf_dir):
+    """Names that hold a dot and a blank, without subscripts."""
+    names = ('"play.time"."in ms"', "['play.time']['in ms']")
+    params = replace(BASE, playtime_label=names)
+    raw = fx.listed_plays(spark, sf_dir)
+    fields = sl.extract_fields(sl.tag_cohorts(raw, params), params)
+    return tidy(fields.select("cohort", "game_result_id", "playtime"))
+
+
 @query
 def selected_level(spark, sf_dir):
     raw = fx.raw_plays(spark, sf_dir)
@@ -286,6 +310,17 @@ def month_comparison(spark, sf_dir):
     return _counted(sl.select_cohorts(fx.dated(spark, sf_dir), params))
 
 
+@query
+def age_in_partitions(spark, sf_dir):
+    """The same window over a table that is partitioned by year and month: few folders are read."""
+    as_of = datetime.date(1998, 8, 31)
+    params = replace(DATED, age_unit="month", age_lower=(2, 0), age_upper=(30, 40), as_of=as_of)
+    path = folder(spark, "dated")
+    spread = fx.dated(spark, sf_dir).repartition("yyyy", "mm")
+    spread.write.partitionBy("yyyy", "mm").parquet(path)
+    return _counted(sl.select_cohorts(tables.read_plays(spark, path), params))
+
+
 @query
 def overlapping_months(spark, sf_dir):
     params = replace(DATED, game_ids=(11, 11), months=(5, 5), years=(1997,), min_plays=1)
@@ -611,6 +646,17 @@ def score_tests_sliced(spark, sf_dir):
     return tidy(ds.ks_tests(staged, ds.Profile.of(staged), window_rows=0))
 
 
+@query
+def score_tests_asymptotic(spark, sf_dir):
+    """As if the samples were too large for an exact p-value."""
+    users = ds.per_user(_staged_sessions(spark, sf_dir), ["score"])
+    values = ds.user_values(users, {"score_per_user": "score"})
+    cuts = {"score_per_user": ds.Cut()}
+    summary = ds.with_cutoff(users, {"score_per_user": "score"}, cuts)
+    staged = workspace(spark).table(ds.user_frequencies(values, summary, cuts))
+    return tidy(ds.ks_tests(staged, ds.Profile.of(staged), exact_rows=1))
+
+
 @query
 def constant_percent_left_out(spark, sf_dir):
     """With as many correct as tries, percent per user is the same for all and gets no test."""
@@ -677,7 +723,7 @@ def linear_fits(spark, sf_dir):
     points = cv.curves(
         _staged_sessions(spark, sf_dir), "session_level", ["numcorrect", "score"]
     )
-    return tidy(cv.linear_fit(points, 1.86))
+    return tidy(cv.linear_fit(points, 0.95))
 
 
 @query
@@ -685,7 +731,7 @@ def linear_fit_bands(spark, sf_dir):
     points = cv.curves(
         _staged_sessions(spark, sf_dir), "session_level", ["numcorrect", "score"]
     )
-    return tidy(cv.fit_bands(points, 1.86))
+    return tidy(cv.fit_bands(points, 0.95))
 
 
 # --- users over sessions ---------------------------------------------------------------------
