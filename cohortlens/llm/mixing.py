@@ -19,6 +19,8 @@ WEIGHTS = (5, 2, 1)
 SEED = 17
 # Seeded order is summed in so many parts per source, so no task sums up a whole source.
 PARTS = 4096
+# Equal rows are counted in so many entries at most.
+SPREAD = 64
 
 
 def words(text: Column) -> Column:
@@ -70,23 +72,22 @@ def targets(
     )
 
 
-def mixed(
+def planned(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
 ) -> DataFrame:
-    """What the mix takes of each document: ``taken`` words, a whole multiple of its size.
+    """How often the mix takes documents: of ``n`` equal rows all ``times`` times, ``more`` of them once more.
 
-    Every document is taken as often as the target holds its source in full. For the rest, documents
-    in the order of their seeded lot are taken once more while half of the next one still fits, and
-    then the one document is added or left out that brings the sum nearest to the target. Null
-    sources form one source. Documents without words take part with size 0; an empty table
-    gives no rows. Rows that are equal in id and text have the same lot, and any order among them
-    gives the same sums.
+    Rows that are equal in source, id and text are counted before anything else, and are one entry, or up to
+    ``SPREAD`` entries if there are many, so they never meet as rows.
     """
-    rows = staged(measured(docs, seed))
-    parts = staged(rows.groupBy("source", "part").agg(F.sum("size").alias("words")))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")
+    rows = measured(docs, seed).withColumn("salt", salt)
+    equal = ("doc_id", "source", "size", "lot", "text_hash", "part", "salt")
+    entries = staged(rows.groupBy(*equal).agg(F.count("*").alias("n")))
+    parts = staged(entries.groupBy("source", "part").agg(F.sum(F.col("size") * F.col("n")).alias("words")))
     goals = targets(
         parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs
     )
@@ -102,42 +103,83 @@ def mixed(
     plan = staged(plan.select("*", times.alias("times"))).select(
         "*", (F.col("target") - F.col("times") * F.col("source_size")).alias("rest")
     )
-    taken_before = F.sum("size").over(
-        Window.partitionBy("of", "slice")
-        .orderBy("lot", "doc_id", "size")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    ) - F.col("size")
-    once_more = F.col("before") + F.col("sum_before") + F.col("size") / 2 <= F.col("rest")
+    taken_before = F.coalesce(
+        F.sum(F.col("size") * F.col("n")).over(
+            Window.partitionBy("of", "slice")
+            .orderBy("lot", "doc_id", "size", "salt")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        ),
+        F.lit(0),
+    )
+    start = F.col("before") + F.col("sum_before")
+    fits = start + F.col("size") / 2 <= F.col("rest")
+    # Of equal rows those are taken of which half still fits, one after the other.
+    many = F.floor(F.try_divide(F.col("rest") - start, F.col("size")) - 0.5) + 1
+    more = (
+        F.when(~fits | (F.col("times") >= max_epochs), F.lit(0))
+        .when((F.col("n") == 1) | (F.col("size") == 0), F.col("n"))
+        .otherwise(F.greatest(F.lit(1), F.least(F.col("n"), many)))
+    )
     chosen = staged(
-        rows.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("slice")))
+        entries.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("slice")))
         .withColumn("sum_before", taken_before)
         .select(
-            "doc_id", "source", "size", "lot", "text_hash", "source_size", "target", "times", "rest",
-            once_more.alias("once_more"),
+            "doc_id", "source", "size", "lot", "text_hash", "salt", "n", "source_size", "target", "times", "rest",
+            more.cast("long").alias("more"),
         )
     )
-    # What the choice misses the rest by, and the document whose change mends that best.
+    # What the choice misses the rest by, and the one document whose change mends that best.
     missed = chosen.groupBy("source").agg(
-        (F.first("rest") - F.sum(F.when(F.col("once_more"), F.col("size")).otherwise(0))).alias("missed")
+        (F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("missed")
     )
     missed = lookup(staged(missed.select(F.col("source").alias("of"), "missed")))
-    change = F.when(F.col("once_more"), -F.col("size")).otherwise(F.col("size"))
-    gap = F.abs(F.col("missed") - change)
+    ways = F.array(
+        F.when(F.col("more") > 0, F.lit(-1)),
+        F.when((F.col("more") < F.col("n")) & (F.col("times") < max_epochs), F.lit(1)),
+    )
+    gap = F.abs(F.col("missed") - F.col("way") * F.col("size"))
     best = (
-        chosen.join(missed, F.col("source").eqNullSafe(F.col("of")))
+        chosen.withColumn("way", F.explode(F.array_compact(ways)))
+        .join(missed, F.col("source").eqNullSafe(F.col("of")))
         .where(gap < F.abs("missed"))
         .groupBy("of")
-        .agg(F.min(F.struct(gap.alias("gap"), "lot", "doc_id", "size")).alias("best"))
+        .agg(F.min(F.struct(gap.alias("gap"), "lot", "doc_id", "size", "salt", "way")).alias("best"))
     )
-    best = lookup(staged(best.select("of", "best.lot", "best.doc_id", "best.size")).toDF("of", "l", "d", "s"))
+    names = ("of", "l", "d", "s", "t", "way")
+    fields = ("lot", "doc_id", "size", "salt", "way")
+    best = lookup(staged(best.select("of", *(f"best.{f}" for f in fields)).toDF(*names)))
     mended = (
         F.col("source").eqNullSafe(F.col("of"))
         & (F.col("lot") == F.col("l"))
         & F.col("doc_id").eqNullSafe(F.col("d"))
         & (F.col("size") == F.col("s"))
+        & (F.col("salt") == F.col("t"))
     )
-    repeats = F.col("times") + (F.col("once_more") != F.col("l").isNotNull()).cast("int")
     return chosen.join(best, mended, "left").select(
+        "doc_id", "size", "source_size", "target", "text_hash", "lot", "salt", "n", "times",
+        (F.col("more") + F.coalesce("way", F.lit(0))).alias("more"),
+    )
+
+
+def mixed(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    seed: int = SEED,
+) -> DataFrame:
+    """What the mix takes of each document: ``taken`` words, a whole multiple of its size.
+
+    Every document is taken as often as the target holds its source in full. For the rest, documents
+    in the order of their seeded lot are taken once more while half of the next one still fits, and
+    then the one document is added or left out that brings the sum nearest to the target. Null
+    sources form one source. Documents without words take part with size 0; an empty table
+    gives no rows. Rows that are equal in id and text have the same lot; as many of them are taken
+    once more as fit, and one alone is added or left out. Columns other than id, text and source are not
+    looked at.
+    """
+    entries = planned(docs, weights, max_epochs, seed).repartition("lot", "salt")
+    repeats = F.col("times") + (F.col("place") <= F.col("more")).cast("int")
+    return entries.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("n")))).select(
         "doc_id",
         "size",
         "source_size",
@@ -150,7 +192,8 @@ def mixed(
 
 def repetitions(docs: DataFrame) -> DataFrame:
     """How often the mix takes each ``doc_id`` and ``text_hash``, rows that are equal in both together."""
-    return mixed(docs).groupBy("doc_id", "text_hash").agg(F.sum("repeats").cast("int").alias("repeats"))
+    taken = F.sum(F.col("n") * F.col("times") + F.col("more")).cast("int")
+    return planned(docs).groupBy("doc_id", "text_hash").agg(taken.alias("repeats"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,28 @@ def test_an_empty_source_gets_nothing(spark):
     }
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_one_of_many_equal_rows_is_switched(spark, size):
+    """Equal rows are one entry, but each is taken or left by itself."""
+    rows = [(5, "w " * size, "a")] * 200 + [(i, "w " * 101, "a") for i in range(10, 20)]
+    rows += [(i, "w " * 97, "b") for i in range(30, 39)] + [(None, "x y", "c")] * 300
+    found = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    taken = listed(found, *COLUMNS)
+    assert taken == oracle(rows)
+    by_source = found.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert all(abs(r.taken - r.target) <= 50.5 for r in by_source.collect())
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD", 3)
+    rows = [(1, "w w", "a")] * 50 + [(2, "w w w", "b")] * 31 + [(3, "", "a")] * 4
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert listed(mixing.mixed(frame), *COLUMNS) == oracle(rows)
+    repeats = {r.doc_id: r.repeats for r in mixing.repetitions(frame).collect()}
+    again = mixing.mixed(frame).groupBy("doc_id").agg(F.sum("repeats").alias("n"))
+    assert repeats == {r.doc_id: r.n for r in again.collect()}
+
+
 def test_main_path_is_native(some_docs):
     text = mixing.mixed(some_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Pandas" not in text
