@@ -23,6 +23,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ SHARD_WINDOWS = 200_000
 # Bytes of passages that one copy of a shard's automaton reads.
 SHARD_BYTES = 24 << 20
 
-# Odd multipliers of the two polynomial hashes; the inverse of each undoes a shift.
+# Odd multipliers of the two hashes of a window; the inverse of each undoes a shift. Words have a hash of their
+# own for each, so that texts made to defeat one sum do not defeat both, nor words that defeat a sum of letters.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -78,8 +80,9 @@ class Words:
         return self.joined[self.starts[start] : self.ends[end - 1]].decode()
 
     def hashes(self, multiplier: int = MULTIPLIERS[0]) -> np.ndarray:
-        values = np.frombuffer(self.joined, np.uint8).astype(np.uint64) + np.uint64(1)
-        return _ranges(values, self.starts, self.ends, multiplier)
+        """XXH64 of each word, seeded by the multiplier."""
+        digest = xxhash.xxh64_intdigest
+        return np.fromiter((digest(word, multiplier) for word in self.words), np.uint64, len(self.words))
 
     def phrases(self) -> np.ndarray:
         """Hash of the 16 words from each place on."""
@@ -141,6 +144,7 @@ def recurring(first: DataFrame) -> DataFrame:
     """Per text (``sha``), those of its anchors that other texts have too."""
     anchors = first.select("sha", "first_id", F.explode("anchors").alias("anchor"))
     often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = staged(often)  # the join then has a shuffle of its own, in which a common anchor can be split
     return (
         anchors.join(often, "anchor")
         .groupBy("sha", "first_id")

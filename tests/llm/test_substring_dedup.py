@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cohortlens.llm import substring_dedup as sd
@@ -75,3 +76,23 @@ def test_hashes_do_not_depend_on_the_place():
     assert (a.windows()[0][2:] == b.windows()[0][900:]).all()
     assert (a.windows()[1][2:] == b.windows()[1][900:]).all()
     assert (a.anchors()[2:] == b.anchors()[900:]).all()
+
+
+def test_words_that_defeat_sums_of_letters(spark):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2^64, whatever the base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    common = " ".join(f"w{i}" for i in range(49))
+    docs = [(1, f"{common} {word}"), (2, f"{common} {word.translate(str.maketrans('ab', 'ba'))}"), (3, f"{common} {word}")]
+    found = sd.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_sequences_that_defeat_sums_of_words():
+    """The same with words for letters: windows that differ have different hashes."""
+    letters = ["yes", "no"]
+    one = [letters[i.bit_count() % 2] for i in range(4096)]
+    two = [letters[1 - i.bit_count() % 2] for i in range(4096)]
+    distinct = {tuple(w[i : i + 50]) for w in (one, two) for i in range(len(w) - 49)}
+    hashes = [sd.Words(" ".join(w)).windows() for w in (one, two)]
+    for k in range(2):
+        assert len(set(np.concatenate([h[k] for h in hashes]).tolist())) == len(distinct)
