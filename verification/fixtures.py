@@ -75,6 +75,31 @@ def nested_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A line of a CSV file for each play, by the last digit of its id, the same in both engines: files of three kinds
+# (the third lacks a column), and in the first kind lines that are no rows.
+RAGGED = """
+    select game_result_id, game_result_id % 10 as kind, case
+        when game_result_id % 10 = 1 then concat(user_id, ',', session_level)
+        when game_result_id % 10 = 2 then concat(user_id, ',', session_level, ',', user_level, ',7')
+        when game_result_id % 10 = 3 then concat(user_id, ',level ', session_level, ',', user_level)
+        when game_result_id % 10 = 4 then concat('"', user_id, '",,', user_level)
+        when game_result_id % 10 < 7 then concat(user_id, ',', session_level, ',', user_level)
+        when game_result_id % 10 < 9 then concat(user_level, ',"a, b",', user_id, ',', session_level)
+        else concat(session_level, ',', user_id) end as line,
+      case when game_result_id % 10 < 7 then 0 when game_result_id % 10 < 9 then 1 else 2 end as part
+    from plays"""
+HEADERS = ("User_ID,session_level,user_level", "USER_LEVEL,note,user_id,Session_Level", "session_level,user_id")
+
+
+def ragged_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """CSV files with three headers and some broken lines."""
+    lines = spark.sql(RAGGED.replace("from plays", "from {plays}"), plays=plays(spark, sf_dir))
+    heads = spark.createDataFrame([(-1, i, h) for i, h in enumerate(HEADERS)], "game_result_id long, part int, line string")
+    files = heads.unionByName(lines.select("game_result_id", "part", "line"))
+    ordered = files.repartition("part").sortWithinPartitions("part", "game_result_id")
+    ordered.select("line", "part").write.partitionBy("part").text(path)
+
+
 # The blob of ``listed_plays``, the same in both engines but for the function that writes an object.
 LISTED = """concat('{{"items": [', {first}, ', 7, {{"x": {{"y z": ', coalesce('"' || numtries || '"', 'null'),
       '}}}}], "play.time": ', {time}, '}}')"""

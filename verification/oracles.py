@@ -6,7 +6,7 @@ KS distance a window over distinct values, so a shared mistake would have to be
 
 from __future__ import annotations
 
-from verification.fixtures import DATED, GAMES, LISTED, PLAYS_DUCKDB
+from verification.fixtures import DATED, GAMES, LISTED, PLAYS_DUCKDB, RAGGED
 
 ORACLES: dict[str, str] = {}
 
@@ -63,6 +63,13 @@ ORACLES["csv_inferred"] = (
     f"WITH {selected()} SELECT user_id, count(score) AS n FROM sel GROUP BY 1"
 )
 ORACLES["lower_case_columns"] = "SELECT * FROM nation"
+ORACLES["csv_united_by_name"] = f"""WITH {PLAYS},
+    rows AS (SELECT user_id, CASE game_result_id % 10 WHEN 4 THEN NULL ELSE session_level END
+        AS session_level, CASE game_result_id % 10 WHEN 9 THEN NULL ELSE user_level END AS user_level
+      FROM plays WHERE game_result_id % 10 NOT IN (1, 2, 3))
+    SELECT user_id, session_level, user_level, count(*) AS n FROM rows GROUP BY ALL"""
+ORACLES["csv_rejected_lines"] = f"""WITH {PLAYS}, lines AS ({RAGGED})
+    SELECT part, line, count(*) AS n FROM lines WHERE kind IN (1, 2, 3) GROUP BY ALL"""
 ORACLES["csv_with_shuffled_columns"] = ORACLES["csv_round_trip"]
 ORACLES["refreshed_catalog"] = ORACLES["catalog_snapshot"]
 ORACLES["json_fields"] = f"""WITH {PLAYS}

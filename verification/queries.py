@@ -12,6 +12,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.model import CompareParams
 from cohortlens.operators import cleaning as cl
@@ -162,6 +163,30 @@ def csv_with_shuffled_columns(spark, sf_dir):
     return tidy(tables.read_csv(spark, path, selected.schema))
 
 
+RAGGED_SCHEMA = T.StructType().add("user_id", T.LongType()).add("session_level", T.IntegerType()).add("user_level", T.IntegerType())
+
+
+def _checked(spark, sf_dir):
+    path = folder(spark, "ragged")
+    fx.ragged_files(spark, sf_dir, path)
+    with workspace(spark).current():
+        return tables.read_csv_checked(spark, path, RAGGED_SCHEMA)
+
+
+@query
+def csv_united_by_name(spark, sf_dir):
+    """Files of one folder with three different headers."""
+    rows, _ = _checked(spark, sf_dir)
+    return tidy(rows.groupBy("user_id", "session_level", "user_level").agg(F.count("*").alias("n")))
+
+
+@query
+def csv_rejected_lines(spark, sf_dir):
+    _, rejected = _checked(spark, sf_dir)
+    lines = rejected.withColumn("part", F.regexp_extract("file", r"part=(\d+)", 1).cast("int"))
+    return tidy(lines.groupBy("part", "line").agg(F.count("*").alias("n")))
+
+
 @query
 def csv_inferred(spark, sf_dir):
     path = folder(spark, "csv")
