@@ -58,10 +58,9 @@ def test_written_report(spark, skewed_plays, tmp_path):
     for _ in range(2):
         written = compare_and_write(spark, skewed_plays, params, location, games=names)
     assert any("Maze#1VSMazetwo#2" in path for path in written)
-    base = f"{location}/current/Maze#1VSMazetwo#2/monthly fit/curves"
-    current = spark.read.parquet(base)
+    current = sinks.read_current(spark, location, "Maze#1VSMazetwo#2", "monthly fit")["curves"]
     assert current.count() == current.dropDuplicates(["metric", "cohort", "key"]).count() > 0
-    history = spark.read.parquet(f"{location}/history/Maze#1VSMazetwo#2/curves")
+    history = sinks.read_history(spark, location, "Maze#1VSMazetwo#2", "curves")
     assert history.count() >= current.count()
     assert {r["report"] for r in history.collect()} == {"monthly fit"}
 
@@ -71,9 +70,10 @@ def test_backup_leaves_the_current_copy_alone(spark, tmp_path):
     run = datetime.datetime(2024, 1, 1)
     written = sinks.write_report(table, str(tmp_path), "f", "r", run, backup_only=True)
     assert all("/history/" in path for path in written)
+    assert sinks.read_current(spark, str(tmp_path), "f", "r") == {}
     sinks.write_report(table, str(tmp_path), "f", "r", run + datetime.timedelta(days=1))
-    assert spark.read.parquet(f"{tmp_path}/current/f/r/t").count() == 3
-    assert spark.read.parquet(f"{tmp_path}/history/f/t").count() == 6
+    assert sinks.read_current(spark, str(tmp_path), "f", "r")["t"].count() == 3
+    assert sinks.read_history(spark, str(tmp_path), "f", "t").count() == 6
 
 
 def test_report_folder():
@@ -202,8 +202,55 @@ def test_report_can_be_written_again(spark, tmp_path):
     for n in (3, 4):
         sinks.write_report({"t": spark.range(n)}, str(tmp_path), "f", "r", run)
     sinks.write_report({"t": spark.range(2)}, str(tmp_path), "f", "other", run)
-    assert spark.read.parquet(f"{tmp_path}/current/f/r/t").count() == 4
-    assert spark.read.parquet(f"{tmp_path}/history/f/t").count() == 4 + 2
+    assert sinks.read_current(spark, str(tmp_path), "f", "r")["t"].count() == 4
+    assert sinks.read_history(spark, str(tmp_path), "f", "t").count() == 4 + 2
+
+
+def test_a_killed_write_changes_nothing(spark, tmp_path, monkeypatch):
+    """Readers see one whole version: before, while and after another one is written or fails."""
+    place, run = str(tmp_path), datetime.datetime(2024, 1, 1)
+    sinks.write_report({"a": spark.range(3), "b": spark.range(3)}, place, "f", "r", run)
+    before = sinks.read_current(spark, place, "f", "r")
+    seen = []
+
+    def sizes():
+        return {name: t.count() for name, t in sinks.read_current(spark, place, "f", "r").items()}
+
+    def stop(tables, action, **_):
+        """One table is written, then the driver is gone."""
+        action("a", tables["a"])
+        seen.append(sizes())
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(sinks, "for_each_table", stop)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_report({"a": spark.range(9), "b": spark.range(9)}, place, "f", "r", run)
+    assert seen == [{"a": 3, "b": 3}] == [sizes()]
+    # A manifest that was being written is no version either.
+    (tmp_path / "published/f/99999999999999999999-x/_temporary/0").mkdir(parents=True)
+    (tmp_path / "published/f/99999999999999999999-x/_temporary/0/part.json").write_text('{"report": "r"')
+    (tmp_path / "published/f/99999999999999999999-y").mkdir()
+    (tmp_path / "published/f/99999999999999999999-y/part.json").write_text('{"report": "r", "run": ')
+    assert sizes() == {"a": 3, "b": 3}
+    sinks.write_report({"a": spark.range(7), "b": spark.range(7)}, place, "f", "r", run)
+    assert sizes() == {"a": 7, "b": 7}
+    assert {t.count() for t in before.values()} == {3}  # what was opened before is still whole
+    assert sinks.read_history(spark, place, "f", "a").count() == 7
+
+
+def test_names_of_any_kind(spark, tmp_path):
+    run = datetime.datetime(2024, 1, 1)
+    for n, report in enumerate(["1", "a/b=c%", "é x"], start=1):
+        sinks.write_report({"t": spark.range(n), "none": spark.range(0)}, str(tmp_path), "f", report, run)
+        current = sinks.read_current(spark, str(tmp_path), "f", report)
+        assert current["t"].count() == n and current["none"].columns == ["id"]
+    history = sinks.read_history(spark, str(tmp_path), "f", "t")
+    assert {r["report"]: r["count"] for r in history.groupBy("report").count().collect()} == {
+        "1": 1, "a/b=c%": 2, "é x": 3
+    }
+    with pytest.raises(ValueError):
+        sinks.read_history(spark, str(tmp_path), "g", "t")
 
 
 def test_csv_columns_go_by_name(spark, tmp_path):

@@ -213,14 +213,14 @@ def _written_report(spark, sf_dir, location):
 def written_report(spark, sf_dir):
     location = folder(spark, "report")
     _written_report(spark, sf_dir, location)
-    return tidy(spark.read.parquet(f"{location}/current/aVSb/monthly/curves"))
+    return tidy(sinks.read_current(spark, location, "aVSb", "monthly")["curves"])
 
 
 @query
 def report_history(spark, sf_dir):
     location = folder(spark, "report")
     _written_report(spark, sf_dir, location)
-    return tidy(spark.read.parquet(f"{location}/history/aVSb/curves"))
+    return tidy(sinks.read_history(spark, location, "aVSb", "curves"))
 
 
 # --- selection -------------------------------------------------------------------------------
