@@ -244,19 +244,23 @@ def session_numbers(
 
     The rank runs over all results of the game or games, before any cohort filter. The log is read
     and joined once, whatever the modes of the two cohorts are; plays that are not in it are dropped
-    where their cohort needs a number, and rows of the other cohort match nothing and stay.
+    where their cohort needs a number, and rows of the other cohort match nothing and stay. A log that
+    has its numbers (``nth_true``, ``nth_cross_game``, see ``ranked_log``) is not ranked again; it has to be
+    kept for the games of the cohorts.
     """
     modes = [mode for mode in ("true", "cross_game") if mode in params.numbering]
     if not modes:
         return df
     if results is None:
         raise ValueError("numbering by the results log needs the results table")
-    log = results.select("id", "game_id", "user_id").filter(
-        F.col("game_id").isin(*set(params.game_ids))
-    )
-    for mode in modes:
-        keys = ["user_id"] if mode == "cross_game" else ["game_id", "user_id"]
-        log = rank_results(log, keys, f"_{mode}")
+    log = results.filter(F.col("game_id").isin(*set(params.game_ids)))
+    if all(f"nth_{mode}" in results.columns for mode in modes):
+        log = log.selectExpr("id", "game_id", *(f"nth_{mode} AS _{mode}" for mode in modes))
+    else:
+        log = log.select("id", "game_id", "user_id")
+        for mode in modes:
+            keys = ["user_id"] if mode == "cross_game" else ["game_id", "user_id"]
+            log = rank_results(log, keys, f"_{mode}")
     # A number across games belongs to the id alone, the other one to the id in its game.
     entries = [
         f"struct('{mode}' AS _mode, {'game_id' if mode == 'true' else '0L'} AS _game,"

@@ -8,14 +8,16 @@ import io
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.model import COHORTS, CompareParams
 from cohortlens.operators import distributions as ds
 from cohortlens.operators import matrix as mx
 from cohortlens.operators.cleaning import clean
+from cohortlens.operators.hotkeys import ROWS
 from cohortlens.operators.selection import count_users, select_cohorts
 from cohortlens.plans import metrics as mt
-from cohortlens.session import Workspace
+from cohortlens.session import Workspace, early_filter
 from cohortlens.sources.catalog import cohort_names
 from cohortlens.sources.sinks import report_folder, run_record, write_report
 
@@ -88,8 +90,10 @@ def _compare(
     users = count_users(plays, params, workspace.table)
     hot = users.hot
     chosen = select_cohorts(plays, params, results, users)
-    plan = plan_text(chosen)
-    selected = workspace.table(chosen)
+    active = users.counts.filter(F.col(ROWS) >= params.min_plays).count()
+    with early_filter(workspace.spark, active):
+        plan = plan_text(chosen)
+        selected = workspace.table(chosen)
     typed: list[DataFrame] = []
     cleaned = clean(selected, params, hot, lambda df: typed.append(keep(df)) or typed[-1])
     sessions = workspace.table(cleaned.sessions)

@@ -94,6 +94,32 @@ def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return constants(df.sparkSession, rows, df.schema)
 
 
+# Most keys of a filter that Spark builds to drop rows before a shuffle; more would let nearly all rows pass.
+EARLY_KEYS = 4_000_000
+
+
+@contextmanager
+def early_filter(spark: SparkSession, keys: int) -> Iterator[None]:
+    """Until the end of the block, joins with ``keys`` wanted keys may drop other rows before they are moved.
+
+    Spark does that by a Bloom filter on the scan of a large table (its own threshold decides), but by
+    default only if the table of keys is under 10 MB. Here the number of keys is known, so the filter is
+    made for it, of 8 MB at most; the join makes the result exact.
+    """
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {f"{name}creationSideThreshold": "4g", f"{name}expectedNumItems": str(max(keys, 1_000))}
+    if keys > EARLY_KEYS:
+        wanted = {}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 class Workspace:
     """What a comparison sets aside while its tables are computed.
 

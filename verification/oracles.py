@@ -211,6 +211,12 @@ OBSERVED = (
 ORACLES["true_session_numbers"] = f"""
     WITH {selected(extra=aged(complete('day'), (3, 1), (10, 20)))}, {TRUE_NUMBERS}
     SELECT cohort, game_result_id, user_id, nth FROM sel JOIN numbers USING (game_result_id)"""
+ORACLES["true_numbers_by_kept_log"] = ORACLES["true_session_numbers"]
+ORACLES["kept_session_numbers"] = f"""WITH {PLAYS}
+    SELECT game_result_id AS id, game_id, user_id,
+      rank() OVER (PARTITION BY game_id, user_id ORDER BY game_result_id) AS nth_true,
+      rank() OVER (PARTITION BY user_id ORDER BY game_result_id) AS nth_cross_game
+    FROM plays WHERE game_id IN (1, 2)"""
 ORACLES["cross_game_session_numbers"] = f"""WITH {selected()}, {CROSS_NUMBERS}
     SELECT cohort, game_result_id, user_id, nth FROM sel JOIN numbers USING (game_result_id)"""
 ORACLES["mixed_session_numbers"] = f"""WITH {selected()}, {TRUE_NUMBERS},

@@ -20,6 +20,7 @@ from cohortlens.operators import curves as cv
 from cohortlens.operators import distributions as ds
 from cohortlens.operators import matrix as mx
 from cohortlens.operators import numbering as nb
+from cohortlens.operators import ranked_log
 from cohortlens.operators import selection as sl
 from cohortlens.operators.hotkeys import hot_keys
 from cohortlens.plans import metrics as mt
@@ -147,6 +148,33 @@ def cohort_display_names(spark, sf_dir):
     return tidy(catalog.cohort_names(fx.games(spark, sf_dir), (1, 2), ("Old", "New")))
 
 
+@query
+def kept_session_numbers(spark, sf_dir):
+    """The results log in four appends: three in the order of ids, and one of late results."""
+    path, log = folder(spark, "log"), fx.results(spark, sf_dir)
+    n = log.count()
+    late = "id % 97 = 5"
+    with workspace(spark).current():
+        for low, high in ((-1, n // 2), (n // 2, 2 * n // 3), (2 * n // 3, n * n)):
+            batch = log.filter(f"id > {low} AND id <= {high} AND NOT ({late})")
+            ranked_log.append_results(path, batch, (1, 2))
+        ranked_log.append_results(path, log.filter(late), (1, 2))
+    return tidy(ranked_log.read_ranked(spark, path))
+
+
+@query
+def true_numbers_by_kept_log(spark, sf_dir):
+    """The cohorts of ``true_session_numbers``, with a log that is not ranked again."""
+    path, log = folder(spark, "log"), fx.results(spark, sf_dir)
+    params = replace(AGED, age_unit="day", numbering=("true", "true"))
+    with workspace(spark).current():
+        for part in ("id % 2000 < 1000", "id % 2000 >= 1000"):
+            ranked_log.append_results(path, log.filter(part), params.game_ids)
+        kept = ranked_log.read_ranked(spark, path)
+        selected = sl.select_cohorts(fx.plays(spark, sf_dir), params, kept)
+    return tidy(selected.select("cohort", "game_result_id", "user_id", "nth"))
+
+
 @query
 def csv_round_trip(spark, sf_dir):
     path = folder(spark, "csv")
