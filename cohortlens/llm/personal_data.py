@@ -103,12 +103,13 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 # -- spans of the tagger -----------------------------------------------------------------
 
-# Forms of spans that the tagger may add.
+# Forms of spans that the tagger may add: spelled-out signs, other separators, no country code.
+AT, DOT = r" ?(?:@|[\[(]at[\])]) ?", r" ?(?:\.|[\[(]dot[\])]) ?"
 FORMS = (
-    re.compile(r"\S+(?:@| ?[\[(]at[\])] ?)\S+\.\w+", re.ASCII),
-    re.compile(r"(?:[0-9]{1,3}[.:]){3}[0-9]{1,3}"),
-    re.compile(r"[0-9](?:[ .-]?[0-9]){12,18}"),
-    re.compile(r"\+?[ ().0-9/-]+"),
+    re.compile(rf"[\w.%+-]+{AT}[\w-]+(?:{DOT}[\w-]+)+", re.ASCII),
+    re.compile(r"(?:[0-9]{1,3}(?: ?[.:] ?|\[\.\])){3}[0-9]{1,3}"),
+    re.compile(r"[0-9](?:[ ./-]{0,2}[0-9]){12,18}"),
+    re.compile(r"\+?(?:[0-9]+|\([0-9]+\))(?:[ ./-]{1,2}(?:[0-9]+|\([0-9]+\)))+"),
 )
 
 
@@ -116,10 +117,31 @@ def _has_form(kind: int, text: str) -> bool:
     if not FORMS[kind].fullmatch(text):
         return False
     if kind == 1:
-        return all(int(p) <= 255 for p in re.split("[.:]", text))
+        return all(int(p) <= 255 for p in re.findall("[0-9]+", text))
+    digits = NOT_DIGIT.sub("", text)
+    if kind == 2:
+        return luhn(digits)
+    # Dates have up to eight digits.
+    return kind == 0 or 9 <= len(digits) <= 15
+
+
+def altered(kind: int, span: str, rng: np.random.Generator) -> str:
+    """A base span as people write it to be read by people alone, or without its usual signs."""
+    pick = lambda *ways: ways[int(rng.integers(len(ways)))]
+    if kind == 0:
+        at, dot = pick((" (at) ", " (dot) "), (" [at] ", " [dot] "), (" @ ", " . "), ("(at)", "."), ("[at]", "."), (" [at] ", "."))
+        name, host = span.rsplit("@", 1)
+        return f"{name}{at}{host.replace('.', dot)}"
+    if kind == 1:
+        return span.replace(".", pick(" . ", "[.]", ":", " ."))
+    digits = NOT_DIGIT.sub("", span)
     if kind == 2:
-        return luhn(NOT_DIGIT.sub("", text))
-    return kind == 0 or _is_phone(text)
+        return pick(".", "/", "  ", " - ")[:2].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    first = len(digits) % 3 or 3
+    parts = [digits[:first], *(digits[i : i + 3] for i in range(first, len(digits), 3))]
+    if len(parts) > 1 and rng.random() < 0.4:
+        parts[int(rng.integers(2))] = f"({parts[0]})" if rng.random() < 0.5 else f"({parts[1]})"
+    return pick("", "", "+") + pick(" ", "-", ".", "/", " - ")[:2].join(parts)
 
 
 def window_starts(length: int) -> list[int]:
@@ -161,7 +183,10 @@ def labelled(tagger: tg.Tagger, texts: list[str]) -> list[np.ndarray]:
 def added_spans(
     text: str, labels: np.ndarray, base: list[list[tuple[int, int]]]
 ) -> list[list[tuple[int, int]]]:
-    """Runs of one label that have the form of their kind and touch no base span."""
+    """Runs of one label that have the form of their kind and touch no base span.
+
+    An address is followed to the end of its form.
+    """
     out: list[list[tuple[int, int]]] = [[] for _ in KINDS]
     if not labels.any():
         return out
@@ -178,6 +203,8 @@ def added_spans(
         part = text[start:end]
         end -= len(part) - len(part.rstrip(" .,;:-("))
         start += len(part) - len(part.lstrip(" .,;:-)"))
+        if kind == 0 and (whole := FORMS[0].match(text, start)) is not None:
+            end = max(end, whole.end())  # a last part that the tagger left off
         beside = (start > 0 and text[start - 1].isalnum()) or (
             end < len(text) and text[end].isalnum()
         )
@@ -191,28 +218,45 @@ def added_spans(
 
 
 def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around base spans, and as many others, with a label for each character."""
+    """Windows around base spans, each as it stands and altered, and half as many others, all labelled.
+
+    What is used is drawn at random from all windows, so no kind and no part of the texts comes first.
+    """
     rng = np.random.default_rng(11)
-    hits, misses = [], []
-    for text in texts:
-        coded = tg.classes(text)
-        if len(coded) < TRAIN_WINDOW:
-            coded = np.pad(coded, (0, TRAIN_WINDOW - len(coded)), constant_values=tg.PAD)
-        marks = np.zeros(len(coded), np.int64)
-        base = base_spans(text)
+    hits: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in KINDS]
+    misses = []
+
+    def window(text: str, base: list[list[tuple[int, int]]], around: int | None):
+        coded, marks = tg.classes(text), np.zeros(len(text), np.int64)
         for kind, spans in enumerate(base, 1):
             for start, end in spans:
                 marks[start:end] = kind
+        short = max(0, TRAIN_WINDOW - len(coded))
+        coded, marks = np.pad(coded, (0, short), constant_values=tg.PAD), np.pad(marks, (0, short))
         room = len(coded) - TRAIN_WINDOW
-        for start in (s for spans in base for s, _ in spans):
-            low = int(np.clip(start - rng.integers(4, TRAIN_WINDOW - 4), 0, room))
-            hits.append((coded[low : low + TRAIN_WINDOW], marks[low : low + TRAIN_WINDOW]))
         low = int(rng.integers(0, room + 1))
-        misses.append((coded[low : low + TRAIN_WINDOW], marks[low : low + TRAIN_WINDOW]))
-    some = hits[: 2 * TRAIN_WINDOWS // 3]
-    some += misses[: max(1, len(some) // 2)]
-    if not hits:
+        if around is not None:
+            low = int(np.clip(around - rng.integers(4, TRAIN_WINDOW - 4), 0, room))
+        return coded[low : low + TRAIN_WINDOW], marks[low : low + TRAIN_WINDOW]
+
+    for text in texts:
+        base = base_spans(text)
+        for kind, spans in enumerate(base):
+            for start, end in spans:
+                hits[kind].append(window(text, base, start))
+                # The text around the span alone, so that no other span is out of place.
+                other = altered(kind, text[start:end], rng)
+                before, after = text[max(0, start - TRAIN_WINDOW) : start], text[end : end + TRAIN_WINDOW]
+                if not any(map(any, (base_spans(before), base_spans(after)))):
+                    place = [[] for _ in KINDS]
+                    place[kind].append((len(before), len(before) + len(other)))
+                    hits[kind].append(window(before + other + after, place, len(before)))
+        misses.append(window(text, base, None))
+    each = max(1, 2 * TRAIN_WINDOWS // 3 // len(KINDS))
+    some = [found[i] for found in hits for i in rng.permutation(len(found))[:each]]
+    if not some:
         return np.zeros((0, TRAIN_WINDOW), np.uint8), np.zeros((0, TRAIN_WINDOW), np.int64)
+    some += [misses[i] for i in rng.permutation(len(misses))[: max(1, len(some) // 2)]]
     return np.array([x for x, _ in some]), np.array([y for _, y in some])
 
 
