@@ -286,11 +286,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     one node of the graph; of each node the ``k + 1`` smallest ids are put back, which is all that
     can be among the nearest. Vectors of another length are no candidates. Rows that are not
     usable, null ids among them, take no part; repeated ids are candidates once for each distinct
-    vector. Empty tables give no rows. Columns with other names are not looked at.
+    vector, and of a repeated query id the smallest vector is asked for. Empty tables give no rows. Columns with other names are not looked at.
     """
     rows = staged(usable(vectors).dropDuplicates(["vec_id", "vector"]))
     asked = usable(queries).select(F.col("vec_id").alias("query_id"), "vector")
-    asked = staged(asked.dropDuplicates(["query_id"]))
+    asked = staged(asked.groupBy("query_id").agg(F.min("vector").alias("vector")))
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(64))
     nodes = rows.groupBy("vector").agg(F.min("vec_id").alias("node"))
     # One id can hold two vectors; a node's id must be its own, so such nodes get negative ids.

@@ -72,3 +72,30 @@ def test_stored_graph_is_the_built_one():
     again = nearest.Graph.stored(vectors, levels, flat)
     assert all((a == b).all() for a, b in zip(built.near, again.near, strict=True))
     assert built.search(vectors[3], 20)[0] == 3 == again.search(vectors[3], 20)[0]
+
+
+def test_recall_of_a_whole_shard():
+    """Production parameters: one graph of SHARD_ROWS vectors, a part of them in tight clusters."""
+    rng = np.random.default_rng(4)
+    n, dim = nearest.SHARD_ROWS, 64
+    centres = rng.normal(0, 1, (80, dim))
+    tight = centres[rng.integers(0, 80, n // 2)] + rng.normal(0, 0.05, (n // 2, dim))
+    vectors = np.concatenate([rng.normal(0, 1, (n - n // 2, dim)), tight]).astype(np.float32)
+    graph = nearest.Graph.built(vectors, nearest.drawn_levels(np.arange(n)))
+    found = 0
+    queries = range(0, n, 64)
+    for i in queries:
+        exact = np.argsort(((vectors - vectors[i]) ** 2).sum(1), kind="stable")[: nearest.K + 1]
+        found += len(set(exact.tolist()) & set(graph.search(vectors[i], nearest.SEARCH_VIEW)[: nearest.K + 1]))
+    recall = found / (len(queries) * (nearest.K + 1))
+    print("recall", recall)
+    assert recall >= 0.95
+
+
+def test_repeated_query_ids(spark):
+    """Of rows with one id, the smallest vector is the query; all are candidates of others."""
+    rows = [(0, [5.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [5.0, 1.0]), (2, [5.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = nearest.nearest(frame, frame.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found][:1] == [(1, 1.0)]
+    assert {r.vec_id for r in found} == {1, 2}
