@@ -36,6 +36,37 @@ def test_bytes_are_near_equal(some_docs):
     assert listed(again, *again.columns) == listed(found, *found.columns)
 
 
+def test_many_equal_rows(spark, monkeypatch):
+    """They are one row until they are written out, by runs."""
+    monkeypatch.setattr(sharding, "RUN", 7)
+    same = spark.range(500).selectExpr("CAST(NULL AS LONG) AS doc_id", "'same' AS text")
+    docs = same.unionAll(spark.range(300).selectExpr("id AS doc_id", "repeat('x', CAST(id % 9 AS INT)) AS text"))
+    records = sharding.sized_records(docs)
+    assert records.count() == 301 and records.agg({"n": "max"}).first()[0] == 500
+    found = sharding.shard_documents(docs)
+    shards, _ = placed(found)
+    assert all(sorted(slots) == list(range(len(slots))) for slots in shards.values())
+    assert sum(map(len, shards.values())) == 800
+    assert found.where("doc_id IS NULL AND size = 5").count() == 500
+    again = sharding.shard_documents(docs.repartition(3))
+    assert listed(again, *again.columns) == listed(found, *found.columns)
+
+
+def test_a_later_run_goes_on_from_the_stored_map(spark, some_docs, tmp_path):
+    folder = str(tmp_path / "maps")
+    first = sharding.shard_documents(some_docs, maps=folder).collect()
+    again = sharding.shard_documents(some_docs, maps=folder).collect()
+    grown = sharding.shard_documents(some_docs, shards=9, maps=folder).collect()
+    assert [{r.map_version for r in rows} for rows in (first, again, grown)] == [{1}, {2}, {3}]
+    assert sharding.latest_version(spark, folder) == 3
+    assert sharding.load_map(spark, folder, 0).count() == sharding.SLOTS
+    where = {r.doc_id: r.shard for r in again}
+    moved = [r for r in grown if r.shard != where[r.doc_id]]
+    total = sum(r.size for r in grown)
+    assert 0.08 < sum(r.size for r in moved if r.shard == 8) / total < 0.14
+    assert sum(r.size for r in moved if r.shard != 8) < 0.02 * total
+
+
 def test_a_new_shard_only_takes(spark, some_docs, tmp_path):
     records = sharding.sized_records(some_docs)
     loads = sharding.slot_loads(records)
