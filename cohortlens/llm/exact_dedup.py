@@ -27,11 +27,14 @@ LOOKUP_ROWS = 100_000
 # Cells per key in each bit array.
 CELLS = 1.6
 
-INDEX = "bucket int, levels array<int>, bits binary, digests binary, keep_ids array<bigint>, keep_chars array<int>, sizes array<bigint>"
+INDEX = "bucket int, levels array<int>, bits binary, digests binary, keep_ids array<bigint>, keep_rows array<bigint>, sizes array<bigint>"
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """SHA-256 of each text without ASCII white space, and its length in code points; null is empty."""
+    """SHA-256 of each text without ASCII white space, and its length in code points; null is empty.
+
+    ``row_id`` tells equal rows apart, and is fixed once the result is staged.
+    """
 
     def work(texts: list[str]) -> list:
         plain = [t.encode().translate(None, WHITE) for t in texts]
@@ -40,17 +43,22 @@ def digested(docs: DataFrame) -> DataFrame:
             pa.array([len(t) for t in texts], pa.int32()),
         ]
 
-    rows = documents(docs).withColumn("text_hash", text_hash())
-    return by_text(rows, work, "digest binary, chars int", keep=("doc_id", "text_hash"))
+    rows = documents(docs).select(
+        "*", text_hash().alias("text_hash"), F.monotonically_increasing_id().alias("row_id")
+    )
+    return by_text(rows, work, "digest binary, chars int", keep=("doc_id", "text_hash", "row_id"))
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
-    """One row per digest: the row that stays (most code points, then smallest id, null ids last)."""
-    first = F.min(F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id")))
+    """One row per digest: the row that stays (most code points, then smallest id, null ids last).
+
+    Rows that are equal in both are told apart by a hash of the text, then by ``row_id``.
+    """
+    first = F.min(F.struct(-F.col("chars"), F.col("doc_id").isNull(), "doc_id", "text_hash", "row_id"))
     return rows.groupBy("digest").agg(first.alias("first"), F.count("*").alias("group_size")).select(
         "digest",
         F.col("first.doc_id").alias("keep_id"),
-        (-F.col("first.col1")).alias("keep_chars"),
+        F.col("first.row_id").alias("keep_row"),
         "group_size",
     )
 
@@ -121,7 +129,7 @@ def build_index(distinct: DataFrame, buckets: int) -> DataFrame:
             "bits": [np.packbits(bits).tobytes()],
             "digests": [b"".join(in_slots["digest"].to_pylist())],
             "keep_ids": [in_slots["keep_id"].to_pylist()],
-            "keep_chars": [in_slots["keep_chars"].to_pylist()],
+            "keep_rows": [in_slots["keep_row"].to_pylist()],
             "sizes": [in_slots["group_size"].to_pylist()],
         }
         return pa.table(row, schema=_arrow(INDEX))
@@ -137,28 +145,36 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (part.split() for part in ddl.split(", "))])
 
 
-FOUND = "doc_id bigint, text_hash bigint, digest binary, chars int, member boolean, keep_id bigint, group_size bigint, kept boolean"
+FOUND = (
+    "doc_id bigint, text_hash bigint, row_id bigint, digest binary, chars int, member boolean, keep_id bigint,"
+    " group_size bigint, kept boolean"
+)
 
 
-def look_up(rows: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """Rows with ``member``, and for members the row that stays, the group's size and ``kept``.
+def dealt(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their bucket and the copy of it that they are looked up in, and the number of copies
+    of each crowded bucket.
 
-    Rows of a crowded bucket are spread by id over copies of it, so copies of one text, however
-    many, do not meet in one task.
+    Rows of a crowded bucket are spread one by one, so equal rows, however many, do not meet in one
+    task, whether their ids differ, repeat or are null.
     """
     spread = F.ceil(F.count("*") / LOOKUP_ROWS).cast("int")
     placed = rows.withColumn("bucket", bucket_of(buckets))
     crowded = placed.groupBy("bucket").agg(spread.alias("spread")).where("spread > 1")
     crowded = lookup(staged(crowded))
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("spread")), F.lit(0)).cast("int")
-    asked = placed.join(crowded, "bucket", "left").withColumn("part", part).drop("spread")
+    part = F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("spread")), F.lit(0)).cast("int")
+    return placed.join(crowded, "bucket", "left").withColumn("part", part).drop("spread"), crowded
+
+
+def look_up(rows: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
+    """Rows with ``member``, and for members the row that stays, the group's size and ``kept``."""
+    asked, crowded = dealt(rows, buckets)
     held = index.join(crowded, "bucket", "left").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))
     ).drop("spread")
 
     def find(asked: pa.Table, held: pa.Table) -> pa.Table:
-        digests = asked["digest"].to_pylist()
-        ids, chars = asked["doc_id"].to_pylist(), asked["chars"].to_pylist()
+        digests, row_ids = asked["digest"].to_pylist(), asked["row_id"].to_pylist()
         slots = np.full(len(digests), -1)
         if held.num_rows and digests:
             entry = held.to_pylist()[0]
@@ -167,23 +183,14 @@ def look_up(rows: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
             ).astype(bool)
             slots = slots_of(_keys(digests), entry["levels"], bits)
         out = {n: [] for n in ("member", "keep_id", "group_size", "kept")}
-        taken = set()
-        for digest, doc_id, n_chars, slot in zip(digests, ids, chars, slots.tolist(), strict=True):
+        for digest, row_id, slot in zip(digests, row_ids, slots.tolist(), strict=True):
             member = slot >= 0 and entry["digests"][32 * slot : 32 * slot + 32] == digest
             out["member"].append(member)
             out["keep_id"].append(entry["keep_ids"][slot] if member else None)
             out["group_size"].append(entry["sizes"][slot] if member else None)
-            first = (
-                member
-                and doc_id == entry["keep_ids"][slot]
-                and n_chars == entry["keep_chars"][slot]
-                and slot not in taken
-            )
-            if first:
-                taken.add(slot)
-            out["kept"].append(first)
+            out["kept"].append(member and row_id == entry["keep_rows"][slot])
         schema = _arrow(FOUND)
-        same = {n: asked[n].cast(schema.field(n).type) for n in ("doc_id", "text_hash", "digest", "chars")}
+        same = {n: asked[n].cast(schema.field(n).type) for n in schema.names if n not in out}
         return pa.table(same | out, schema=schema)
 
     return asked.groupBy("bucket", "part").cogroup(held.groupBy("bucket", "part")).applyInArrow(find, FOUND)
@@ -197,7 +204,7 @@ def deduplicated(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
     are repeats of a row that was published before: ``keep_id`` is the historical row and none of
     them is kept; the others are grouped among themselves as above. Null texts are empty texts;
     empty texts form one group; rows with a null id stay only if all ids of the group are null,
-    and of rows that are equal in id and text one is kept. Columns other than id and text are
+    and of rows that are equal in id and length one is kept. Columns other than id and text are
     not looked at. Empty tables give no rows.
     """
     rows = staged(digested(docs))
@@ -209,7 +216,7 @@ def deduplicated(docs: DataFrame, history: DataFrame | None = None) -> DataFrame
         looked = staged(look_up(rows, staged(build_index(past, buckets)), buckets))
         # Members repeat what is published; "kept" there means the historical row itself.
         members = looked.where("member").withColumn("kept", F.lit(False))
-        new = looked.where("NOT member").select("doc_id", "text_hash", "digest", "chars")
+        new = looked.where("NOT member").select("doc_id", "text_hash", "row_id", "digest", "chars")
         found = members.unionByName(_within(staged(new)).withColumn("member", F.lit(False)))
     return found.select(
         "doc_id",

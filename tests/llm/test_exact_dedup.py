@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm import exact_dedup as ed
+from cohortlens.llm.common import keep_one
 from tests.llm import brute
 from tests.llm.conftest import listed
 
@@ -65,3 +66,27 @@ def test_a_digest_of_others_is_no_member(spark):
     new = spark.createDataFrame([(i, f"new {i}") for i in range(500)], ddl)
     found = ed.deduplicated(new, history)
     assert found.where("member").count() == 0 and found.where("kept").count() == 500
+
+
+@pytest.mark.parametrize("doc_id", ["CAST(NULL AS LONG)", "7L"])
+def test_equal_rows_are_spread(spark, monkeypatch, doc_id):
+    """A hot text whose ids are null or repeat: its rows do not meet, and one stays."""
+    monkeypatch.setattr(ed, "LOOKUP_ROWS", 100)
+    docs = spark.range(3000, numPartitions=3).selectExpr(f"{doc_id} AS doc_id", "'hot text' AS text")
+    rows = ed.staged(ed.digested(docs))
+    asked, _ = ed.dealt(rows, 1)
+    parts = [r["count"] for r in asked.groupBy("bucket", "part").count().collect()]
+    assert len(parts) == 30 and max(parts) < 200
+    found = ed.deduplicated(docs)
+    assert found.count() == 3000 and found.where("kept").count() == 1
+    assert {(r.keep_id, r.group_size) for r in found.collect()} == {(None if "NULL" in doc_id else 7, 3000)}
+
+
+def test_keep_one_lets_one_row_of_each_task_through(spark, tmp_path):
+    docs = spark.range(3000, numPartitions=3).selectExpr("CAST(NULL AS LONG) AS doc_id", "'hot text' AS text")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = keep_one(docs, ed.deduplicated(docs).where("kept"))
+    assert kept.collect() == [(None, "hot text")]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
