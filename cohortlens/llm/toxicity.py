@@ -17,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import by_text, documents, drawn, staged, table
+from cohortlens.llm.common import by_text, documents, drawn, staged, table, text_hash
 
 # Labelled rows that the stems, the trees and the calibration are fitted on, at most.
 TRAIN_ROWS = 20_000
 # Learned stems: beginnings of words of these lengths that are in at least this share of the toxic
-# sample and this many of its texts, and this much more often than in the rest; so many at most.
+# sample and this many of its texts, and this much more often than in the rest. There are at most
+# 1 / STEM_SHARE times as many as a toxic text of the sample has on average.
 STEMS = (4, 5, 6)
-STEM_SHARE, STEM_TEXTS, STEM_LIFT, MAX_STEMS = 0.03, 5, 20.0, 500
+STEM_SHARE, STEM_TEXTS, STEM_LIFT = 0.03, 5, 20.0
 # Distinct words whose kind a Python worker remembers.
 REMEMBERED = 200_000
 TREES, DEPTH, BINS, RATE, LEAST, SHRINK = 60, 3, 32, 0.15, 10, 1.0
@@ -272,10 +273,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` labelled texts outside the held-out third, the same on each run.
+    """At most ``rows`` different labelled texts outside the held-out third, the same on each run.
 
-    The sample is chosen among the ids by hash, one text for equal texts; ids that labels repeat
-    count as toxic if any of their rows does.
+    They are chosen by a hash of the text, so a text is in it once, however often it or its id is
+    repeated; it counts as toxic if any label of a row outside the held-out third says so. Null texts
+    count as empty.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -283,17 +285,24 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    # At most ``rows`` pairs of numbers.
-    chosen = F.broadcast(drawn(staged(known), rows, "doc_id"))
-    return documents(docs).join(chosen, "doc_id")
+    texts = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("text_hash", text_hash())
+    different = (
+        texts.select("doc_id", "text_hash")
+        .join(known, "doc_id")
+        .groupBy("text_hash")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    )
+    # At most ``rows`` rows of three numbers. Rows that are equal in id and text are still repeated.
+    chosen = F.broadcast(drawn(staged(different), rows, "text_hash"))
+    return texts.join(chosen, ["doc_id", "text_hash"]).dropDuplicates(["text_hash"]).drop("text_hash")
 
 
 def learned_stems(sample: DataFrame) -> frozenset[str]:
-    """Stems of the toxic sample that the rest hardly has, counted by texts; equal texts count once.
+    """Stems of the toxic sample that the rest hardly has, counted by texts.
 
     Of stems that begin with another one, the shorter is kept.
     """
-    sample = sample.dropDuplicates(["text"])
     totals = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return frozenset()
@@ -313,8 +322,6 @@ def learned_stems(sample: DataFrame) -> frozenset[str]:
     found = (
         counts.where(share >= F.greatest(F.lit(STEM_SHARE), STEM_LIFT * rest))
         .where(F.col("toxic") >= STEM_TEXTS)
-        .orderBy(F.desc("toxic"), "stem")
-        .limit(MAX_STEMS)
         .collect()
     )
     stems = {r.stem for r in found}

@@ -58,6 +58,34 @@ def test_no_rows_and_no_labels(spark, no_docs, odd_docs):
     assert {r.score for r in tx.toxicity(odd_docs, labels).collect()} == {0.0}
 
 
+def test_rows_are_bounded_and_a_text_counts_once(spark):
+    """Ids that repeat, with one text or many, and texts that repeat: the bound is on texts."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    hot, rest = ids[0], ids[1:]
+    rows = [(hot, f"text {k}") for k in range(300)] + [(hot, "same")] * 300
+    rows += [(i, "same" if i % 2 else f"own {i}") for i in rest]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == rest[1])) for i in ids for _ in (0, 1)], "doc_id long, toxic int")
+    found = tx.training_sample(docs, labels).collect()
+    assert sorted(r.text for r in found) == sorted({t for _, t in rows})
+    toxic = dict(rows)[rest[1]]
+    assert {r.text for r in found if r.toxic} == {toxic}
+    few = tx.training_sample(docs, labels, rows=50)
+    assert few.count() == 51 and few.where("toxic = 1").count() == 1 or few.count() == 50
+    again = tx.training_sample(docs.repartition(5), labels, rows=50)
+    assert sorted(r.text for r in again.collect()) == sorted(r.text for r in few.collect())
+
+
+def test_all_stems_are_learned(spark):
+    """No count cuts the list: 800 words of which each is in a third of the toxic texts."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{letters[k // 26 % 26]}{letters[k % 26]}{letters[k // 676]}q" for k in range(800)]
+    rows = [(" ".join(words[(i % 3) :: 3]) + f" {i}", 1) for i in range(60)]
+    rows += [(f"plain {i}", 0) for i in range(200)]
+    sample = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    assert tx.learned_stems(sample) == frozenset(words)
+
+
 def test_features():
     of = lambda text: dict(zip(tx.FEATURES, tx.features(text, frozenset({"blorp"})), strict=True))
     assert set(of("").values()) == {0.0}
