@@ -34,7 +34,7 @@ BLANK = "▁"
 # Distinct words that a Python worker remembers, in two generations (about 200 bytes each), and pairs
 # of pieces (about 130 bytes each).
 REMEMBERED = 300_000
-# A longer word is encoded as a stream and not remembered.
+# A longer word is not remembered.
 LONG = 60
 # Characters that are no piece are numbered from here on.
 UNKNOWN = 1 << 24
@@ -233,13 +233,8 @@ class Pieces:
         return packed
 
     def _searched(self, word: str) -> bytes:
-        if len(word) <= LONG:
-            last, starts = [0], [0]
-            self._extend(word, last, starts)
-            found = self._path(last, starts, len(word))
-        else:
-            parts = (word[i : i + self.longest] for i in range(0, len(word), self.longest))
-            found = [piece for final in self.stream(parts) for piece in final]
+        parts = (word[i : i + self.longest] for i in range(0, len(word), self.longest))
+        found = [piece for final in self.stream(parts) for piece in final]
         ids: list[int] = []
         for piece in found:
             if piece < UNKNOWN:
@@ -255,8 +250,8 @@ class Pieces:
 
         White space is kept: a blank becomes the blank mark, and one mark is put before the text.
         Words begin with their marks, and no piece holds a mark after another character, so all
-        paths agree where a word begins, and words can be looked up. A run of blanks belongs
-        to the word after it.
+        paths agree where a word begins: the stream commits there, and the ids of a word that it has
+        met before are looked up. A run of blanks belongs to the word after it.
         """
         if not text:
             return b""
