@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import number, per_cohort, present, to_number
 from cohortlens.model import COHORTS, CompareParams
-from cohortlens.operators.hotkeys import ROWS, HotKeys
+from cohortlens.operators.hotkeys import ROWS, HotKeys, list_hot, mark_by_key
 from cohortlens.operators.numbering import count_rows, number_rows
 from cohortlens.operators.selection import PLAY_ORDER, USER
-from cohortlens.session import BROADCAST_ROWS, constants, lookup
+from cohortlens.session import BROADCAST_ROWS, constants, lookup, materialise
 
 NUMBERS = ("numtries", "numcorrect")
 # Columns that the empty-value steps do not judge.
@@ -259,18 +259,25 @@ def clean(
     by_level = params.min_level_rows >= 0 and "session_level" in typed.columns
     recorded = None
     if by_level:
-        levels = level_facts(alive())
+        keys = ["cohort", "session_level"]
+        levels, few = level_facts(alive()), f"_plays < {params.min_level_rows}"
         found = levels.limit(BROADCAST_ROWS + 1).collect()
-        sparse = levels.filter(f"_plays < {params.min_level_rows}")
         if len(found) <= BROADCAST_ROWS:
             # All levels are known now, and with them whether any try is left.
-            few = [r for r in found if r["_plays"] < params.min_level_rows]
+            sparse = [r for r in found if r["_plays"] < params.min_level_rows]
             recorded = _tries_recorded(r for r in found if r["_plays"] >= params.min_level_rows)
-            sparse = constants(df.sparkSession, few, levels.schema)
-        marked = sparse.selectExpr("cohort", "session_level", "true AS _sparse")
-        typed = typed.join(marked, ["cohort", "session_level"], "left")
+            marked = constants(df.sparkSession, sparse, levels.schema)
+            marked = marked.selectExpr(*keys, "true AS _sparse")
+            typed = typed.join(marked, keys, "left").fillna(False, ["_sparse"])
+        else:
+            # Counted once; a level with very many plays is not gathered in one task.
+            levels = materialise(levels)
+            popular = list_hot(levels.selectExpr(*keys, f"_plays AS {ROWS}"), keys)
+            left = levels.filter(f"NOT {few}").groupBy("cohort").agg(F.max("_tries").alias("_tries"))
+            recorded = _tries_recorded(left.collect())
+            typed = mark_by_key(typed, levels.filter(few), keys, popular, "_sparse")
         same = dict.fromkeys(COHORTS, float(params.min_level_rows))
-        steps.append(Step("sparse_levels", "_sparse IS NULL", same))
+        steps.append(Step("sparse_levels", "NOT _sparse", same))
 
     kept = alive().drop("_sparse")
     if "numtries" in kept.columns:

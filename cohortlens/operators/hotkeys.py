@@ -89,20 +89,30 @@ def filter_by_key(
     """Rows whose key is (or is not) in ``side``, which holds each key once.
 
     Spark chooses the join: sorted, which can spill, unless it finds ``side`` small enough to be hashed.
+    """
+    if not hot:
+        return df.join(side, list(keys), "left_semi" if matching else "left_anti")
+    marked = mark_by_key(df, side, keys, hot, "_present")
+    return marked.filter("_present" if matching else "NOT _present").drop("_present")
+
+
+def mark_by_key(
+    df: DataFrame, side: DataFrame, keys: Sequence[str], hot: HotKeys, mark: str
+) -> DataFrame:
+    """Add ``mark``: whether the row's key is in ``side``, which holds each key once.
+
     Whether a hot key is in ``side`` is looked up first, and its salted rows match nothing wherever
     they are sent.
     """
     keys = list(keys)
     if not hot:
-        return df.join(side, keys, "left_semi" if matching else "left_anti")
-    listed = hot.listed()
-    found = side.join(listed, keys, "left_semi").withColumn("_looked_up", F.lit(True))
-    facts = listed.join(hot.hinted(found), keys, "left")
-    unsalted = side.selectExpr(*keys, f"0L AS {SALT}", "true AS _joined")
-    present = "coalesce(_joined, _looked_up, false)"
-    return (
-        salted(df, hot, facts)
-        .join(unsalted, [*keys, SALT], "left")
-        .filter(present if matching else f"NOT {present}")
-        .select(*df.columns)
-    )
+        marked = df.join(side.selectExpr(*keys, "true AS _joined"), keys, "left")
+        present = "coalesce(_joined, false)"
+    else:
+        listed = hot.listed()
+        found = side.join(listed, keys, "left_semi").withColumn("_looked_up", F.lit(True))
+        facts = listed.join(hot.hinted(found), keys, "left")
+        unsalted = side.selectExpr(*keys, f"0L AS {SALT}", "true AS _joined")
+        marked = salted(df, hot, facts).join(unsalted, [*keys, SALT], "left")
+        present = "coalesce(_joined, _looked_up, false)"
+    return marked.select(*df.columns, F.expr(present).alias(mark))

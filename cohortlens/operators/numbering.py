@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators.hotkeys import SALT, HotKeys, hot_keys, salted
+from cohortlens.operators.hotkeys import ROWS, SALT, HotKeys, hot_keys, list_hot, salted
 from cohortlens.operators.prefix import sliced_totals
 
 
@@ -62,18 +62,31 @@ def count_rows(
     return spread.select(*df.columns, F.coalesce(F.col("_known"), in_window).alias(total))
 
 
+def count_results(results: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Results per ``keys``, NULL among them, for ranks by these or fewer keys."""
+    return results.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
+
+
 def rank_results(
-    results: DataFrame, keys: Sequence[str], number: str = "nth", min_rows: int | None = None
+    results: DataFrame,
+    keys: Sequence[str],
+    number: str = "nth",
+    min_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Session number of every result: its rank by ``id`` among the results of ``keys``.
 
     Results with one ``id`` share a rank, however many results the key has. NULL is a key like any
-    other, and may be a hot one.
+    other, and may be a hot one. ``counts`` (``count_results``) spares the pass that looks for hot keys.
     """
     known = {f"_key{i}": F.coalesce(F.col(k), F.lit(0)) for i, k in enumerate(keys)}
     known |= {f"_none{i}": F.col(k).isNull() for i, k in enumerate(keys)}
     frame, safe = results.withColumns(known), list(known)
-    hot = hot_keys(frame, safe, min_rows)
+    if counts is None:
+        hot = hot_keys(frame, safe, min_rows)
+    else:
+        per_key = counts.withColumns(known).groupBy(*safe).agg(F.sum(ROWS).alias(ROWS))
+        hot = list_hot(per_key, safe, min_rows)
     ordinary, crowded = hot.split(frame) if hot else (frame, None)
     in_window = F.rank().over(Window.partitionBy(*safe).orderBy("id"))
     ranked = ordinary.select("*", in_window.cast("long").alias(number))

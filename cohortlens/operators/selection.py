@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import age, json_fields, per_cohort, whole_number
 from cohortlens.model import COHORTS, CompareParams
 from cohortlens.operators.hotkeys import ROWS, HotKeys, count_keys, filter_by_key, list_hot
-from cohortlens.operators.numbering import rank_results
+from cohortlens.operators.numbering import count_results, rank_results
 from cohortlens.session import materialise
 
 USER = ["cohort", "user_id"]
@@ -258,9 +258,12 @@ def session_numbers(
         log = log.selectExpr("id", "game_id", *(f"nth_{mode} AS _{mode}" for mode in modes))
     else:
         log = log.select("id", "game_id", "user_id")
+        # Counted once for both modes.
+        both = len(modes) > 1
+        counts = materialise(count_results(log, ["game_id", "user_id"])) if both else None
         for mode in modes:
             keys = ["user_id"] if mode == "cross_game" else ["game_id", "user_id"]
-            log = rank_results(log, keys, f"_{mode}")
+            log = rank_results(log, keys, f"_{mode}", counts=counts)
     # A number across games belongs to the id alone, the other one to the id in its game.
     entries = [
         f"struct('{mode}' AS _mode, {'game_id' if mode == 'true' else '0L'} AS _game,"

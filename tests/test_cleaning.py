@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.model import SELECTED, CompareParams
 from cohortlens.operators import cleaning as cl
+from cohortlens.operators import hotkeys
+from tests.conftest import rows_of
 
 PARAMS = CompareParams(game_ids=(1, 2), min_level_rows=-1, min_sessions=1)
 DDL = "cohort int, user_id long, numcorrect double, numtries double, session_level int"
@@ -68,6 +70,40 @@ def test_sparse_levels_without_broadcast(spark, monkeypatch):
     assert cl.clean(selected, params).sessions.count() == expected == 45 + 5
 
 
+def test_popular_levels_are_spread(spark, monkeypatch):
+    """Above the broadcast limit a level with a third of all plays is salted, and counts stay the same."""
+    rows = [(1 + i % 2, i, 1.0, 1.0, 7 if i % 3 == 0 else i % 40) for i in range(600)]
+    selected = frame(spark, rows).withColumns(
+        {"game_result_id": F.monotonically_increasing_id(), "event_created_at": F.lit(1)}
+    )
+    for minimum, some_left in ((12, True), (150, False)):
+        params = replace(PARAMS, min_level_rows=minimum)
+        expected = cl.clean(selected, params)
+        expected = rows_of(expected.sessions), rows_of(expected.audit)
+        with monkeypatch.context() as patched:
+            patched.setattr(cl, "BROADCAST_ROWS", 2)
+            patched.setattr(hotkeys, "HOT_ROWS", 50)
+            found = cl.clean(selected, params)
+            plan = found.sessions._jdf.queryExecution().optimizedPlan().toString()
+            assert hotkeys.SALT in plan
+            assert (rows_of(found.sessions), rows_of(found.audit)) == expected
+        assert (0 < len(expected[0]) < 600) == some_left
+
+
+def test_tries_left_are_looked_up_with_many_levels(spark, monkeypatch):
+    """Whether any try is left comes from the counted levels: only the sparse level has one."""
+    rows = [(c, i, 1.0, 0.0, i % 3) for c in (1, 2) for i in range(30)] + [(1, 0, 1.0, 4.0, 90)]
+    selected = frame(spark, rows).withColumns(
+        {"game_result_id": F.monotonically_increasing_id(), "event_created_at": F.lit(1)}
+    )
+    params = replace(PARAMS, min_level_rows=5)
+    expected = cl.clean(selected, params).sessions
+    assert "numtries" not in expected.columns
+    monkeypatch.setattr(cl, "BROADCAST_ROWS", 2)
+    found = cl.clean(selected, params).sessions
+    assert found.columns == expected.columns and rows_of(found) == rows_of(expected)
+
+
 def test_column_empty_in_one_cohort(spark):
     rows = [(1, 1, 1.0, None, 1), (1, 2, None, None, 1), (2, 1, 1.0, 5.0, 1), (2, 2, 1.0, None, 1)]
     df = frame(spark, rows)

@@ -98,6 +98,22 @@ def test_anonymous_results_are_a_hot_key(spark, skewed_plays, monkeypatch):
     assert prefix.SLICE in plan(sliced) and rows_of(sliced) == expected
 
 
+def test_log_is_counted_once_for_both_modes(spark, skewed_plays, monkeypatch):
+    """Hot keys of either mode come from one table of counts, with the ranks of a count per mode."""
+    log = results(skewed_plays).withColumn("user_id", F.expr("nullif(user_id, 1)"))
+    plays = skewed_plays.withColumn("user_id", F.expr("IF(user_id = 1, 2L, user_id)"))
+    both = replace(PARAMS, numbering=("cross_game", "true"))
+    expected = rows_of(sl.select_cohorts(plays, both, log))
+    counted = []
+    original = sl.count_results
+    monkeypatch.setattr(sl, "count_results", lambda *a: counted.append(original(*a)) or counted[-1])
+    monkeypatch.setattr(numbering, "hot_keys", None)
+    monkeypatch.setattr(hotkeys, "HOT_ROWS", 150)
+    assert rows_of(sl.select_cohorts(plays, both, log)) == expected and len(counted) == 1
+    known = counted[0].filter("user_id IS NULL").groupBy().sum(hotkeys.ROWS).first()[0]
+    assert known == 400
+
+
 def test_log_is_read_once_for_all_modes(spark, skewed_plays, tmp_path):
     for name, frame in (("plays", skewed_plays), ("log", results(skewed_plays))):
         frame.write.parquet(str(tmp_path / name))
